@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from . import secrets
 from .bpe import op4_bpe
 from .packing import op6_packing
+from .secrets import op1_secrets
 from .simhash import op3_simhash
 from .token_counts import op10_token_counts
 from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op3_simhash, op4_bpe, op5_toxicity, op6_packing, op10_token_counts)}
+    return {q.__name__: q for q in (op1_secrets, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secrets": secrets.SQL}

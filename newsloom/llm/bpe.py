@@ -68,9 +68,7 @@ class Codec:
     def __init__(self, path: str):
         self.vocabulary = WordVocabulary(path)
         merger = HeapMerger(self.vocabulary)
-        self.tokens = Tokens(
-            self.vocabulary, merger.packed, b"".join, lambda i: i.to_bytes(4, "little"), limit=300_000
-        )
+        self.tokens = Tokens(self.vocabulary, merger.packed, b"".join, lambda i: i.to_bytes(4, "little"))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.tokens.of(texts)

@@ -10,6 +10,7 @@ common, meets in one task.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 from zlib import crc32
 
@@ -75,11 +76,19 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
 
 @lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
+    """Packed ids of pre-tokens. The merges themselves run in the compiled library, on one
+    pre-token at a time and with the vocabulary file's own merges as ranks."""
+    import tiktoken
+
     vocabulary = SpacedVocabulary(path)
-    many = getattr(vocabulary.library, "encode_batch_fast", vocabulary.library.encode_batch)
+    byte = {letter: b for b, letter in enumerate(vocabulary.letters)}
+    ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocabulary.ids.items()}
+    # ids are in the order of the merges, so they serve as ranks; each byte has one
+    core = tiktoken.Encoding("own", pat_str=vocabulary.pattern.pattern, mergeable_ranks=ranks, special_tokens={})
+    one = core._core_bpe.encode_single_piece
 
     def solve(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in many(words, add_special_tokens=False)]
+        return [array("I", one(w.encode())).tobytes() for w in words]
 
     return Tokens(vocabulary, solve, b"".join, lambda i: i.to_bytes(4, "little"))
 
@@ -93,9 +102,6 @@ def pieces(
     closing = end_id.to_bytes(4, "little")
 
     def make():
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = _tokens(path)
 
         def step(batch: pa.RecordBatch):

@@ -38,6 +38,10 @@ PLAIN = re.compile("[^\x00-˿]")
 CONTROLS = re.compile("[\x1c-\x1f]")
 
 
+#: Marks that are a pre-token of their own after letters.
+MARKS = frozenset(".,;:!?")
+
+
 class Vocabulary:
     """Ids, merges and special tokens of one tokenizer file."""
 
@@ -96,7 +100,7 @@ class SpacedVocabulary(Vocabulary):
         return segment.split(" ")
 
     def words(self, chunk: str) -> list[str]:
-        if PLAIN.search(chunk):
+        if not chunk.isascii() and PLAIN.search(chunk):
             return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
         return self.pattern.findall(chunk)
 
@@ -118,7 +122,7 @@ class WordVocabulary(Vocabulary):
         return regex.split(r"\s+", segment) if CONTROLS.search(segment) else segment.split()
 
     def words(self, chunk: str) -> list[str]:
-        if PLAIN.search(chunk):
+        if not chunk.isascii() and PLAIN.search(chunk):
             return [chunk[a:b] for a, b in self._spans(chunk)]
         return self.pattern.findall(chunk)
 
@@ -130,11 +134,12 @@ class Tokens:
     """Per-chunk values of whole texts: sums of counts, or joined id bytes.
 
     ``solve`` takes the pre-tokens not seen lately, all at once, and gives a value for each;
-    ``join`` puts values together. Values are kept for ``limit`` chunks and pre-tokens; beyond
-    that the memory is emptied, which costs time and changes no result.
+    ``join`` puts values together. Values are kept for about ``limit`` chunks; what comes later
+    is worked out for its batch alone, which costs time and changes no result. When most chunks
+    of a batch are new, the memory starts afresh.
     """
 
-    def __init__(self, vocabulary, solve, join, special, limit: int = 400_000, long: int = 80):
+    def __init__(self, vocabulary, solve, join, special, limit: int = 300_000, long: int = 60):
         self.vocabulary, self.solve, self.join, self.special = vocabulary, solve, join, special
         self.limit, self.long = limit, long
         self.spaced = isinstance(vocabulary, SpacedVocabulary)
@@ -144,27 +149,29 @@ class Tokens:
 
     def of(self, texts: list[str]) -> list:
         """The value of each text."""
-        if max(len(self.heads), len(self.rest), len(self.by_word)) > self.limit:
-            self.heads.clear(), self.rest.clear(), self.by_word.clear()
-        laid, heads, rest = [], set(), set()
+        laid, heads, rest, whole = [], set(), set(), set()
         for text in texts:
             parts = []
             for segment, special in self.vocabulary.segments(text):
                 if self.spaced and "  " in segment:
-                    parts.append((None, self.vocabulary.words(segment), special))
+                    words = self.vocabulary.words(segment)
+                    whole.update(words)
+                    parts.append((None, words, special))
                     continue
                 chunks = self.vocabulary.chunks(segment)
-                head = chunks[0] if self.spaced else None
+                head = None
                 if self.spaced:
+                    head = chunks[0]
                     heads.add(head)
                     del chunks[0]
                 rest.update(chunks)
                 parts.append((head, chunks, special))
             laid.append(parts)
-        brief = self._learn(heads, rest, [p[1] for x in laid for p in x if self.spaced and p[0] is None])
+        passing = self._learn(heads, rest, whole)
         out = [self.join([self._value(p) for p in parts]) for parts in laid]
-        for table, key in brief:
-            table.pop(key, None)
+        for table, keys in passing:
+            for key in keys:
+                del table[key]
         return out
 
     def _value(self, part):
@@ -180,15 +187,38 @@ class Tokens:
         return self.join(values)
 
     def _learn(self, heads, rest, whole) -> list:
-        new = [(self.heads, c, self.vocabulary.words(c)) for c in heads if c not in self.heads]
-        lead = " " if self.spaced else ""
-        new += [(self.rest, c, self.vocabulary.words(lead + c)) for c in rest if c not in self.rest]
-        words = {w for _, _, ws in new for w in ws}
-        words.update(w for ws in whole for w in ws)
-        unseen = [w for w in words if w not in self.by_word]
-        self.by_word.update(zip(unseen, self.solve(unseen), strict=True))
-        for table, chunk, ws in new:
-            table[chunk] = self.join([self.by_word[w] for w in ws])
-        return [(t, c) for t, c, _ in new if len(c) > self.long] + [
-            (self.by_word, w) for w in unseen if len(w) > self.long
-        ]
+        """Works out what the batch needs; returns (table, keys) that shouldn't be kept."""
+        split, lead, known, table = self.vocabulary.words, " " if self.spaced else "", self.by_word, self.rest
+        new, new_heads = rest.difference(table), heads.difference(self.heads)
+        plain, tailed, odd = set(), [], []
+        for c in new:
+            # letters alone are one pre-token, with a mark after them two: no need for the pattern
+            if c.isascii() or not PLAIN.search(c):
+                if c.isalpha():
+                    plain.add(c)
+                    continue
+                if c[-1:] in MARKS and c[:-1].isalpha():
+                    tailed.append(c)
+                    if c[:-1] not in table:
+                        plain.add(c[:-1])
+                    continue
+            odd.append((table, c, split(lead + c)))
+        odd += [(self.heads, c, split(c)) for c in new_heads]
+        words = set(whole).union(MARKS, *[ws for _, _, ws in odd])
+        plain, unseen = list(plain), list(words.difference(known))
+        values = self.solve([lead + c for c in plain] + unseen)
+        table.update(zip(plain, values, strict=False))
+        known.update(zip(unseen, values[len(plain) :], strict=True))
+        join = self.join
+        for c in tailed:
+            table[c] = join((table[c[:-1]], known[c[-1]]))
+        for into, c, ws in odd:
+            into[c] = join([known[w] for w in ws])
+        fresh = [*plain, *tailed, *[c for into, c, _ in odd if into is table]]
+        out = []
+        for into, keys in ((table, fresh), (self.heads, list(new_heads)), (known, [w for w in unseen if w not in MARKS])):
+            if len(into) > self.limit:
+                out.append((into, keys if 2 * len(keys) < len(rest) else [k for k in into if k not in MARKS]))
+            else:
+                out.append((into, [k for k in keys if len(k) > self.long]))
+        return out

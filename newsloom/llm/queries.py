@@ -9,11 +9,12 @@ from .secrets import op1_secrets
 from .simhash import op3_simhash
 from .token_counts import op10_token_counts
 from .toxicity import op5_toxicity
+from .warc import op8_warc
 from .winnowing import op9_winnowing
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_secrets, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op9_winnowing, op10_token_counts)}
+    return {q.__name__: q for q in (op1_secrets, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op8_warc, op9_winnowing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

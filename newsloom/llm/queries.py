@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import secrets
 from .bpe import op4_bpe
+from .media import op7_media
 from .packing import op6_packing
 from .secrets import op1_secrets
 from .simhash import op3_simhash
@@ -14,7 +15,7 @@ from .winnowing import op9_winnowing
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_secrets, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op8_warc, op9_winnowing, op10_token_counts)}
+    return {q.__name__: q for q in (op1_secrets, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op7_media, op8_warc, op9_winnowing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ from .media import op7_media
 from .packing import op6_packing
 from .secrets import op1_secrets
 from .simhash import op3_simhash
+from .suffixes import op2_suffixes
 from .token_counts import op10_token_counts
 from .toxicity import op5_toxicity
 from .warc import op8_warc
@@ -15,7 +16,7 @@ from .winnowing import op9_winnowing
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_secrets, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op7_media, op8_warc, op9_winnowing, op10_token_counts)}
+    return {q.__name__: q for q in (op1_secrets, op2_suffixes, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op7_media, op8_warc, op9_winnowing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -110,6 +110,34 @@ def named(findings: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(findings, say), ",")
 
 
+def redacted(text: Column, findings: Column, mark: str = "[secret]") -> Column:
+    """The text with each run of overlapping findings replaced by the mark."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        out = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+    end = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
+    return F.when(F.size(findings) > 0, F.aggregate(findings, start, step, end)).otherwise(text)
+
+
+def redact(df: DataFrame, ledger: DataFrame, text: str = "text", version: str = RULE_VERSION) -> DataFrame:
+    """``df`` with the findings that the ledger has for each text's blob redacted."""
+    hits = ledger.where((F.col("rule_version") == version) & (F.size("findings") > 0))
+    hits = hits.select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
+    blob = F.unhex(F.sha2(text_of(f"`{text}`"), 256))
+    joined = df.join(hits, blob == F.col("__blob"), "left")
+    columns = [F.col(f"`{c}`") if c != text else _redacted_or_own(text).alias(text) for c in df.columns]
+    return joined.select(*columns)
+
+
+def _redacted_or_own(text: str) -> Column:
+    own = F.col(f"`{text}`")
+    return F.when(F.col("__findings").isNotNull(), redacted(own, F.col("__findings"))).otherwise(own)
+
+
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
     """Secrets of every document. The ledger adds no spans to the base rules' own."""
     found, _ = scan(read(spark, sf_dir, "documents"))

@@ -478,11 +478,10 @@ def give_back(parts: int, give, names: list[str], kinds: list):
             gone = removed(laid, parts, told.to_pylist())
             for begin, size in zip(laid.begin.tolist(), laid.size.tolist(), strict=True):
                 rows.append(give(laid.data[begin : begin + size], gone[begin : begin + size]))
-            ids = texts.column("doc_id").combine_chunks().take(pa.array(laid.order, pa.int64()))
-        else:
-            ids = texts.column("doc_id")
+            texts = texts.take(pa.array(laid.order, pa.int64()))
         made = as_table(rows, names, kinds)
-        return made.add_column(0, "doc_id", ids)
+        kept = [c for c in texts.column_names if c not in ("text", "run")]
+        return pa.table([*[texts.column(c) for c in kept], *made.columns], names=[*kept, *names])
 
     return of
 
@@ -507,9 +506,11 @@ def survey(rows: DataFrame) -> tuple[int, list[bytes]]:
     return total, sorted(set(found))
 
 
-def analysed(df: DataFrame, id: str, text: str, schema: str, give, run: int, frequent: int) -> DataFrame:
-    rows = narrow(df, doc_id=id, text=text)
-    total, sample = survey(rows)
+def analysed(
+    df: DataFrame, id: str, text: str, schema: str, give, run: int, frequent: int, keep: dict[str, str]
+) -> DataFrame:
+    rows = narrow(df, doc_id=id, text=text, **keep)
+    total, sample = survey(rows.select("doc_id", "text"))
     parts = max(24, -(-total // run)) if total > 1 << 20 else 4
     splits = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     dealt = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
@@ -521,8 +522,8 @@ def analysed(df: DataFrame, id: str, text: str, schema: str, give, run: int, fre
     names = [c.split()[0] for c in schema.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     kinds = [types.get(c.split()[1]) or pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])) for c in schema.split(", ")]
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return by_run.cogroup(told.groupBy("run")).applyInArrow(give_back(parts, give, names, kinds), f"doc_id {kind}, {schema}")
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    return by_run.cogroup(told.groupBy("run")).applyInArrow(give_back(parts, give, names, kinds), f"{own}, {schema}")
 
 
 def spans(gone: np.ndarray) -> np.ndarray:
@@ -531,10 +532,16 @@ def spans(gone: np.ndarray) -> np.ndarray:
 
 
 def dedup(
-    df: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN, frequent: int = FREQUENT
+    df: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    run: int = RUN,
+    frequent: int = FREQUENT,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, text, removed``: each row's text without the removed bytes, and their spans in
-    bytes. A character that lost some of its bytes goes whole.
+    bytes. A character that lost some of its bytes goes whole. The columns ``keep`` come along
+    as keep0, keep1 and so on.
 
     Null texts count as empty; texts of fewer bytes than a string stay. Null ids come after all
     others. Rows with equal ids don't remove each other's strings. An empty table gives an empty
@@ -545,7 +552,8 @@ def dedup(
         found = [{"begin": a, "end": b} for a, b in spans(gone).tolist()]
         return raw[~gone].tobytes().decode(errors="ignore"), found
 
-    return analysed(df, id, text, "text string, removed array<struct<begin:long,end:long>>", give, run, frequent)
+    also = {f"keep{k}": c for k, c in enumerate(keep)}
+    return analysed(df, id, text, "text string, removed array<struct<begin:long,end:long>>", give, run, frequent, also)
 
 
 def digests(
@@ -557,7 +565,7 @@ def digests(
         n = int(gone.sum())
         return len(raw), n, len(spans(gone)) if n else 0, sha256(raw[~gone].tobytes() if n else raw.tobytes()).hexdigest()
 
-    return analysed(df, id, text, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", give, run, frequent)
+    return analysed(df, id, text, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", give, run, frequent, {})
 
 
 def op2_suffixes(spark, sf_dir: str) -> DataFrame:

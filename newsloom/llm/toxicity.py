@@ -9,9 +9,8 @@ one for their sum, and a logistic curve over its logarithm, fitted on labelled r
 weights were not learned from, into the probability of label 1.
 
 Weights are learned from a sample of the labelled rows of at most about ``MOST_ROWS`` of each
-label (a documented bound), and the strongest ``MOST_WORDS`` are kept, so what goes to the driver
-and back to the tasks is bounded. The curve is fitted over all rows of its fold, and all rows are
-scored.
+label (a documented bound), and the strongest ``MOST_WORDS`` are kept; the curve is fitted on half
+as many rows. So what goes to the driver and back to the tasks is bounded. All rows are scored.
 """
 
 from __future__ import annotations
@@ -35,8 +34,8 @@ WORD = re.compile(r"\w+")
 PRIOR, DRIFT, LEAST, MOST = 12.0, 1.0, -2.0, 9.0
 #: Sampled rows of a label, words and beginnings that the model keeps, toxic rows each needs.
 MOST_ROWS, MOST_WORDS, SUPPORT = 25_000, 300_000, 3
-#: Resolution of the curve's fit: z from LOW on in steps of STEP.
-LOW, HIGH, STEP = -20.0, 40.0, 0.25
+#: Bounds of the evidence in the curve.
+LOW, HIGH = -20.0, 40.0
 
 
 def keys_of(word: str) -> list[int]:
@@ -207,46 +206,13 @@ def learn(rows: DataFrame) -> Model | None:
     return Model(keys, values, low)
 
 
-def find_passages(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, words, z, passages``: the evidence and every maximal passage (word positions from
-    ``begin`` to ``end``, score) of each whole text. Texts without words have none and z 0."""
-
-    def make():
-        def step(batch: pa.RecordBatch):
-            sizes, zs, all_found = [], [], []
-            for t in batch.column("text").to_pylist():
-                chunks = (t or "").lower().split()
-                found = passages(model.of(chunks))
-                sizes.append(len(chunks))
-                zs.append(evidence([s for _, _, s in found], len(chunks), model.scale))
-                all_found.append([{"begin": a, "end": b, "score": s} for a, b, s in found])
-            kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(zs, pa.float64()), pa.array(all_found, kind)],
-                names=["doc_id", "words", "z", "passages"],
-            )
-
-        return step
-
-    rows = narrow(df, doc_id=id, text=text)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(
-        rows, make, f"doc_id {kind}, words long, z double, passages array<struct<begin:int,end:int,score:double>>"
-    )
-
-
-def curve(histogram: list[tuple[int, int, int]]) -> tuple[float, float]:
+def curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of the logistic curve over z, by Newton's method with a weak prior."""
-    x = np.array([LOW + STEP * (b + 0.5) for b, _, _ in histogram])
-    n = np.array([a + b for _, a, b in histogram], float)
-    y = np.array([b for _, _, b in histogram], float)
-    scaled = np.clip(x, LOW, HIGH)
-    beta = np.array([0.0, 0.0])
-    design = np.stack([scaled, np.ones_like(scaled)], 1)
+    beta, design = np.zeros(2), np.stack([np.clip(z, LOW, HIGH), np.ones(len(z))], 1)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (y - n * p) - 1e-3 * beta
-        step = np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), slope)
+        slope = design.T @ (y - p) - 1e-3 * beta
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), slope)
         beta += np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-9:
             break
@@ -269,39 +235,109 @@ def sample(known: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part * (1 << 30))
 
 
-def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted, words, passages`` for each row of ``df``.
-
-    ``labels`` (doc_id, toxic) is learned from as :func:`training_labels` says: the weights from
-    the folds 2 to 4, the curve from fold 1; only texts are inputs of a score. Null and empty
-    texts get the curve's value at no evidence. Repeated rows each give their row. Without
-    labelled rows of both kinds all scores are 0. Other columns are not read.
-    """
+@dataclass
+class Scorer:
+    """A fitted model and curve; without a model every score is 0."""
+
+    model: Model | None
+    slope: float = 0.0
+    shift: float = 0.0
+
+    def judge(self, text: str) -> tuple[int, list[tuple[int, int, float]], float, float]:
+        """(words, passages, z, score) of a whole text."""
+        chunks = text.lower().split()
+        if self.model is None:
+            return len(chunks), [], 0.0, 0.0
+        found = passages(self.model.of(chunks))
+        z = evidence([s for _, _, s in found], len(chunks), self.model.scale)
+        at = self.slope * min(max(z, LOW), HIGH) + self.shift
+        return len(chunks), found, z, 1 / (1 + math.exp(-min(max(at, -500.0), 500.0)))
+
+    def score(self, df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+        """``doc_id, held_out, score, predicted, words, z, passages`` for each row: passages are
+        all the maximal ones, word positions from ``begin`` to ``end`` and the score.
+
+        Null and empty texts have no passages and get the curve's value at no evidence. Null ids
+        stay null and count as not held out. Repeated rows each give their row. Other columns are
+        not read.
+        """
+
+        def make():
+            def step(batch: pa.RecordBatch):
+                judged = [self.judge(t or "") for t in batch.column("text").to_pylist()]
+                kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+                found = [[{"begin": a, "end": b, "score": s} for a, b, s in f] for _, f, _, _ in judged]
+                columns = [
+                    pa.array([s for _, _, _, s in judged], pa.float64()),
+                    pa.array([n for n, _, _, _ in judged], pa.int64()),
+                    pa.array([z for _, _, z, _ in judged], pa.float64()),
+                    pa.array(found, kind),
+                ]
+                names = ["doc_id", "score", "words", "z", "passages"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
+
+            return step
+
+        rows = narrow(df, doc_id=id, text=text)
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        shape = "passages array<struct<begin:int,end:int,score:double>>"
+        judged = arrow_map(rows, make, f"doc_id {kind}, score double, words long, z double, {shape}")
+        held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
+        predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+        return judged.select("doc_id", held_out, "score", predicted, "words", "z", "passages")
+
+    def clean(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """The rows of ``df``, with all their columns, whose score is under 0.5."""
+        names = df.columns
+        at = names.index(text)
+
+        def make():
+            def step(batch: pa.RecordBatch):
+                keep = [self.judge(t or "")[3] < 0.5 for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+            return step
+
+        return arrow_map(df, make, df.schema)
+
+
+def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> Scorer:
+    """Learns from ``df`` and ``labels`` (doc_id, toxic) as :func:`training_labels` says: the
+    weights from a sample of the folds 2 to 4, the curve from one of fold 1. Only texts are inputs.
+    Without labelled rows of both kinds in the folds 2 to 4 there is no model; without any in
+    fold 1 the curve is fitted on the others."""
     rows = narrow(df, doc_id=id, text=text)
     known = durable(training_labels(labels))
     chosen = sample(known.where("fold > 1")).select("doc_id", "toxic")
-    model = learn(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
-    held_out = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    # a bounded number of (id, label) rows
+    learned = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    model = learn(learned)
     if model is None:
-        nothing = F.lit(None).cast("array<struct<begin:int,end:int,score:double>>")
-        none = F.lit(0).cast("long").alias("words")
-        zero = F.lit(0.0).alias("score"), F.lit(0).alias("predicted")
-        return rows.select("doc_id", held_out, *zero, none, nothing.alias("passages"))
-    found = durable(find_passages(rows, model))
-    z = F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.col("z")))
-    bins = F.floor((z - LOW) / STEP).alias("bin")
-    at = found.select("doc_id", bins).join(known.where("fold = 1"), "doc_id").groupBy("bin")
-    fitted = at.agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).collect()
-    if not fitted:  # no labelled row in the fold
-        fitted = [{"bin": int((LOW + 20) / STEP), "clean": 1, "toxic": 0}]
-    slope, shift = curve([(r["bin"], r["clean"], r["toxic"]) for r in fitted])
-    p = 1 / (1 + F.exp(-(F.lit(slope) * z + F.lit(shift))))
-    return found.select(
-        "doc_id", held_out, p.alias("score"), (p >= 0.5).cast("int").alias("predicted"), "words", "passages"
-    )
+        return Scorer(None)
+    rest = sample(known.where("fold = 1"), MOST_ROWS // 2).select("doc_id", "toxic")
+    pairs = _evidence(rows.join(F.broadcast(rest), "doc_id").select("text", "toxic"), model)
+    if len(set(pairs[1].tolist())) < 2:
+        pairs = _evidence(learned, model)
+    return Scorer(model, *curve(*pairs))
+
+
+def _evidence(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """z and label of a bounded number of (text, toxic) rows."""
+    scorer = Scorer(model)
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            zs = pa.array([scorer.judge(t or "")[2] for t in batch.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([zs, batch.column("toxic")], names=["z", "toxic"])
+
+        return step
+
+    found = arrow_map(rows, make, "z double, toxic int").toArrow()
+    return found.column("z").to_numpy(), found.column("toxic").to_numpy().astype(float)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     """Each document's probability of label toxic = 1, learned from the rows not held out."""
-    scored = score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    documents = read(spark, sf_dir, "documents")
+    scored = fit(documents, read(spark, sf_dir, "labels")).score(documents)
     return scored.select("doc_id", "held_out", "score", "predicted")

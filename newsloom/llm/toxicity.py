@@ -208,15 +208,19 @@ def learn(rows: DataFrame) -> Model | None:
 
 def curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of the logistic curve over z, by Newton's method with a weak prior."""
-    beta, design = np.zeros(2), np.stack([np.clip(z, LOW, HIGH), np.ones(len(z))], 1)
-    for _ in range(100):
+    beta, design = np.zeros(2), np.stack([np.clip(z, LOW, HIGH) / HIGH, np.ones(len(z))], 1)
+    loss = lambda w: np.logaddexp(0, design @ w).sum() - y @ (design @ w) + 5e-3 * w @ w  # noqa: E731  convex
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (y - p) - 1e-3 * beta
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), slope)
-        beta += np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-9:
+        slope = design.T @ (y - p) - 1e-2 * beta
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), slope)
+        size = 1.0
+        while size > 1e-9 and loss(beta + size * step) > loss(beta) - 1e-4 * size * (slope @ step):
+            size /= 2
+        beta = beta + size * step
+        if np.abs(size * step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1])
+    return float(beta[0] / HIGH), float(beta[1])
 
 
 def training_labels(labels: DataFrame, id: str = "doc_id", label: str = "toxic") -> DataFrame:

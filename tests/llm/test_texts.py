@@ -1,0 +1,235 @@
+import random
+import re
+from collections import Counter
+from hashlib import sha256
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.llm import media, secrets, toxicity, winnowing
+from newsloom.llm.common import read
+
+DIR = "/root/testdata/sf0.01"
+
+
+# Secret scans
+
+
+def plain_spans(text):
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    keys = "|".join([*map(either, ("password", "passwd", "secret", "token")), either("api") + "_?" + either("key")])
+    rules = ((f"({keys})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, "assign"), ("AKIA[A-Z0-9]+", 0, 16, "access"), ("[0-9a-f]+", 0, 32, "hex"))
+    out = [(m.start(), k, m.end(), kind) for k, (p, g, least, kind) in enumerate(rules) for m in re.finditer(p, text) if len(m[g]) >= least]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
+
+
+def test_secret_rows(odd, none):
+    df, rows = odd
+    found, _ = secrets.scan(df)
+    got = Counter((r["doc_id"], r["s"]) for r in found.select("doc_id", secrets.named(F.col("findings")).alias("s")).collect())
+    assert got == Counter((i, plain_spans(t or "")) for i, t in rows)
+    assert secrets.scan(none)[0].count() == 0
+
+
+def test_secret_patterns(spark):
+    rng = random.Random(1)
+    parts = ["password", "Token", "api_key", "ſecret", "KEY", "=", ":", " ", '"', "'", "é", "😀", "AKIA", "ABCD1234", "abcdef0123456789", "abc", "==", "secret = ", "API_KEY: "]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(800)]
+    found, _ = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = dict(found.select("doc_id", secrets.named(F.col("findings"))).collect())
+    assert got == {i: plain_spans(t) for i, t in rows}
+
+
+def test_the_ledger_is_scanned_once_a_version(spark):
+    shape = "doc_id long, text string"
+    old = spark.createDataFrame([(1, "token: abcdefghij"), (2, "plain")], shape)
+    _, ledger = secrets.scan(old)
+    marked = ledger.withColumn("findings", F.filter("findings", lambda s: F.lit(False)))  # what a new scan would find
+    new = spark.createDataFrame([(3, "token: abcdefghij"), (4, "AKIAABCDEFGH1234")], shape)
+    found, grown = secrets.scan(new, marked)
+    assert {r["doc_id"]: len(r["findings"]) for r in found.collect()} == {3: 0, 4: 1}
+    assert grown.count() == 3
+    again, _ = secrets.scan(new, marked, version="2")
+    assert {r["doc_id"]: len(r["findings"]) for r in again.collect()} == {3: 1, 4: 1}
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "é token: 0123456789abcdef0123456789abcdef! x"), (2, "plain"), (3, None)], "doc_id long, text string")
+    _, ledger = secrets.scan(df)
+    assert dict(secrets.redact(df, ledger).collect()) == {1: "é [secret]! x", 2: "plain", 3: None}
+
+
+# Toxicity
+
+
+def test_segments_are_the_maximal_ones():
+    def brute(scores):
+        def best(a, b):
+            found = None
+            for i in range(a, b):
+                total = 0.0
+                for j in range(i, b):
+                    total += scores[j]
+                    if total > 0 and (found is None or total > found[2] + 1e-12):
+                        found = (i, j + 1, total)
+            return [] if found is None else [*best(a, found[0]), found[:2], *best(found[1], b)]
+
+        return best(0, len(scores))
+
+    rng = random.Random(0)
+    for _ in range(1500):
+        scores = [rng.choice([-3, -2, -1, 1.1, 2.3, 3.7]) * rng.random() for _ in range(rng.randint(0, 14))]
+        assert [s[:2] for s in toxicity.segments(scores)] == brute(scores)
+
+
+def test_passages_of_runs_are_those_of_words():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        weights = rng.normal(0.6, 1.5, rng.integers(0, 40)).astype(np.float32)
+        want = toxicity.segments((weights - toxicity.DRIFT).astype(float).tolist())
+        got = toxicity.passages(weights)
+        assert [s[:2] for s in got] == [s[:2] for s in want]
+
+
+def test_held_out_accuracy(spark):
+    got = toxicity.op5_toxicity(spark, "/root/testdata/sf0.1").toPandas()
+    labels = read(spark, "/root/testdata/sf0.1", "labels").toPandas().set_index("doc_id").toxic
+    got["y"] = got.doc_id.map(labels)
+    held = got[got.held_out & got.y.notna()]
+    hit, wrong = ((held.predicted == 1) & (held.y == 1)).sum(), ((held.predicted == 1) & (held.y == 0)).sum()
+    assert hit >= 0.85 * (held.y == 1).sum() and wrong <= 0.01 * (held.y == 0).sum()
+    assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
+
+
+def test_the_curve_separates_separable_labels():
+    z = np.r_[np.full(900, -4.0), np.full(100, 200.0)]
+    slope, shift = toxicity.curve(z, (z > 0).astype(float))
+    assert slope * -4 + shift < -2 and slope * toxicity.HIGH + shift > 2
+
+
+def test_toxicity_odd_rows(spark, odd, none):
+    df, rows = odd
+    labels = spark.createDataFrame([(i, int("idiot" in (t or ""))) for i, t in rows if i is not None] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    scorer = toxicity.fit(df, labels)
+    got = scorer.score(df).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["words"] == 0}) == 1
+    assert {r["held_out"] for r in got if r["doc_id"] is None} == {False}
+    assert sorted(scorer.clean(df).columns) == sorted(df.columns)
+    assert toxicity.fit(none, labels.limit(0)).score(none).count() == 0
+    assert {r["score"] for r in toxicity.fit(df, labels.where("toxic = 0")).score(df).collect()} == {0.0}
+
+
+# Winnowing
+
+
+def test_edited_texts(spark, odd, none):
+    df, rows = odd
+    got = winnowing.edited_likeness(df).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = Counter()
+    for k, (i, t) in enumerate(ordered):
+        t, u = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        half = len(t) // 2
+        want[i, len(t), sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    by_text = {}
+    texts = {i: t or "" for i, t in rows if i is not None}
+    for r in got:
+        if r["doc_id"] is not None:
+            by_text.setdefault(texts[r["doc_id"]], set()).add(r["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values())
+    assert winnowing.edited_likeness(none).count() == 0
+    assert winnowing.edited_likeness(df.where("doc_id = 3")).first()["near_next"] == 1.0
+
+
+def test_fingerprints_by_the_definition(spark):
+    texts = ["a b c d e f g h i j k l m n o p q r s t", "", None, "one", "x " * 30, "a b c d e f g h i j k", "A  b\nc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = {w for t in texts if t for w in t.lower().split()}
+    table = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w"))
+    code = {w: h % 2**64 for w, h in table.collect()}
+    turn = lambda x, n: (x << n | x >> 64 - n) % 2**64
+
+    def plain(text):
+        h = [code[w] for w in (text or "").lower().split()]
+        at = lambda i: h[i] if i < len(h) else 0
+        pair = lambda i: turn(h[i], 1) ^ at(i + 1) if i < len(h) else 0
+        grams = [(turn(pair(i), 2) ^ pair(i + 2)) >> 25 for i in range(max(len(h) - 3, 1) if h else 0)]
+        out = []
+        for i in range(max(len(grams) - 7, 1) if grams else 0):
+            least, place = min((x, -(i + j)) for j, x in enumerate(grams[i : i + 8]))
+            if (least, -place) not in out:
+                out.append((least, -place))
+        return out
+
+    for r in winnowing.fingerprints(df).collect():
+        assert list(zip(r["hashes"], r["positions"])) == plain(texts[r["doc_id"]])
+
+
+def test_long_shared_runs_leave_a_common_hash(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    shared = " ".join(word() for _ in range(winnowing.GRAM + winnowing.WINDOW - 1))
+    rows = [(k, f"{' '.join(word() for _ in range(k))} {shared} {' '.join(word() for _ in range(30 - k))}") for k in range(30)]
+    found = winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    first = set(found[0]["hashes"])
+    assert all(first & set(r["hashes"]) for r in found)
+
+
+def test_buckets_hold_far_apart_ids(spark):
+    rows = [(i, f"t{i}") for i in [*range(50), 10**15, 10**15 + 1, -(10**12)]]
+    got = winnowing.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = sorted(i for i, _ in rows)
+    text = dict(rows)
+    for r in got.collect():
+        t, u = text[r["doc_id"]], text[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
+        half = len(t) // 2
+        assert r["edited_sha256"] == sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()
+
+
+# Media
+
+
+def test_media_round_trip():
+    for raw in (b"", b"a", bytes(range(256)) * 3, b"\xff\x00" * 100, "é😀".encode() * 99):
+        payload = media.padded(raw)
+        stored = media.encode(payload)
+        assert len(payload) % 64 == 0 and payload and media.samples(stored).tobytes() == payload
+        assert len(media.frame_places(stored)) == len(payload) // 64
+
+
+def test_frames_decode_symbol_by_symbol():
+    payload = media.padded(bytes(range(0, 256, 3)) * 2)
+    stored = media.encode(payload)
+    for k, (at, n) in enumerate(media.frame_places(stored).tolist()):
+        pixels = media.decode(stored[at : at + n])
+        means = pixels.reshape(8, 8, 8, 8).transpose(0, 2, 1, 3).reshape(64, 64)
+        assert (means == np.frombuffer(payload[64 * k : 64 * k + 64], np.uint8)[:, None]).all()
+
+
+def test_frames_are_found_by_the_index_alone():
+    stored = bytearray(media.encode(bytes(64 * 3)))
+    at = stored.index(b"idx1")
+    places = media.frame_places(bytes(stored))
+    stored[at + 8 + 16 : at + 8 + 32] = b"JUNK" + bytes(12)  # the second entry is no video frame
+    assert media.frame_places(bytes(stored)).tolist() == places[[0, 2]].tolist()
+    with pytest.raises(ValueError):
+        media.frame_places(b"RIFF....WAVE")
+
+
+def test_shots():
+    dark, light = np.full((10, 64), 10, np.uint8), np.full((5, 64), 200, np.uint8)
+    assert media.cuts(np.concatenate([dark, light, dark])) == [10, 15]
+    assert media.cuts(dark) == [] and media.cuts(dark[:1]) == []
+
+
+def test_media_rows(spark, odd, none):
+    df, rows = odd
+    stored = media.store(df)
+    timed = media.clips(stored)
+    got = timed.groupBy("doc_id").agg(F.sum("frames").alias("n"), F.min("begin_s").alias("a")).where("doc_id = 105").first()
+    assert got["n"] == -(-30_000 // 64) and got["a"] == 0.0
+    assert stored.count() == len(rows) and media.store(none).count() == 0 and media.clips(media.store(none)).count() == 0

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.functions.order import numbered
 from newsloom.functions.packs import Pack
 from newsloom.functions.text import contains_any
 
@@ -87,25 +87,23 @@ def fit(df: DataFrame, names: list[str], y: str) -> Ridge | None:
 
 def split(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``place`` in time and whether it ``trains``: the first rows do, the last test."""
-    total = F.count("*").over(W.partitionBy(F.lit(1)))
-    ordered = df.withColumn("place", F.row_number().over(W.orderBy(*order))).withColumn("total", total)
-    cut = F.greatest(F.lit(1), F.least(F.col("total") - 1, F.floor(F.col("total") * TRAIN)))
-    return ordered.withColumn("trains", F.col("place") <= cut).drop("total")
+    placed = numbered(df, order)
+    n = placed.count()
+    cut = max(1, min(n - 1, int(n * TRAIN)))
+    return placed.withColumn("trains", F.col("place") <= cut)
 
 
 def spearman(df: DataFrame, a: str, b: str, tie: str, by: list[str] | None = None) -> DataFrame:
-    """Correlation of ordinal ranks, ties in the order of ``tie``; null if it isn't defined."""
+    """Correlation of ordinal ranks, ties in the order of ``tie``; null if it isn't defined.
+
+    Ranks are places in the whole table ordered by the groups first: within a group they are the
+    group's ranks and a constant, which correlation doesn't see.
+    """
     by = by or []
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    ranks = df.select(
-        *by,
-        F.row_number().over(part.orderBy(a, tie)).cast("double").alias("ra"),
-        F.row_number().over(part.orderBy(b, tie)).cast("double").alias("rb"),
-    )
-    sums = ranks.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.covar_pop("ra", "rb").alias("cov"),
-        (F.stddev_pop("ra") * F.stddev_pop("rb")).alias("spread"),
+    ranked = numbered(numbered(df.select(*by, a, b, tie), [*by, a, tie], "ra"), [*by, b, tie], "rb")
+    ra, rb = (F.col(c).cast("double") for c in ("ra", "rb"))
+    sums = ranked.groupBy(*by).agg(
+        F.count("*").alias("n"), F.covar_pop(ra, rb).alias("cov"), (F.stddev_pop(ra) * F.stddev_pop(rb)).alias("spread")
     )
     value = F.when(F.col("n") >= 2, F.try_divide("cov", F.nullif("spread", F.lit(0.0))))
     return sums.select(*by, "n", value.alias("spearman"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.functions.durable import durable
 from newsloom.functions.packs import Pack
 from newsloom.functions.text import story_terms
 
@@ -61,18 +62,26 @@ def story_links(left: DataFrame, right: DataFrame, pack: Pack) -> DataFrame:
     """``left_id, right_id`` of the same story: (id, title, story) rows where one's title shares
     three terms and two fifths of its own with the other's title and story."""
 
-    def terms(df: DataFrame, name: str, whole: bool) -> DataFrame:
-        text = F.concat_ws(" ", "title", "story") if whole else F.col("title")
-        found = df.select(F.col("id").alias(name), story_terms(text, pack).alias("terms"))
-        return found.select(name, F.size("terms").alias("n"), F.explode("terms").alias("term"))
-
-    def one_way(a: DataFrame, a_name: str, b: DataFrame, b_name: str) -> DataFrame:
-        titles, stories = terms(a, a_name, False), terms(b, b_name, True).drop("n")
-        shared = titles.join(stories, "term").groupBy(a_name, b_name).agg(F.count("*").alias("m"), F.first("n").alias("n"))
-        return shared.where((F.col("m") >= 3) & (F.col("m") >= 0.4 * F.col("n"))).select("left_id", "right_id")
-
-    there = one_way(left, "left_id", right, "right_id")
-    return there.union(one_way(right, "right_id", left, "left_id").select("left_id", "right_id")).distinct()
+    def one_way(a: DataFrame, b: DataFrame) -> DataFrame:
+        titles = a.select(F.col("id").alias("a"), story_terms(F.col("title"), pack).alias("terms"))
+        stories = b.select(F.col("id").alias("b"), story_terms(F.concat_ws(" ", "title", "story"), pack).alias("all"))
+        titles, stories = durable(titles.where(F.size("terms") >= 3)), durable(stories)
+        told = stories.select("b", F.explode("all").alias("term"))
+        often = told.groupBy("term").agg(F.count("*").alias("df"))
+        # who shares enough terms shares one of the rarest: frequent ones need no join
+        listed = titles.select("a", F.explode("terms").alias("term")).join(often, "term", "left")
+        rare = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("rare")
+        n = F.size("rare")
+        prefix = F.slice("rare", 1, n - F.greatest(F.lit(3), F.ceil(n * 0.4).cast("int")) + 1)
+        shown = listed.groupBy("a").agg(rare).select("a", F.explode(prefix).alias("r")).select("a", "r.term")
+        candidates = shown.join(told, "term").select("a", "b").distinct()
+        shared = F.size(F.array_intersect("terms", "all"))
+        both = candidates.join(titles, "a").join(stories, "b")
+        return both.where((shared >= 3) & (shared >= 0.4 * F.size("terms"))).select("a", "b")
+
+    there = one_way(left, right).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"))
+    back = one_way(right, left).select(F.col("b").alias("left_id"), F.col("a").alias("right_id"))
+    return there.union(back).distinct()
 
 
 def not_in_registry(topics: DataFrame, urls: DataFrame, records: DataFrame, pack: Pack) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import norm
@@ -27,8 +26,9 @@ def upsert(registry: DataFrame, updates: DataFrame) -> DataFrame:
     by_title = u.join(r.select(F.col("pos").alias("at"), "key"), "key").select("pos", "at")
     target = by_url.union(by_title).groupBy("pos").agg(F.min("at").alias("at"))
     met = u.join(target, "pos", "left")
-    last = W.partitionBy(F.coalesce(F.col("at").cast("string"), F.concat(F.lit("new:"), "key"))).orderBy(F.desc("pos"))
-    met = met.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+    record = F.coalesce(F.col("at").cast("string"), F.concat(F.lit("new:"), "key")).alias("record")
+    last = F.max_by(F.struct(*met.columns), "pos").alias("last")  # partly before the shuffle
+    met = met.groupBy(record).agg(last).select("last.*")
     new = met.where("at is null").select("title", "status", "category", "url", "story", F.lit("inserted").alias("change"))
     names = ("title", "status", "category", "url", "story")
     change = met.where("at is not null").select("at", *[F.col(c).alias(f"u_{c}") for c in names])

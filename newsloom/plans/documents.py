@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as X
 from newsloom.functions.packs import CORPUS
 from newsloom.operators import classify as C
-from newsloom.operators import cluster, model, posts, rank, registry, topics
+from newsloom.operators import cluster, delivery, lookups, model, posts, rank, registry, topics
 from newsloom.plans.registry import query, read
 from newsloom.sources import feeds
 
@@ -350,3 +350,91 @@ def delivery_batch(spark, sf_dir: str) -> DataFrame:
         X.story_terms(F.concat_ws(" ", "title", "story"), P).alias("story_terms"),
     )
     return rank.first_delivery(rank.fresh_in_batch(shown))
+
+
+@query("""WITH c AS (SELECT 'src' || (item_id % 30) AS name FROM benchmark GROUP BY ALL), f AS (SELECT source AS name, min(doc_id) AS id FROM documents GROUP BY source)
+SELECT c.name, f.id, f.id IS NULL AS missing FROM c LEFT JOIN f USING (name)""")
+def group_lookup(spark, sf_dir: str) -> DataFrame:
+    """Configured groups with their ids, and those that weren't found."""
+    names = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 30).cast("string")).alias("name")).distinct()
+    found = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.min("doc_id").alias("id"))
+    gone = lookups.missing(names, found).withColumn("missing", F.lit(True))
+    rows = lookups.resolved(names, found).join(gone, "name", "left")
+    return rows.select("name", "id", F.coalesce("missing", F.lit(False)).alias("missing"))
+
+
+@query("""SELECT DISTINCT user_id, event_type FROM events e WHERE ts < TIMESTAMP '2024-01-20' AND EXISTS (SELECT 1 FROM events t
+  WHERE t.user_id = e.user_id AND t.event_type = e.event_type AND t.ts >= TIMESTAMP '2024-01-29')""")
+def still_seen(spark, sf_dir: str) -> DataFrame:
+    """Remembered keys that the last days' posts still have."""
+    events = read(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    at = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
+    seen = events.where(F.col("ts") < at("2024-01-20")).select("user_id", "event_type").distinct()
+    return lookups.still_seen(seen, events.where(F.col("ts") >= at("2024-01-29")), ["user_id", "event_type"])
+
+
+def conversation_topics(spark, sf_dir: str) -> DataFrame:
+    """Conversations as topics: turns are members, the user's turns have an address."""
+    rows = read(spark, sf_dir, "conversations")
+    c = F.col("conv_id").cast("string")
+    url = F.when(F.col("role") == "user", F.concat(F.lit("http://c/"), c, F.lit("/"), F.col("turn").cast("string")))
+    post = F.struct(F.col("role").alias("source"), F.when(F.col("turn") % 3 != 2, F.col("turn")).alias("id"), url.alias("url"), "text", F.lit(None).cast("string").alias("source_name"))
+    nested = topics.gathered(rows, "conv_id", "turn", post)
+    return nested.select(
+        "conv_id", "members", F.col("members")[0]["text"].alias("text"),
+        F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("http://p/"), F.col("conv_id").cast("string"))).alias("primary_url"),
+        F.when(F.col("conv_id") % 3 == 0, "assistant").alias("primary_source"), F.array().cast("array<string>").alias("source_urls"),
+    )
+
+
+@query(r"""WITH m AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' THEN 'http://c/' || conv_id || '/' || turn END AS url,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
+t AS (SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'http://p/' || conv_id END AS pu, CASE WHEN conv_id % 3 = 0 THEN 'assistant' ELSE '' END AS ps,
+  arg_min(text, turn) AS text FROM m GROUP BY conv_id),
+s AS (SELECT t.conv_id, t.text AS topic_text, pu, ps, m.text AS mtext, m.url AS murl, m.role, row_number() OVER (PARTITION BY t.conv_id ORDER BY (ps <> '' AND m.role = ps) DESC, place) AS n
+  FROM t JOIN m USING (conv_id)),
+c AS (SELECT *, coalesce(pu, murl, '') AS url FROM s WHERE n = 1),
+k AS (SELECT conv_id, CASE WHEN turn % 3 <> 2 THEN role || ':' || turn ELSE url END AS k FROM m UNION ALL SELECT conv_id, nullif(url, '') FROM c),
+a AS (SELECT conv_id, array_to_string(list_sort(list_distinct(list(k) FILTER (k IS NOT NULL))), ' ') AS member_keys FROM k GROUP BY conv_id),
+l AS (SELECT c.*, coalesce(list_extract(list_filter(list_transform(regexp_split_to_array(coalesce(topic_text, ''), '[
+]'), lambda x: trim(x)), lambda x: x <> ''), 1), '') AS line FROM c)
+SELECT l.conv_id, CASE WHEN url <> '' THEN url ELSE substr(lower(line), 1, 240) END AS key, member_keys,
+  CASE WHEN l.conv_id % 2 = 0 THEN 'Г: ' ELSE '' END || trim(regexp_replace(line, '\s+', ' ', 'g')) || chr(10) || chr(10) || 'Источник: ' || url AS message,
+  CASE WHEN role IS NULL OR ps <> '' THEN CASE WHEN ps = '' THEN 'Источник' ELSE ps END ELSE 'Источник' END AS name
+FROM l JOIN a USING (conv_id)""")
+def topic_messages(spark, sf_dir: str) -> DataFrame:
+    """Keys, source and message of each conversation as a topic."""
+    rows = conversation_topics(spark, sf_dir)
+    label = F.when(F.col("conv_id") % 2 == 0, "first")
+    made = rows.select("conv_id", delivery.keys().alias("k"), delivery.message(label, {"first": "Г:"}).alias("message"), delivery.source_of().alias("s"))
+    return made.select("conv_id", "k.key", F.array_join("k.member_keys", " ").alias("member_keys"), "message", "s.name")
+
+
+@query(f"""WITH j AS (SELECT conv_id, lower(string_agg(coalesce(text, ''), ' ' ORDER BY turn)) AS t, count(*) FILTER (role = 'user') > 0 OR conv_id % 4 = 0 AS linked
+  FROM conversations GROUP BY conv_id)
+SELECT conv_id FROM j WHERE conv_id % 7 <> 0 AND conv_id % 5 <> 1 AND (conv_id % 200) * 100 BETWEEN 0 AND 10800 AND linked
+  AND NOT {_any(P.excluded)} AND NOT {_any(P.promo)} AND NOT {_pattern(P.promo_patterns)}""")
+def actionable_topics(spark, sf_dir: str) -> DataFrame:
+    """Conversations that could be delivered as topics."""
+    i = F.col("conv_id")
+    score = F.when(i % 5 != 1, F.lit(1.0))
+    holds = delivery.actionable(-(i % 200) * 100, F.lit(0), i % 7 != 0, score, P)
+    return conversation_topics(spark, sf_dir).where(holds).select("conv_id")
+
+
+MODELS = [("golos", 3, 40, 0.5, [0.1, 0.5]), ("golos", 1, 35, 0.0, [0.0, -0.2]), ("zhest", 3, 50, 2.0, [-0.5, 2.0])]
+
+
+@query("""WITH m(audience, horizon, samples, scale, b0, b1) AS (VALUES ('golos', 3, 40, 0.5::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE),
+  ('golos', 1, 35, 0.0, 0.0, -0.2), ('zhest', 3, 50, 2.0, -0.5, 2.0)),
+f AS (SELECT doc_id, least(length(coalesce(text, '')), 2000) / 2000.0::DOUBLE AS x FROM documents),
+p AS (SELECT *, greatest(0.0::DOUBLE, exp(b0 + b1 * x) - 1) AS v FROM f, m)
+SELECT doc_id, audience, horizon::INT AS horizon, round(v, 6) AS predicted, round(least(100.0, 100.0 * v / greatest(scale, 1e-6::DOUBLE)), 1) AS priority, samples::INT AS training_samples FROM p""")
+def audience_predictions(spark, sf_dir: str) -> DataFrame:
+    """Predictions of every audience's models."""
+    rows = [(a, h, n, s, ["intercept", "text_length"], b) for a, h, n, s, b in MODELS]
+    models = spark.createDataFrame(rows, "audience string, horizon int, samples int, scale double, features array<string>, coefficients array<double>")
+    made = model.features(F.col("text"), F.lit(0), P)
+    docs = read(spark, sf_dir, "documents").select("doc_id", *[made[n].alias(n) for n in ("intercept", "text_length")])
+    found = lookups.audience_scores(docs, models, ["intercept", "text_length"])
+    return found.select("doc_id", "audience", "horizon", F.round("predicted", 6).alias("predicted"), "priority", "training_samples")

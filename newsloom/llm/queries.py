@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import secrets, suffixes, warc
 from .bpe import op4_bpe
 from .media import op7_media
 from .packing import op6_packing
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.SQL}
+    return {"op1_secrets": secrets.SQL, "op2_suffixes": suffixes.SQL, "op8_warc": warc.SQL}

@@ -22,6 +22,8 @@ Documents are dealt into runs. In order:
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import suppress
 from hashlib import sha256
 
 import numpy as np
@@ -37,8 +39,8 @@ LENGTH, GRAM = 50, 24
 PLACES = LENGTH - GRAM + 1
 #: Bytes of a suffix with those before it, and the byte that stands for none (never in UTF-8).
 WIDTH, NONE = LENGTH + PLACES - 1, 0xFF
-#: Bytes of text in a run, occurrences that make an anchor frequent, sampled anchors at most.
-RUN, FREQUENT, SAMPLES = 16 << 20, 50_000, 40_000
+#: Bytes of text in a run, occurrences that make an anchor frequent, k-grams sampled for a run.
+RUN, FREQUENT, SAMPLED = 16 << 20, 50_000, 100
 ALL = np.uint32((1 << PLACES) - 1)
 LAST = 2**63 - 1
 
@@ -76,23 +78,24 @@ class Laid:
 
     def __init__(self, table: pa.Table):
         ids = [LAST if i is None else i for i in table.column("doc_id").to_pylist()]
-        texts = [(t or "").encode() for t in table.column("text").to_pylist()]
+        texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         gap = bytes([NONE]) * LENGTH
-        self.data = np.frombuffer(gap + b"".join(texts[i] + gap for i in self.order), np.uint8)
+        self.data = np.frombuffer(gap.join([b"", *[texts[i] for i in self.order], b""]), np.uint8)
         self.size = np.array([len(texts[i]) for i in self.order], np.int64)
+        del texts
         self.begin = LENGTH + np.cumsum(self.size + LENGTH) - self.size - LENGTH
         self.ids = np.array([ids[i] for i in self.order], np.int64)
         long = self.size >= LENGTH
         steps = np.zeros(len(self.data) + 1, np.int8)
         steps[self.begin[long]] += 1
         steps[(self.begin + self.size)[long] - LENGTH + 1] -= 1
-        self.whole = np.cumsum(steps[:-1], dtype=np.int8).view(bool)  # a string starts here
+        self.whole = np.cumsum(steps[:-1], dtype=np.int8).view(bool)  # a string begins here
 
     def owner(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begin, places, "right") - 1
 
-    def anchors(self, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self, part: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of all k-grams that are the least of some string."""
         places, hashes = [], []
         for a in range(0, len(self.data) - LENGTH + 1, part):
@@ -142,7 +145,8 @@ class Strings:
         n, width = rows.shape
         wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
         wide[:, :width] = rows
-        columns = wide.view(">u8").astype(np.uint64)
+        del rows
+        columns = wide.view(">u8")
         for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
             h = np.zeros(n, np.uint64)
             for c in columns.T:
@@ -152,17 +156,17 @@ class Strings:
             first = np.r_[True, ordered[1:] != ordered[:-1]][:n]
             group = np.cumsum(first) - 1
             stands = order[first]
-            if (columns[order] == columns[stands[group]]).all():
+            if all((c[order] == c[stands][group]).all() for c in columns.T):
                 break
         else:
             raise RuntimeError("three hashes in turn took different strings for equal")
-        sort = np.lexsort(columns[stands].T[::-1]) if len(stands) else np.empty(0, np.int64)
+        sort = np.lexsort([c[stands] for c in columns.T[::-1]]) if len(stands) else np.empty(0, np.int64)
         rank = np.empty(len(sort), np.int64)
         rank[sort] = np.arange(len(sort))
         self.stands = stands[sort]  # of each distinct string: the row that stands for it
         self.of = np.empty(n, np.int64)  # of each row: its string's number
         self.of[order] = rank[group]
-        self.rows = rows[self.stands]
+        self.rows = wide[self.stands][:, :width]
         self.hash = h[self.stands]
 
     def front_coded(self, chosen: np.ndarray) -> tuple[bytes, bytes]:
@@ -337,6 +341,13 @@ NAMES = ["to", "run", "kind", "first", "shared", "rest", "docs"]
 KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
 
+def frugal() -> None:
+    """Large arrays go back to the system when they are freed, not to this worker's heap: the
+    workers of an executor share its memory."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+
+
 def as_table(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -348,6 +359,7 @@ def run_of(table: pa.Table) -> int:
 
 def send_hashes(parts: int):
     def of(table: pa.Table) -> pa.Table:
+        frugal()
         grams = Grams(Laid(table), parts)
         edges = np.searchsorted(grams.part, np.arange(parts + 1))
         rows = [
@@ -397,6 +409,7 @@ def send_runs(parts: int, splits: list[bytes]):
     """Front-coded fragments of a run for each range, and its classes for its own later use."""
 
     def of(texts: pa.Table, sent: pa.Table) -> pa.Table:
+        frugal()
         if not texts.num_rows:
             return as_table([], NAMES, KINDS)
         run, laid = run_of(texts), Laid(texts)
@@ -465,13 +478,19 @@ def removed(laid: Laid, parts: int, told: list[dict]) -> np.ndarray:
         for o in range(PLACES):
             starts = places[(mask >> np.uint32(o)) & np.uint32(1) > 0] - o
             gone[starts[laid.whole[starts]]] = True
-    total = np.r_[0, np.cumsum(gone, dtype=np.int32)]
-    ends = np.arange(1, len(total))
-    return total[ends] > total[np.maximum(ends - LENGTH, 0)]
+    del ordered
+    n = len(gone)
+    total = np.zeros(n + 1, np.int32)
+    np.cumsum(gone, dtype=np.int32, out=total[1:])
+    covered = np.empty(n, bool)  # by a string that begins at most LENGTH - 1 bytes before
+    covered[: LENGTH - 1] = total[1:LENGTH] > 0
+    covered[LENGTH - 1 :] = total[LENGTH:] > total[: n - LENGTH + 1]
+    return covered
 
 
 def give_back(parts: int, give, names: list[str], kinds: list):
     def of(texts: pa.Table, told: pa.Table) -> pa.Table:
+        frugal()
         rows: list[tuple] = []
         if texts.num_rows:
             laid = Laid(texts)
@@ -486,33 +505,35 @@ def give_back(parts: int, give, names: list[str], kinds: list):
     return of
 
 
-def survey(rows: DataFrame) -> tuple[int, list[bytes]]:
-    """Bytes of all texts, and a bounded sample of their anchors' k-grams in order."""
+def survey(rows: DataFrame, run: int) -> tuple[int, list[bytes]]:
+    """How many runs the texts make, and where the ranges of the alphabet begin: quantiles of
+    about ``SAMPLED`` k-grams a run, of every 64th document where there are many."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = max(1, total // (SAMPLES * 200))
+    parts = max(24, -(-total // run)) if total > 1 << 20 else 4
+    some = total > 1 << 26
+    part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0) if some else rows
+    # about every 14th byte has an anchor
+    step = max(1, total // (14 * (64 if some else 1) * SAMPLED * parts))
 
     def make():
-        def step(batch: pa.RecordBatch):
+        def pick(batch: pa.RecordBatch):
             laid = Laid(pa.Table.from_batches([batch]))
             places, hashes = laid.anchors()
-            places = places[mixed(hashes) % np.uint64(wanted * 16) == 0]
+            places = places[mixed(hashes) % np.uint64(step) == 0]
             found = sliding_window_view(laid.data, GRAM)[places] if len(places) else []
             yield pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in found], pa.binary())], names=["gram"])
 
-        return step
+        return pick
 
-    part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0) if total > 1 << 26 else rows
-    found = arrow_map(part, make, "gram binary").limit(SAMPLES).toArrow().column("gram").to_pylist()
-    return total, sorted(set(found))
+    found = sorted(arrow_map(part, make, "gram binary").limit(4 * SAMPLED * parts).toArrow().column("gram").to_pylist())
+    return parts, sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
 
 
 def analysed(
     df: DataFrame, id: str, text: str, schema: str, give, run: int, frequent: int, keep: dict[str, str]
 ) -> DataFrame:
     rows = narrow(df, doc_id=id, text=text, **keep)
-    total, sample = survey(rows.select("doc_id", "text"))
-    parts = max(24, -(-total // run)) if total > 1 << 20 else 4
-    splits = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+    parts, splits = survey(rows.select("doc_id", "text"), run)
     dealt = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     by_run = dealt.groupBy("run")
     hashes = by_run.applyInArrow(send_hashes(parts), "part int, run int, keys binary, flags binary")
@@ -571,3 +592,20 @@ def digests(
 def op2_suffixes(spark, sf_dir: str) -> DataFrame:
     """Each document without the strings of 50 bytes that smaller ids have."""
     return digests(read(spark, sf_dir, "documents"))
+
+
+#: The definition itself, over the strings at every byte.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - {LENGTH - 1}, 0))) AS p FROM d),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * LENGTH}) AS s FROM w),
+m AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s),
+c AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM s JOIN m USING (s) WHERE first < doc_id),
+i AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM c),
+r AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM i GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM r),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last,
+  string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""

@@ -171,3 +171,11 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc"
     write(read(spark, sf_dir, "pages"), folder)
     return read_back(spark, folder).drop("url")
+
+
+SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= {LEAST} GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND n >= {LEAST}"""

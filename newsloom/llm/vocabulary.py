@@ -40,6 +40,10 @@ CONTROLS = re.compile("[\x1c-\x1f]")
 
 #: Marks that are a pre-token of their own after letters.
 MARKS = frozenset(".,;:!?")
+#: Before a part without a space before it, and for a line feed: no text holds surrogates.
+HEAD, LINE = "\ud800", "\ud801"
+#: White space that would join a line feed beside it.
+BESIDE = ("\n\n", "\n ", " \n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
 
 
 class Vocabulary:
@@ -87,6 +91,8 @@ class Vocabulary:
 class SpacedVocabulary(Vocabulary):
     """Byte-level BPE: a pre-token may begin with one space."""
 
+    lead = " "
+
     @cached_property
     def pattern(self) -> regex.Pattern:
         # Fixed value: the published split pattern of this vocabulary.
@@ -94,10 +100,15 @@ class SpacedVocabulary(Vocabulary):
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         )
 
-    def chunks(self, segment: str) -> list[str]:
-        """Parts that hold whole pre-tokens; all but the first lost one leading space, which
-        ``words(part, spaced=True)`` puts back. Runs of spaces are split by the pattern."""
-        return segment.split(" ")
+    def chunks(self, segment: str) -> list[str] | None:
+        """Parts that hold whole pre-tokens: with HEAD as they are, without it after one space.
+        A line feed alone between others is the part LINE. None for runs of spaces, which only
+        the pattern splits."""
+        if "  " in segment:
+            return None
+        if "\n" in segment and not any(x in segment for x in BESIDE) and (segment.isascii() or not PLAIN.search(segment)):
+            segment = segment.replace("\n", f" {LINE} {HEAD}")
+        return (HEAD + segment).split(" ")
 
     def words(self, chunk: str) -> list[str]:
         if not chunk.isascii() and PLAIN.search(chunk):
@@ -108,6 +119,8 @@ class SpacedVocabulary(Vocabulary):
 class WordVocabulary(Vocabulary):
     """BPE with word ends: lower case, white space dropped."""
 
+    lead = ""
+
     @cached_property
     def pattern(self) -> regex.Pattern:
         # Fixed value: the published split pattern of this vocabulary.
@@ -135,90 +148,87 @@ class Tokens:
 
     ``solve`` takes the pre-tokens not seen lately, all at once, and gives a value for each;
     ``join`` puts values together. Values are kept for about ``limit`` chunks; what comes later
-    is worked out for its batch alone, which costs time and changes no result. When most chunks
+    is worked out for its batch alone, which costs time and changes no result. When many chunks
     of a batch are new, the memory starts afresh.
     """
 
-    def __init__(self, vocabulary, solve, join, special, limit: int = 300_000, long: int = 60):
+    def __init__(self, vocabulary, solve, join, special, limit: int = 400_000, long: int = 60):
         self.vocabulary, self.solve, self.join, self.special = vocabulary, solve, join, special
         self.limit, self.long = limit, long
-        self.spaced = isinstance(vocabulary, SpacedVocabulary)
-        self.heads: dict = {}
-        self.rest: dict = {}
-        self.by_word: dict = {}
+        self.by_word: dict = dict(zip(MARKS, solve(list(MARKS)), strict=True))
+        self.fixed = {LINE: solve(["\n"])[0]} if vocabulary.lead else {}
+        self.by_chunk: dict = dict(self.fixed)
 
     def of(self, texts: list[str]) -> list:
         """The value of each text."""
-        laid, heads, rest, whole = [], set(), set(), set()
+        laid, new, whole, total, get = [], set(), set(), 0, self.by_chunk.get
         for text in texts:
             parts = []
             for segment, special in self.vocabulary.segments(text):
-                if self.spaced and "  " in segment:
+                chunks = self.vocabulary.chunks(segment)
+                if chunks is None:
                     words = self.vocabulary.words(segment)
                     whole.update(words)
-                    parts.append((None, words, special))
+                    parts.append((words, None, (), special))
                     continue
-                chunks = self.vocabulary.chunks(segment)
-                head = None
-                if self.spaced:
-                    head = chunks[0]
-                    heads.add(head)
-                    del chunks[0]
-                rest.update(chunks)
-                parts.append((head, chunks, special))
+                total += len(chunks)
+                values, gaps, at = list(map(get, chunks)), [], -1
+                for _ in range(values.count(None)):
+                    at = values.index(None, at + 1)
+                    gaps.append(at)
+                    new.add(chunks[at])
+                parts.append((chunks, values, gaps, special))
             laid.append(parts)
-        passing = self._learn(heads, rest, whole)
-        out = [self.join([self._value(p) for p in parts]) for parts in laid]
+        passing = self._learn(new, whole, total)
+        out = [self.join([self._value(*p) for p in parts]) for parts in laid]
         for table, keys in passing:
             for key in keys:
                 del table[key]
         return out
 
-    def _value(self, part):
-        head, chunks, special = part
-        if self.spaced and head is None:
+    def _value(self, chunks, values, gaps, special):
+        if values is None:
             values = [self.by_word[w] for w in chunks]
-        else:
-            values = list(map(self.rest.__getitem__, chunks))
-            if head is not None:
-                values.insert(0, self.heads[head])
+        table = self.by_chunk
+        for at in gaps:
+            values[at] = table[chunks[at]]
         if special is not None:
             values.append(self.special(special))
         return self.join(values)
 
-    def _learn(self, heads, rest, whole) -> list:
-        """Works out what the batch needs; returns (table, keys) that shouldn't be kept."""
-        split, lead, known, table = self.vocabulary.words, " " if self.spaced else "", self.by_word, self.rest
-        new, new_heads = rest.difference(table), heads.difference(self.heads)
-        plain, tailed, odd = set(), [], []
+    def _learn(self, new, whole, total) -> list:
+        """Works out what the batch of ``total`` chunks needs; returns (table, keys) that
+        shouldn't be kept."""
+        split, lead, known, table = self.vocabulary.words, self.vocabulary.lead, self.by_word, self.by_chunk
+        plain: dict[str, str] = {}
+        tailed, odd, search = [], [], PLAIN.search
         for c in new:
+            word, own = (c[1:], "") if c[:1] == HEAD else (c, lead)
             # letters alone are one pre-token, with a mark after them two: no need for the pattern
-            if c.isascii() or not PLAIN.search(c):
-                if c.isalpha():
-                    plain.add(c)
+            if word.isascii() or not search(word):
+                if word.isalpha():
+                    plain[c] = own + word
                     continue
-                if c[-1:] in MARKS and c[:-1].isalpha():
+                if word[-1:] in MARKS and word[:-1].isalpha():
                     tailed.append(c)
                     if c[:-1] not in table:
-                        plain.add(c[:-1])
+                        plain[c[:-1]] = own + word[:-1]
                     continue
-            odd.append((table, c, split(lead + c)))
-        odd += [(self.heads, c, split(c)) for c in new_heads]
-        words = set(whole).union(MARKS, *[ws for _, _, ws in odd])
-        plain, unseen = list(plain), list(words.difference(known))
-        values = self.solve([lead + c for c in plain] + unseen)
+            odd.append((c, split(own + word)))
+        unseen = list(whole.union(*[ws for _, ws in odd]).difference(known))
+        values = self.solve([*plain.values(), *unseen])
         table.update(zip(plain, values, strict=False))
         known.update(zip(unseen, values[len(plain) :], strict=True))
         join = self.join
         for c in tailed:
             table[c] = join((table[c[:-1]], known[c[-1]]))
-        for into, c, ws in odd:
-            into[c] = join([known[w] for w in ws])
-        fresh = [*plain, *tailed, *[c for into, c, _ in odd if into is table]]
+        for c, ws in odd:
+            table[c] = join([known[w] for w in ws])
         out = []
-        for into, keys in ((table, fresh), (self.heads, list(new_heads)), (known, [w for w in unseen if w not in MARKS])):
+        fresh = [*plain, *tailed, *[c for c, _ in odd]]
+        for into, keys, kept in ((table, fresh, self.fixed), (known, unseen, MARKS)):
             if len(into) > self.limit:
-                out.append((into, keys if 2 * len(keys) < len(rest) else [k for k in into if k not in MARKS]))
+                out.append((into, keys if 3 * len(new) < total else [k for k in into if k not in kept]))
             else:
                 out.append((into, [k for k in keys if len(k) > self.long]))
         return out

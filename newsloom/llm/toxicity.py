@@ -34,6 +34,10 @@ WORD = re.compile(r"\w+")
 PRIOR, DRIFT, LEAST, MOST = 12.0, 1.0, -2.0, 9.0
 #: Sampled rows of a label, words and beginnings that the model keeps, toxic rows each needs.
 MOST_ROWS, MOST_WORDS, SUPPORT = 25_000, 300_000, 3
+#: Passages as good that chance may give a text, for one of them to count beside the best.
+CHANCE = 1.0
+#: Width of the bins in which the clean words' weights are counted.
+BIN = 0.05
 #: Bounds of the evidence in the curve.
 LOW, HIGH = -20.0, 40.0
 
@@ -141,14 +145,19 @@ def passages(weights: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def evidence(found: list[float], words: int, scale: float) -> float:
-    """-log of the p-value of the best sum of r segment scores among ``words`` words."""
-    best, total = -math.log(max(words, 1)), 0.0
+    """-log of the p-value of the best sum of r significant segment scores among ``words`` words.
+
+    A segment is significant if fewer than ``CHANCE`` as good ones are expected by chance in a
+    text of that length; the best one counts in any case.
+    """
+    size = math.log(max(words, 1))
+    best, total = -size, 0.0
     for r, score in enumerate(sorted(found, reverse=True), 1):
-        total += scale * score - math.log(words)
-        z = total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r)
-        if z <= best and r > 3:
+        own = scale * score - size
+        if r > 1 and own < -math.log(CHANCE):
             break
-        best = max(best, z)
+        total += own
+        best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r))
     return best
 
 
@@ -159,12 +168,11 @@ def learn(rows: DataFrame) -> Model | None:
     def make():
         def step(batch: pa.RecordBatch):
             clean, toxic, above = {}, {}, {}
-            n, words = [0, 0], 0
+            n = [0, 0]
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 into, n[label] = (toxic if label else clean), n[label] + 1
                 seen = set()
                 own = set(WORD.findall((text or "").lower()))
-                words += 0 if label else len(own)
                 for word in own:
                     keys = keys_of(word)
                     seen.update(keys)
@@ -174,10 +182,10 @@ def learn(rows: DataFrame) -> Model | None:
             keys = list(above)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([0, 1, *keys], pa.int64()),
-                    pa.array([n[0], words, *[clean.get(k, 0) for k in keys]], pa.int64()),
-                    pa.array([n[1], 0, *[toxic.get(k, 0) for k in keys]], pa.int64()),
-                    pa.array([0, 0, *[above[k] for k in keys]], pa.int64()),
+                    pa.array([0, *keys], pa.int64()),
+                    pa.array([n[0], *[clean.get(k, 0) for k in keys]], pa.int64()),
+                    pa.array([n[1], *[toxic.get(k, 0) for k in keys]], pa.int64()),
+                    pa.array([0, *[above[k] for k in keys]], pa.int64()),
                 ],
                 names=["key", "clean", "toxic", "above"],
             )
@@ -186,24 +194,45 @@ def learn(rows: DataFrame) -> Model | None:
 
     counted = arrow_map(rows, make, "key long, clean long, toxic long, above long", rows=1000)
     sums = counted.groupBy("key").agg(*[f(c).alias(c) for f, c in ((F.sum, "clean"), (F.sum, "toxic"), (F.min, "above"))])
-    sums = durable(sums.where((F.col("toxic") >= SUPPORT) | F.col("key").isin(0, 1)))
-    total = {r["key"]: r for r in sums.where(F.col("key").isin(0, 1)).collect()}
-    if 0 not in total or not total[0]["clean"] or not total[0]["toxic"]:
+    sums = durable(sums.where((F.col("toxic") >= SUPPORT) | (F.col("key") == 0)))
+    total = sums.where("key = 0").first()
+    if total is None or not total["clean"] or not total["toxic"]:
         return None
-    found = sums.where(~F.col("key").isin(0, 1)).orderBy(F.desc("toxic"), "clean", "key").limit(MOST_WORDS)
+    found = sums.where("key <> 0").orderBy(F.desc("toxic"), "clean", "key").limit(MOST_WORDS)
     found = list(zip(*[c.to_pylist() for c in found.toArrow().columns], strict=True))
-    weights = log_odds(found, total[0]["clean"], total[0]["toxic"])
+    weights = log_odds(found, total["clean"], total["toxic"])
     keys = np.array(sorted(weights), np.int64)
     values = np.clip([weights[k] for k in keys.tolist()], LEAST, MOST).astype(np.float32)
-    below = {above for _, _, _, above in found}
-    s, n = np.array([[min(weights[k], MOST) - DRIFT, c] for k, c, _, _ in found if k not in below] or [[0, 0]]).T
-    rest = max(total[1]["clean"] - n.sum(), 1.0)
+    return Model(keys, values, 1.0)
+
+
+def calibrated(rows: DataFrame, model: Model) -> Model:
+    """The model with the extreme-value law of (text, toxic) rows that it wasn't learned from:
+    lambda is the positive root of mean(exp(lambda * s)) = 1 over the clean rows' words, whose
+    weights are counted in bins."""
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            counts = np.zeros(int((MOST - LEAST) / BIN) + 2, np.int64)
+            for text in batch.column("text").to_pylist():
+                weights = model.of((text or "").lower().split())
+                counts += np.bincount(((weights - LEAST) / BIN).astype(np.int64), minlength=len(counts))
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["bin", "n"])
+
+        return step
+
+    clean = rows.where("toxic = 0").select("text")
+    found = arrow_map(clean, make, "bin long, n long", rows=2000).groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    if not found:
+        return model
+    s, n = np.array([[LEAST + BIN * (r["bin"] + 0.5) - DRIFT, r["n"]] for r in found]).T
     low, high = 1e-3, 20.0
     for _ in range(60):  # the only positive root, as the mean of s is negative
         mid = (low + high) / 2
-        mean = ((n * np.exp(np.minimum(mid * s, 300.0))).sum() + rest * math.exp(-mid * DRIFT)) / (rest + n.sum())
+        mean = (n * np.exp(np.minimum(mid * s, 300.0))).sum() / n.sum()
         low, high = (mid, high) if mean < 1 else (low, mid)
-    return Model(keys, values, low)
+    return Model(model.keys, model.weights, low)
 
 
 def curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -319,9 +348,11 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
     if model is None:
         return Scorer(None)
     rest = sample(known.where("fold = 1"), MOST_ROWS // 2).select("doc_id", "toxic")
-    pairs = _evidence(rows.join(F.broadcast(rest), "doc_id").select("text", "toxic"), model)
-    if len(set(pairs[1].tolist())) < 2:
-        pairs = _evidence(learned, model)
+    unseen = rows.join(F.broadcast(rest), "doc_id").select("text", "toxic")
+    if unseen.select("toxic").distinct().count() < 2:
+        unseen = learned
+    model = calibrated(unseen, model)
+    pairs = _evidence(unseen, model)
     return Scorer(model, *curve(*pairs))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,11 +110,16 @@ def without_legacy(df: DataFrame) -> DataFrame:
 
 
 def of_day(df: DataFrame, day: str, hours: int = 6, timestamp: str = "timestamp") -> DataFrame:
-    """Posts of one civil day at a fixed offset: a range of epoch seconds, which reaches the scan.
-    Posts without a positive time are dropped."""
-    start = F.unix_seconds(F.lit(f"{day} 00:00:00").cast("timestamp")) - hours * 3600
+    """Posts of one civil day at a fixed offset, as a range of the column itself, which reaches
+    the scan. The column holds epoch seconds, of which only positive ones count, or UTC times
+    without a zone."""
+    start = datetime.fromisoformat(day) - timedelta(hours=hours)
     at = F.col(timestamp)
-    return df.where((at > 0) & (at >= start) & (at < start + 86400))
+    if isinstance(df.schema[timestamp].dataType, T.TimestampNTZType):
+        edges = [F.lit(x).cast("timestamp_ntz") for x in (start.isoformat(), (start + timedelta(days=1)).isoformat())]
+        return df.where((at >= edges[0]) & (at < edges[1]))
+    first = int(start.replace(tzinfo=timezone.utc).timestamp())
+    return df.where((at > 0) & (at >= first) & (at < first + 86400))
 
 
 def latest(df: DataFrame, keys, order) -> DataFrame:

@@ -137,10 +137,17 @@ def _terms(value: str) -> str:
     return f"list_distinct(list_filter({stems}, lambda x: length(x) >= 4 AND NOT list_contains([{STOP}], x)))"
 
 
-@query(f"""WITH l AS (SELECT doc_id AS id, substr(text, 1, 80) AS title, substr(text, 1, 900) AS story FROM documents WHERE text IS NOT NULL),
-r AS (SELECT item_id AS id, substr(text, 1, 80) AS title, substr(text, 1, 900) AS story FROM benchmark WHERE text IS NOT NULL),
+#: The first line is the title, the first 900 characters the story, as records keep them.
+LINE = r"""coalesce(list_extract(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\n\r\x0b\x0c]'),
+  lambda x: trim(x)), lambda x: x <> ''), 1), '')"""
+FLAT = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+STORIES = f"""l AS (SELECT doc_id AS id, {LINE} AS title, substr({FLAT}, 1, 900) AS story FROM documents),
+r AS (SELECT item_id AS id, {LINE} AS title, substr({FLAT}, 1, 900) AS story FROM benchmark),
 lt AS (SELECT id, {_terms("title")} AS t, {_terms("title || ' ' || story")} AS s FROM l),
-rt AS (SELECT id, {_terms("title")} AS t, {_terms("title || ' ' || story")} AS s FROM r)
+rt AS (SELECT id, {_terms("title")} AS t, {_terms("title || ' ' || story")} AS s FROM r)"""
+
+
+@query(f"""WITH {STORIES}
 SELECT lt.id AS left_id, rt.id AS right_id FROM lt, rt WHERE
   (len(list_intersect(lt.t, rt.s)) >= 3 AND len(list_intersect(lt.t, rt.s)) >= 0.4::DOUBLE * len(lt.t))
   OR (len(list_intersect(rt.t, lt.s)) >= 3 AND len(list_intersect(rt.t, lt.s)) >= 0.4::DOUBLE * len(rt.t))""")
@@ -152,15 +159,13 @@ def story_links(spark, sf_dir: str) -> DataFrame:
 def stories(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     out = []
     for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
-        rows = read(spark, sf_dir, name).where("text is not null")
-        out.append(rows.select(F.col(key).alias("id"), F.substring("text", 1, 80).alias("title"), F.substring("text", 1, 900).alias("story")))
+        text = F.coalesce("text", F.lit(""))
+        story = F.substring(X.clean(text), 1, 900).alias("story")
+        out.append(read(spark, sf_dir, name).select(F.col(key).alias("id"), X.first_line(text).alias("title"), story))
     return out[0], out[1]
 
 
-@query(f"""WITH l AS (SELECT doc_id AS id, substr(text, 1, 80) AS title, substr(text, 1, 900) AS story FROM documents WHERE text IS NOT NULL),
-r AS (SELECT item_id AS id, substr(text, 1, 80) AS title, substr(text, 1, 900) AS story FROM benchmark WHERE text IS NOT NULL),
-lt AS (SELECT id, {_terms("title")} AS t, {_terms("title || ' ' || story")} AS s FROM l),
-rt AS (SELECT id, {_terms("title")} AS t, {_terms("title || ' ' || story")} AS s FROM r),
+@query(f"""WITH {STORIES},
 h AS (SELECT DISTINCT lt.id FROM lt, rt WHERE
   (len(list_intersect(lt.t, rt.s)) >= 3 AND len(list_intersect(lt.t, rt.s)) >= 0.4::DOUBLE * len(lt.t))
   OR (len(list_intersect(rt.t, lt.s)) >= 3 AND len(list_intersect(rt.t, lt.s)) >= 0.4::DOUBLE * len(rt.t)))
@@ -195,7 +200,7 @@ def nested_members(spark, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT item_id AS pos, 'title ' || item_id AS title, CASE WHEN item_id % 3 = 0 THEN 'published' ELSE 'rejected' END AS status,
   'u' || item_id AS url FROM benchmark),
 u AS (SELECT doc_id AS pos, 'Title  ' || (doc_id % 70) AS title, CASE WHEN doc_id % 2 = 0 THEN 'rejected' ELSE 'published' END AS status,
-  CASE WHEN doc_id % 7 = 0 THEN 'u' || (doc_id % 50) ELSE '' END AS url FROM documents WHERE doc_id < 100),
+  CASE WHEN doc_id % 7 = 0 THEN 'u' || (doc_id % 50) ELSE '' END AS url FROM documents),
 t AS (SELECT u.pos, min(r.pos) AS tgt FROM u JOIN r ON (u.url <> '' AND u.url = r.url)
   OR trim(regexp_replace(lower(u.title), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(r.title), '\\s+', ' ', 'g')) GROUP BY u.pos),
 m AS (SELECT u.*, t.tgt, row_number() OVER (PARTITION BY coalesce(t.tgt::VARCHAR, 'new:' || trim(regexp_replace(lower(title), '\\s+', ' ', 'g')))
@@ -213,7 +218,7 @@ def registry_upsert(spark, sf_dir: str) -> DataFrame:
         i.alias("pos"), F.concat(F.lit("title "), i.cast("string")).alias("title"),
         F.when(i % 3 == 0, "published").otherwise("rejected").alias("status"), F.concat(F.lit("u"), i.cast("string")).alias("url"), *empty,
     )
-    new = read(spark, sf_dir, "documents").where("doc_id < 100").select(
+    new = read(spark, sf_dir, "documents").select(
         d.alias("pos"), F.concat(F.lit("Title  "), (d % 70).cast("string")).alias("title"),
         F.when(d % 2 == 0, "rejected").otherwise("published").alias("status"),
         F.when(d % 7 == 0, F.concat(F.lit("u"), (d % 50).cast("string"))).otherwise("").alias("url"), *empty,
@@ -221,16 +226,16 @@ def registry_upsert(spark, sf_dir: str) -> DataFrame:
     return registry.upsert(old, new).select("title", "status", "url", "change")
 
 
-@query("""WITH r AS (SELECT conv_id % 40 AS message_id, turn, conv_id, CASE WHEN turn % 3 = 0 THEN '+' WHEN turn % 3 = 1 THEN '-' ELSE '?' END AS symbol FROM conversations)
+@query("""WITH r AS (SELECT conv_id % 60 AS message_id, turn, conv_id, CASE WHEN turn % 3 = 0 THEN '+' WHEN turn % 3 = 1 THEN '-' ELSE '?' END AS symbol FROM conversations)
 SELECT conv_id, turn, CASE WHEN b.item_id IS NULL THEN 'unknown_message' WHEN symbol = '+' THEN 'published' WHEN symbol = '-' THEN 'rejected'
-  ELSE 'usage_hint' END AS outcome FROM r LEFT JOIN benchmark b ON b.item_id = r.message_id AND b.item_id < 30""")
+  ELSE 'usage_hint' END AS outcome FROM r LEFT JOIN benchmark b ON b.item_id = r.message_id""")
 def feedback(spark, sf_dir: str) -> DataFrame:
     """What each reply to a delivered message asks for."""
     replies = read(spark, sf_dir, "conversations").select(
-        F.lit("c").alias("chat_id"), (F.col("conv_id") % 40).alias("message_id"), "conv_id", "turn",
+        F.lit("c").alias("chat_id"), (F.col("conv_id") % 60).alias("message_id"), "conv_id", "turn",
         F.when(F.col("turn") % 3 == 0, "+").when(F.col("turn") % 3 == 1, "-").otherwise("?").alias("symbol"),
     )
-    sent = read(spark, sf_dir, "benchmark").where("item_id < 30").select(
+    sent = read(spark, sf_dir, "benchmark").select(
         F.lit("c").alias("chat_id"), F.col("item_id").alias("message_id"), F.col("item_id").alias("topic")
     )
     return registry.answered(replies, sent).select("conv_id", "turn", "outcome")
@@ -329,14 +334,16 @@ def source_union(spark, sf_dir: str) -> DataFrame:
     return every.groupBy("source").agg(F.count("*").alias("posts"), F.count_distinct("id").alias("ids"))
 
 
-@query("""WITH a AS (SELECT 'c' || item_id AS channel, 'own' AS name FROM benchmark WHERE item_id < 25 UNION ALL SELECT '@DPS155', 'own'),
-b AS (SELECT 'c' || item_id AS channel, 'set' AS name FROM benchmark WHERE item_id >= 15)
+@query("""WITH a AS (SELECT 'c' || item_id AS channel, 'own' AS name FROM benchmark UNION ALL SELECT '@DPS155', 'own'),
+b AS (SELECT DISTINCT 'c' || (doc_id % 60) AS channel, 'set' AS name FROM documents)
 SELECT channel, coalesce(b.name, a.name) AS name FROM a FULL JOIN b USING (channel) WHERE lower(ltrim(channel, '@')) <> 'dps155'""")
 def channel_override(spark, sf_dir: str) -> DataFrame:
     """Default channels overridden by configured ones, without the excluded."""
-    rows = read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("channel"))
-    own = rows.where("item_id < 25").select("channel").union(spark.createDataFrame([("@DPS155",)], "channel string"))
-    return posts.channels(own.withColumn("name", F.lit("own")), rows.where("item_id >= 15").select("channel", F.lit("set").alias("name")))
+    channel = lambda n: F.concat(F.lit("c"), n.cast("string")).alias("channel")
+    own = read(spark, sf_dir, "benchmark").select(channel(F.col("item_id")))
+    own = own.union(spark.createDataFrame([("@DPS155",)], "channel string")).withColumn("name", F.lit("own"))
+    configured = read(spark, sf_dir, "documents").select(channel(F.col("doc_id") % 60)).distinct()
+    return posts.channels(own, configured.withColumn("name", F.lit("set")))
 
 
 @query()
@@ -397,7 +404,8 @@ c AS (SELECT *, coalesce(pu, murl, '') AS url FROM s WHERE n = 1),
 k AS (SELECT conv_id, CASE WHEN turn % 3 <> 2 THEN role || ':' || turn ELSE url END AS k FROM m UNION ALL SELECT conv_id, nullif(url, '') FROM c),
 a AS (SELECT conv_id, array_to_string(list_sort(list_distinct(list(k) FILTER (k IS NOT NULL))), ' ') AS member_keys FROM k GROUP BY conv_id),
 l AS (SELECT c.*, coalesce(list_extract(list_filter(list_transform(regexp_split_to_array(coalesce(topic_text, ''), '[
-]'), lambda x: trim(x)), lambda x: x <> ''), 1), '') AS line FROM c)
+
+]'), lambda x: trim(x)), lambda x: x <> ''), 1), '') AS line FROM c)
 SELECT l.conv_id, CASE WHEN url <> '' THEN url ELSE substr(lower(line), 1, 240) END AS key, member_keys,
   CASE WHEN l.conv_id % 2 = 0 THEN 'Г: ' ELSE '' END || trim(regexp_replace(line, '\s+', ' ', 'g')) || chr(10) || chr(10) || 'Источник: ' || url AS message,
   CASE WHEN role IS NULL OR ps <> '' THEN CASE WHEN ps = '' THEN 'Источник' ELSE ps END ELSE 'Источник' END AS name
@@ -422,11 +430,11 @@ def actionable_topics(spark, sf_dir: str) -> DataFrame:
     return conversation_topics(spark, sf_dir).where(holds).select("conv_id")
 
 
-MODELS = [("golos", 3, 40, 0.5, [0.1, 0.5]), ("golos", 1, 35, 0.0, [0.0, -0.2]), ("zhest", 3, 50, 2.0, [-0.5, 2.0])]
+MODELS = [("north", 3, 40, 0.5, [0.1, 0.5]), ("north", 1, 35, 0.0, [0.0, -0.2]), ("south", 3, 50, 2.0, [-0.5, 2.0])]
 
 
-@query("""WITH m(audience, horizon, samples, scale, b0, b1) AS (VALUES ('golos', 3, 40, 0.5::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE),
-  ('golos', 1, 35, 0.0, 0.0, -0.2), ('zhest', 3, 50, 2.0, -0.5, 2.0)),
+@query("""WITH m(audience, horizon, samples, scale, b0, b1) AS (VALUES ('north', 3, 40, 0.5::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE),
+  ('north', 1, 35, 0.0, 0.0, -0.2), ('south', 3, 50, 2.0, -0.5, 2.0)),
 f AS (SELECT doc_id, least(length(coalesce(text, '')), 2000) / 2000.0::DOUBLE AS x FROM documents),
 p AS (SELECT *, greatest(0.0::DOUBLE, exp(b0 + b1 * x) - 1) AS v FROM f, m)
 SELECT doc_id, audience, horizon::INT AS horizon, round(v, 6) AS predicted, round(least(100.0, 100.0 * v / greatest(scale, 1e-6::DOUBLE)), 1) AS priority, samples::INT AS training_samples FROM p""")

@@ -21,12 +21,12 @@ KINDS = {"views": ("view", 400), "likes": ("click", 2), "comments": ("signup", 1
 
 
 def event_posts(spark, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events")
+    events = read(spark, sf_dir, "events").where(F.col("ts") < F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
     counted = [F.when(F.col("event_type") == kind, n).cast("long").alias(c) for c, (kind, n) in KINDS.items()]
     return events.select(
         F.col("user_id").alias("topic"), "event_id", F.col("event_type").alias("source"), at.alias("timestamp"), *counted
-    ).where(f"timestamp <= {NOW}")
+    )
 
 
 POSTS = f"""posts AS (SELECT user_id AS topic, event_id, event_type AS source, floor(epoch(ts))::BIGINT AS timestamp,
@@ -133,8 +133,7 @@ def civil_day_counts(spark, sf_dir: str) -> DataFrame:
 WHERE ts >= TIMESTAMP '2024-01-14 18:00:00' AND ts < TIMESTAMP '2024-01-15 18:00:00'""")
 def day_filter(spark, sf_dir: str) -> DataFrame:
     """Posts of the civil day 2024-01-15, as a range that reaches the scan."""
-    events = read(spark, sf_dir, "events").withColumn("timestamp", F.unix_seconds(F.col("ts").cast("timestamp")))
-    return posts.of_day(events, "2024-01-15").select("event_id", "user_id", "event_type")
+    return posts.of_day(read(spark, sf_dir, "events"), "2024-01-15", timestamp="ts").select("event_id", "user_id", "event_type")
 
 
 @query(f"""WITH {POSTS}, n AS (SELECT topic, max(timestamp) AS now FROM posts GROUP BY topic)

@@ -32,9 +32,9 @@ def test_keys(spark):
 
 def test_message(spark):
     def says(label, **k):
-        return topic(spark, **k).select(delivery.message(F.lit(label), {"Голос": "Г:"}).alias("m")).first()["m"]
+        return topic(spark, **k).select(delivery.message(F.lit(label), {"первая": "Г:"}).alias("m")).first()["m"]
 
-    assert says("Голос", url="u") == "Г: Пожар\n\nИсточник: u"
+    assert says("первая", url="u") == "Г: Пожар\n\nИсточник: u"
     assert says(None, url="u", text=" ") == "Источник: u"
 
 

@@ -10,10 +10,10 @@ from newsloom.sources import documents, feeds
 
 
 def test_checkpoint_windows(spark):
-    observed = spark.createDataFrame([("o", "golos", [123], 10_000), ("p", "golos", [123, 456], 10_000)], "observation_id string, audience string, member_ids array<long>, predicted_at long")
+    observed = spark.createDataFrame([("o", "north", [123], 10_000), ("p", "north", [123, 456], 10_000)], "observation_id string, audience string, member_ids array<long>, predicted_at long")
 
     def state(at, now):
-        snaps = spark.createDataFrame([("golos", 123, at, 100, 10, 2, 1)], "audience string, post_id long, snap_ts long, views long, likes long, comments long, reposts long")
+        snaps = spark.createDataFrame([("north", 123, at, 100, 10, 2, 1)], "audience string, post_id long, snap_ts long, views long, likes long, comments long, reposts long")
         rows = tracker.checkpoints(observed, snaps, F.lit(now)).collect()
         return {(r["observation_id"], r["hours"]): (r["state"], r["score"]) for r in rows}
 
@@ -41,8 +41,8 @@ def test_bootstrap_emits_nothing(spark):
 def test_observation_id_is_of_sorted_distinct_ids(spark):
     from hashlib import sha256
 
-    row = spark.range(1).select(tracker.observation_id(F.lit("golos"), F.array(F.lit(2), F.lit(1), F.lit(2)))).first()
-    assert row[0] == sha256(b"golos|[1,2]").hexdigest()
+    row = spark.range(1).select(tracker.observation_id(F.lit("north"), F.array(F.lit(2), F.lit(1), F.lit(2)))).first()
+    assert row[0] == sha256(b"north|[1,2]").hexdigest()
 
 
 def test_stored_leaves_known_ids(spark):

@@ -2,36 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom.operators.tracker import HOURS, TOLERANCE
 
 
-def first_seen(stream: DataFrame) -> DataFrame:
-    """``audience, post_id`` of posts (audience, post_id, poll) that come after the audience's
-    first poll; the first poll only marks what is there. State: a poll number and the post's,
-    so it is kept by audience for the start and by post for the rest."""
+def first_seen(spark: SparkSession, state: str, out: str) -> Callable[[DataFrame, int], None]:
+    """A publisher of posts (audience, post_id) that come after their audience's first poll, which
+    only marks what is there.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, seen = state.get if state.exists else (None, [])
-        known, fresh = set(seen), []
-        rows = pd.concat(batches).sort_values(["poll", "post_id"])
-        for poll, post in rows[["poll", "post_id"]].itertuples(index=False):
-            start = poll if start is None else start
-            if post not in known:
-                known.add(post)
-                if poll > start:
-                    fresh.append((key[0], post, poll))
-        state.update((int(start), sorted(int(p) for p in known)))
-        yield pd.DataFrame(fresh, columns=["audience", "post_id", "poll"])
+    What was seen is a table, a folder for each batch: posts are told apart by joins, so no
+    audience has to fit a task, and a repeated batch replaces its own folders.
+    """
+    shape = "audience string, post_id long"
+    spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{state}/batch=-1")
 
-    return stream.groupBy("audience").applyInPandasWithState(
-        step, "audience string, post_id long, poll long", "start long, seen array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+    def publish(batch: DataFrame, number: int) -> None:
+        old = batch.sparkSession.read.schema(f"{shape}, batch long").parquet(state).where(F.col("batch") < number)
+        fresh = batch.select("audience", "post_id").distinct().join(old, ["audience", "post_id"], "left_anti")
+        later = fresh.join(old.select("audience").distinct(), "audience", "left_semi")
+        later.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        fresh.write.mode("overwrite").parquet(f"{state}/batch={number}")
+
+    return publish
 
 
 def checkpoints(stream: DataFrame) -> DataFrame:

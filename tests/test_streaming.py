@@ -43,9 +43,14 @@ def test_batches_are_published_under_their_number(spark, tmp_path):
 
 
 def test_first_seen_stream(spark, tmp_path):
-    rows = [[{"audience": "a", "post_id": p, "poll": 0} for p in (1, 2)], [{"audience": "a", "post_id": p, "poll": 1} for p in (2, 3)]]
-    stream = tracker.first_seen(stream_of(spark, tmp_path, "audience string, post_id long, poll long", rows))
-    assert [r["post_id"] for r in collected(spark, stream, tmp_path, "first_seen_stream")] == [3]
+    rows = [[{"audience": "a", "post_id": p} for p in (1, 2)], [{"audience": a, "post_id": p} for a, p in (("a", 2), ("a", 3), ("b", 1))]]
+    stream = stream_of(spark, tmp_path, "audience string, post_id long", rows)
+    out = str(tmp_path / "out")
+    publish = tracker.first_seen(spark, str(tmp_path / "seen"), out)
+    monitor.run(stream, publish, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert [(r["audience"], r["post_id"]) for r in spark.read.parquet(out).collect()] == [("a", 3)]
+    publish(spark.createDataFrame([("a", 3), ("a", 2)], "audience string, post_id long"), 1)  # a repeated batch
+    assert [(r["audience"], r["post_id"]) for r in spark.read.parquet(out).collect()] == [("a", 3)]
 
 
 def test_checkpoint_stream(spark, tmp_path):

@@ -33,6 +33,30 @@ def decoded(content: Column) -> Column:
     return F.decode(F.unbase64(content), "UTF-8")
 
 
+def encoded(*columns: str) -> Column:
+    """Columns as a JSON object in base64, the form in which a pool is published."""
+    return F.base64(F.encode(F.to_json(F.struct(*columns)), "UTF-8"))
+
+
+def envelope(value: Column, response: str) -> Column:
+    """(response, problem) of an interface's answer: an object with a response of the given type,
+    else why there is none."""
+    error = F.get_json_object(value, "$.error")
+    message = F.coalesce(F.get_json_object(value, "$.error.error_msg"), error)
+    found = F.from_json(value, f"response {response}")["response"]
+    problem = (
+        F.when(value.isNull() | ~F.ltrim(value).startswith("{"), "not an object")
+        .when(error.isNotNull(), message)
+        .when(found.isNull(), "no response")
+    )
+    return F.struct(F.when(problem.isNull(), found).alias("response"), problem.alias("problem"))
+
+
+def records_of(content: Column, record: str) -> Column:
+    """Records of a registry file: an object with topics, in base64."""
+    return F.from_json(decoded(content), f"topics array<{record}>")["topics"]
+
+
 def replace(df: DataFrame, path: str) -> None:
     """Replaces a table as a whole; the commit protocol keeps readers from halves of it."""
     df.write.mode("overwrite").parquet(path)

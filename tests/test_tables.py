@@ -159,3 +159,17 @@ def test_wall_posts_and_media(spark):
     kind = lambda *a: spark.range(1).select(posts.media_type(*[F.lit(x) for x in a])).first()[0]
     assert kind(True, "", False, False, True) == "photo" and kind(False, "video/mp4", True, False, True) == "video"
     assert kind(False, "x/y", True, False, True) == "document" and kind(False, "", False, False, False) is None
+
+
+def test_envelopes(spark):
+    rows = ['{"response": {"id": 1}}', '{"error": {"error_msg": "no access"}}', '{"error": "text"}', '{"other": 1}', "[1]", None]
+    df = spark.createDataFrame([(r,) for r in rows], "v string")
+    got = [tuple(r["e"]) for r in df.select(documents.envelope(F.col("v"), "struct<id: long>").alias("e")).collect()]
+    assert got == [((1,), None), (None, "no access"), (None, "text"), (None, "no response"), (None, "not an object"), (None, "not an object")]
+
+
+def test_registry_files_round_trip(spark):
+    df = spark.createDataFrame([([("a", "published"), ("b", "draft")],)], "topics array<struct<title: string, status: string>>")
+    sent = df.select(documents.encoded("topics").alias("content"))
+    rows = sent.select(F.explode(documents.records_of(F.col("content"), "struct<title: string, status: string>")).alias("r")).select("r.*")
+    assert [tuple(r) for r in registry.decided(rows).collect()] == [("a", "published")]

@@ -231,7 +231,7 @@ def decode(jpeg: bytes) -> np.ndarray:
 def _between_restarts(data: bytes) -> list[bytes]:
     parts, begin, at = [], 0, data.find(b"\xff")
     while at >= 0:
-        if 0xD0 <= data[at + 1 : at + 2][0] <= 0xD7 if at + 1 < len(data) else False:
+        if at + 1 < len(data) and 0xD0 <= data[at + 1] <= 0xD7:
             parts.append(data[begin:at])
             begin = at + 2
         at = data.find(b"\xff", at + 2)

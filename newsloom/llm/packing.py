@@ -76,21 +76,26 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
 
 @lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
-    """Packed ids of pre-tokens. The merges themselves run in the compiled library, on one
-    pre-token at a time and with the vocabulary file's own merges as ranks."""
+    """Packed ids of chunks. Their split and merges run in a compiled library, with the vocabulary
+    file's own pattern and merges as ranks; pre-tokens that it might split otherwise, for letters
+    of other Unicode versions, are split as the file's library does and merged singly."""
     import tiktoken
 
     vocabulary = SpacedVocabulary(path)
     byte = {letter: b for b, letter in enumerate(vocabulary.letters)}
     ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocabulary.ids.items()}
     # ids are in the order of the merges, so they serve as ranks; each byte has one
-    core = tiktoken.Encoding("own", pat_str=vocabulary.pattern.pattern, mergeable_ranks=ranks, special_tokens={})
-    one = core._core_bpe.encode_single_piece
+    own = tiktoken.Encoding("own", pat_str=vocabulary.pattern.pattern, mergeable_ranks=ranks, special_tokens={})
+    core = own._core_bpe  # without the checks for special tokens, which are taken out before
+    one = core.encode_single_piece
 
     def solve(words: list[str]) -> list[bytes]:
         return [array("I", one(w.encode())).tobytes() for w in words]
 
-    return Tokens(vocabulary, solve, b"".join, lambda i: i.to_bytes(4, "little"))
+    def direct(chunks) -> list[bytes]:
+        return [array("I", core.encode_ordinary(c)).tobytes() for c in chunks]
+
+    return Tokens(vocabulary, solve, b"".join, lambda i: i.to_bytes(4, "little"), direct=direct)
 
 
 def pieces(

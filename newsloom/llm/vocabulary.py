@@ -152,8 +152,9 @@ class Tokens:
     of a batch are new, the memory starts afresh.
     """
 
-    def __init__(self, vocabulary, solve, join, special, limit: int = 400_000, long: int = 60):
+    def __init__(self, vocabulary, solve, join, special, limit: int = 400_000, long: int = 60, direct=None):
         self.vocabulary, self.solve, self.join, self.special = vocabulary, solve, join, special
+        self.direct = direct  # gives the values of whole chunks, where a library splits them itself
         self.limit, self.long = limit, long
         self.by_word: dict = dict(zip(MARKS, solve(list(MARKS)), strict=True))
         self.fixed = {LINE: solve(["\n"])[0]} if vocabulary.lead else {}
@@ -206,7 +207,7 @@ class Tokens:
             word, own = (c[1:], "") if c[:1] == HEAD else (c, lead)
             # letters alone are one pre-token, with a mark after them two: no need for the pattern
             if word.isascii() or not search(word):
-                if word.isalpha():
+                if self.direct or word.isalpha():
                     plain[c] = own + word
                     continue
                 if word[-1:] in MARKS and word[:-1].isalpha():
@@ -216,9 +217,13 @@ class Tokens:
                     continue
             odd.append((c, split(own + word)))
         unseen = list(whole.union(*[ws for _, ws in odd]).difference(known))
-        values = self.solve([*plain.values(), *unseen])
-        table.update(zip(plain, values, strict=False))
-        known.update(zip(unseen, values[len(plain) :], strict=True))
+        if self.direct:
+            table.update(zip(plain, self.direct(plain.values()), strict=True))
+            known.update(zip(unseen, self.solve(unseen), strict=True))
+        else:
+            values = self.solve([*plain.values(), *unseen])
+            table.update(zip(plain, values, strict=False))
+            known.update(zip(unseen, values[len(plain) :], strict=True))
         join = self.join
         for c in tailed:
             table[c] = join((table[c[:-1]], known[c[-1]]))

@@ -39,7 +39,9 @@ def audience_scores(topics: DataFrame, models: DataFrame, names: list[str]) -> D
     dot = F.aggregate(F.zip_with("coefficients", vector, lambda b, x: b * x), F.lit(0.0), lambda a, b: a + b)
     value = F.when(same, F.greatest(F.lit(0.0), F.expm1(dot)))
     share = 100.0 * value / F.greatest(F.col("scale"), F.lit(1e-6))
-    rows = topics.crossJoin(F.broadcast(models.limit(BROADCAST)))  # a model a row
+    if models.limit(BROADCAST + 1).count() > BROADCAST:
+        raise ValueError(f"more than {BROADCAST} models")
+    rows = topics.crossJoin(F.broadcast(models))  # each row under each model: a stated, bounded set
     return rows.select(
         *topics.columns, "audience", "horizon", value.alias("predicted"),
         F.round(F.least(F.lit(100.0), share), 1).alias("priority"),

@@ -80,11 +80,15 @@ def fit(df: DataFrame, names: list[str], y: str) -> Ridge | None:
         else:
             x[i, at[row["j"]]] = x[at[row["j"]], i] = row["value"]
     x[np.arange(1, d), np.arange(1, d)] += RIDGE
-    place = min(n - 1, int(0.9 * n))
-    high = df.select(y).orderBy(F.desc(y)).limit(n - place).agg(F.min(y)).first()[0]
+    high = nth(df, y, min(n - 1, int(0.9 * n)) + 1)
     return Ridge(names, np.linalg.solve(x, rhs).tolist(), n, max(math.expm1(high), 1e-6))
 
 
+def nth(df: DataFrame, column: str, place: int) -> float:
+    """The value at a place (from 1) of a column in order."""
+    return numbered(df.select(column), [column]).where(F.col("place") == place).first()[column]
+
+
 def split(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``place`` in time and whether it ``trains``: the first rows do, the last test."""
     placed = numbered(df, order)

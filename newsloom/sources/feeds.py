@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import collapsed, first_filled
+from newsloom.operators.lookups import small
 from newsloom.operators.posts import shaped, wall_date
 
 
@@ -92,7 +93,7 @@ def from_channels(messages: DataFrame, names: DataFrame) -> DataFrame:
     valid = bare.rlike(r"^(?:(?:-100)?[0-9]+|[A-Za-z0-9_]+)$")
     key = F.regexp_replace(bare, "^-100", "")
     numbered = bare.rlike(r"^(?:-100)?[0-9]+$")
-    rows = messages.join(F.broadcast(names.limit(10_000)), "channel").where(valid & (F.trim("message") != ""))
+    rows = messages.join(small(names), "channel").where(valid & (F.trim("message") != ""))
     place = F.when(numbered, F.concat(F.lit("https://t.me/c/"), key)).otherwise(F.concat(F.lit("https://t.me/"), bare))
     return shaped(
         rows.select(

@@ -152,7 +152,7 @@ class Tokens:
     of a batch are new, the memory starts afresh.
     """
 
-    def __init__(self, vocabulary, solve, join, special, limit: int = 400_000, long: int = 60, direct=None):
+    def __init__(self, vocabulary, solve, join, special, limit: int = 300_000, long: int = 60, direct=None):
         self.vocabulary, self.solve, self.join, self.special = vocabulary, solve, join, special
         self.direct = direct  # gives the values of whole chunks, where a library splits them itself
         self.limit, self.long = limit, long

@@ -74,7 +74,7 @@ class Model:
         """The weights in order; a chunk that has come before in the text counts 0, as the
         weights are of texts that hold a word, however often."""
         memory = self.memory
-        if len(memory) > 500_000:
+        if len(memory) > 250_000:
             memory.clear()
         once = dict.fromkeys(chunks)
         for c in once:

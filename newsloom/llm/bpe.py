@@ -9,14 +9,13 @@ pushes the two new pairs. Decoding concatenates the vocabulary strings of the id
 from __future__ import annotations
 
 import heapq
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, narrow, read
+from .common import arrow_map, held, narrow, read
 from .vocabulary import Tokens, Vocabulary, WordVocabulary, default_path
 
 
@@ -80,9 +79,8 @@ class Codec:
         return " ".join([strings[i] for i in np.frombuffer(packed, "<u4").tolist()])
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def encode(df: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +51,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_held: tuple = (None, None)
+
+
+def held(key: tuple, make: Callable):
+    """What ``make()`` gives, kept in this worker until another operator keeps something: the
+    workers of an executor share its memory and run stage after stage."""
+    global _held
+    if _held[0] != key:
+        release()
+        _held = (key, make())
+    return _held[1]
+
+
+def release() -> None:
+    """Gives what is held back to the system."""
+    global _held
+    if _held[0] is not None:
+        _held = (None, None)
+        gc.collect()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(
     df: DataFrame, make: Callable[[], Callable[[pa.Table], pa.Table]], schema: str, rows: int = 512
 ) -> DataFrame:

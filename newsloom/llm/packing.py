@@ -11,7 +11,6 @@ common, meets in one task.
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, narrow, read
+from .common import arrow_map, durable, held, narrow, read
 from .vocabulary import SpacedVocabulary, Tokens, default_path
 
 
@@ -74,8 +73,11 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
     return rows
 
 
-@lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
+    return held(("packing", path), lambda: _made(path))
+
+
+def _made(path: str) -> Tokens:
     """Packed ids of chunks. Their split and merges run in a compiled library, with the vocabulary
     file's own pattern and merges as ranks; pre-tokens that it might split otherwise, for letters
     of other Unicode versions, are split as the file's library does and merged singly."""

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, narrow, read
+from .common import arrow_map, durable, narrow, read, release
 from .components import components
 
 #: Segments of the ring, differing bits that still link, members of a key that are paired.
@@ -61,6 +61,8 @@ def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", size: in
     """``doc_id, fp (long)`` for each row: the whole text's SimHash; no words, fingerprint 0."""
 
     def make():
+        release()
+
         def step(batch: pa.RecordBatch):
             found = [fingerprint(shingles(t or "", size)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])

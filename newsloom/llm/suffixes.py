@@ -32,7 +32,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, narrow, read
+from .common import arrow_map, narrow, read, release
 
 #: Bytes of a string, of an anchor's k-gram, and k-grams in a string.
 LENGTH, GRAM = 50, 24
@@ -40,7 +40,7 @@ PLACES = LENGTH - GRAM + 1
 #: Bytes of a suffix with those before it, and the byte that stands for none (never in UTF-8).
 WIDTH, NONE = LENGTH + PLACES - 1, 0xFF
 #: Bytes of text in a run, occurrences that make an anchor frequent, k-grams sampled for a run.
-RUN, FREQUENT, SAMPLED = 16 << 20, 50_000, 100
+RUN, FREQUENT, SAMPLED = 8 << 20, 50_000, 100
 ALL = np.uint32((1 << PLACES) - 1)
 LAST = 2**63 - 1
 
@@ -344,6 +344,7 @@ KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(
 def frugal() -> None:
     """Large arrays go back to the system when they are freed, not to this worker's heap: the
     workers of an executor share its memory."""
+    release()
     with suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
 
@@ -495,9 +496,11 @@ def give_back(parts: int, give, names: list[str], kinds: list):
         if texts.num_rows:
             laid = Laid(texts)
             gone = removed(laid, parts, told.to_pylist())
+            del told
             for begin, size in zip(laid.begin.tolist(), laid.size.tolist(), strict=True):
                 rows.append(give(laid.data[begin : begin + size], gone[begin : begin + size]))
-            texts = texts.take(pa.array(laid.order, pa.int64()))
+            texts = texts.drop_columns(["text", "run"]).take(pa.array(laid.order, pa.int64()))
+            del laid, gone
         made = as_table(rows, names, kinds)
         kept = [c for c in texts.column_names if c not in ("text", "run")]
         return pa.table([*[texts.column(c) for c in kept], *made.columns], names=[*kept, *names])

@@ -8,14 +8,12 @@ known pair left is finished; its surviving symbols are its tokens.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, narrow, read
+from .common import arrow_map, held, narrow, read
 from .vocabulary import SpacedVocabulary, Tokens, default_path
 
 
@@ -71,10 +69,12 @@ class RankMerger:
         return symbols[keep], owner[keep], owner[starts[ended]], sizes[ended]
 
 
-@lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
-    vocabulary = SpacedVocabulary(path)
-    return Tokens(vocabulary, RankMerger(vocabulary).count, sum, lambda _: 1)
+    def make() -> Tokens:
+        vocabulary = SpacedVocabulary(path)
+        return Tokens(vocabulary, RankMerger(vocabulary).count, sum, lambda _: 1)
+
+    return held(("token_counts", path), make)
 
 
 def count_tokens(

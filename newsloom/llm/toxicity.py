@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, narrow, read
+from .common import arrow_map, durable, narrow, read, release
 
 #: Letters kept of a word (0: all), from general to special.
 LEVELS = (4, 6, 0)
@@ -166,6 +166,8 @@ def learn(rows: DataFrame) -> Model | None:
     A word counts once a row."""
 
     def make():
+        release()
+
         def step(batch: pa.RecordBatch):
             clean, toxic, above = {}, {}, {}
             n = [0, 0]
@@ -212,6 +214,8 @@ def calibrated(rows: DataFrame, model: Model) -> Model:
     weights are counted in bins."""
 
     def make():
+        release()
+
         def step(batch: pa.RecordBatch):
             counts = np.zeros(int((MOST - LEAST) / BIN) + 2, np.int64)
             for text in batch.column("text").to_pylist():
@@ -296,6 +300,8 @@ class Scorer:
         """
 
         def make():
+            release()
+
             def step(batch: pa.RecordBatch):
                 judged = [self.judge(t or "") for t in batch.column("text").to_pylist()]
                 kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -325,6 +331,8 @@ class Scorer:
         at = names.index(text)
 
         def make():
+            release()
+
             def step(batch: pa.RecordBatch):
                 keep = [self.judge(t or "")[3] < 0.5 for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
@@ -361,6 +369,8 @@ def _evidence(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     scorer = Scorer(model)
 
     def make():
+        release()
+
         def step(batch: pa.RecordBatch):
             zs = pa.array([scorer.judge(t or "")[2] for t in batch.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([zs, batch.column("toxic")], names=["z", "toxic"])

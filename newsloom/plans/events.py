@@ -255,6 +255,54 @@ def checkpoints(spark, sf_dir: str) -> DataFrame:
     )
 
 
+GATHERED = """o AS (SELECT event_type AS audience, min(floor(epoch(ts))::BIGINT) AS predicted_at, list_sort(list_distinct(list(event_id))) AS ids
+  FROM events GROUP BY event_type, user_id, ts::DATE),
+o2 AS (SELECT sha256(audience || '|[' || array_to_string(ids, ',') || ']') AS observation_id, * FROM o)"""
+
+
+def gathered(events: DataFrame) -> DataFrame:
+    """An observation of each audience and user-day, with all its events as members."""
+    rows = events.groupBy(F.col("event_type").alias("audience"), "user_id", F.to_date("ts")).agg(
+        F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("predicted_at"), F.array_sort(F.collect_set("event_id")).alias("member_ids")
+    )
+    return rows.select("audience", "predicted_at", "member_ids", tracker.observation_id(F.col("audience"), F.col("member_ids")).alias("observation_id"))
+
+
+@query(f"""WITH {GATHERED} SELECT observation_id, audience, predicted_at, len(ids)::INT AS members FROM o2""")
+def topic_observations(spark, sf_dir: str) -> DataFrame:
+    """Observations of all events, by the digest of audience and members."""
+    rows = gathered(read(spark, sf_dir, "events"))
+    return rows.select("observation_id", "audience", "predicted_at", F.size("member_ids").alias("members"))
+
+
+@query(f"""WITH {GATHERED}, h AS (SELECT *, unnest([1, 3]) AS hours FROM o2),
+p AS (SELECT observation_id, audience, hours, predicted_at + hours * 3600 AS due, len(ids) AS expected, unnest(ids) AS post_id FROM h),
+s AS (SELECT event_type AS audience, event_id AS post_id, ((floor(epoch(ts))::BIGINT + late) // 300) * 300 AS snap_ts, count(*) * 400 AS views,
+  sum(event_id % 5)::BIGINT AS likes, sum(event_id % 3)::BIGINT AS comments, sum(event_id % 2)::BIGINT AS reposts
+  FROM (SELECT *, unnest([0, 3900, 11100]) AS late FROM events) GROUP BY ALL),
+w AS (SELECT observation_id, hours, snap_ts, expected, count(DISTINCT post_id) AS found, sum(views) AS views, sum(likes) AS likes,
+  sum(comments) AS comments, sum(reposts) AS reposts FROM p JOIN s USING (audience, post_id)
+  WHERE snap_ts BETWEEN due AND due + 600 AND snap_ts <= {NOW} GROUP BY ALL),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY observation_id, hours ORDER BY snap_ts) AS n FROM w WHERE found = expected) WHERE n = 1)
+SELECT h.observation_id, h.predicted_at, h.hours, f.snap_ts AS measured_at, f.views::BIGINT AS views,
+  round((likes + 2 * comments + 4 * reposts) / greatest(views, 1)::DOUBLE, 6) AS score,
+  CASE WHEN f.snap_ts IS NOT NULL THEN 'completed' WHEN {NOW} > predicted_at + h.hours * 3600 + 600 THEN 'missed' ELSE 'pending' END AS state
+FROM h LEFT JOIN f ON f.observation_id = h.observation_id AND f.hours = h.hours""")
+def topic_checkpoints(spark, sf_dir: str) -> DataFrame:
+    """States of the checkpoints of all observations; an event is seen at once and after each hour."""
+    events = read(spark, sf_dir, "events").select("event_type", "user_id", "ts", "event_id")
+    late = F.explode(F.array(F.lit(0), F.lit(3900), F.lit(11100)))
+    seen = events.select("*", late.alias("late")).withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("late"))
+    snaps = seen.groupBy(
+        F.col("event_type").alias("audience"), F.col("event_id").alias("post_id"), (F.floor(F.col("at") / 300) * 300).alias("snap_ts")
+    ).agg(
+        (F.count("*") * 400).alias("views"),
+        *[F.sum(F.col("event_id") % n).alias(c) for c, n in (("likes", 5), ("comments", 3), ("reposts", 2))],
+    )
+    found = tracker.checkpoints(gathered(events), snaps, F.lit(NOW))
+    return found.select("observation_id", "predicted_at", "hours", "measured_at", "views", F.round("score", 6).alias("score"), "state")
+
+
 @query(f"""WITH {STATS}, a AS (SELECT *, greatest(0.25::DOUBLE, ({NOW} - newest) / 3600.0::DOUBLE) AS hours, topic % 41 AS hook,
   CASE WHEN topic % 5 = 0 THEN 0.0 WHEN topic % 5 = 1 THEN 100.0 ELSE 30.0 END::DOUBLE AS locality, ({NOW} - newest) / 60.0::DOUBLE AS age FROM stats),
 e AS (SELECT *, least(100.0, least(100.0, views / hours / 250 * 100) * 0.45 + least(100.0, (likes + 2 * comments + 4 * reposts) / greatest(views, 1.0) * 1000) * 0.25

@@ -55,21 +55,24 @@ class Ridge:
     samples: int
     scale: float
 
-    def predicted(self) -> Column:
+    def logged(self) -> Column:
         total = F.lit(0.0)
         for name, b in zip(self.names, self.coefficients, strict=True):
             total = total + F.col(name) * b
-        return F.greatest(F.lit(0.0), F.expm1(total))
+        return total
+
+    def predicted(self) -> Column:
+        return F.greatest(F.lit(0.0), F.expm1(self.logged()))
 
     def priority(self) -> Column:
         share = 100.0 * self.predicted() / max(self.scale, 1e-6)
         return F.round(F.least(F.lit(100.0), share), 1)
 
 
-def fit(df: DataFrame, names: list[str], y: str) -> Ridge | None:
-    """The ridge solution of the normal equations; None under ``LEAST`` rows."""
+def fit(df: DataFrame, names: list[str], y: str, least: int = LEAST) -> Ridge | None:
+    """The ridge solution of the normal equations; None under ``least`` rows."""
     n = df.count()
-    if n < LEAST:
+    if n < least:
         return None
     d = len(names)
     x, rhs, at = np.zeros((d, d)), np.zeros(d), {name: k for k, name in enumerate(names)}
@@ -111,3 +114,42 @@ def spearman(df: DataFrame, a: str, b: str, tie: str, by: list[str] | None = Non
     )
     value = F.when(F.col("n") >= 2, F.try_divide("cov", F.nullif("spread", F.lit(0.0))))
     return sums.select(*by, "n", value.alias("spearman"))
+
+
+def evaluate(
+    df: DataFrame, names: list[str], y: str, score: str, audience: str, order: list[str], paired: str | None = None
+) -> DataFrame | None:
+    """How the ridge of the first rows predicts the rest: one row for all (audience null) and one
+    for each audience, the errors for all alone. None under ``LEAST`` rows.
+
+    ``score`` is the heuristic that the model is compared with, null as 0; ``paired`` names the
+    flag of the rows that have the other horizon too: then only those count.
+    """
+    rows = df.where(F.col(paired)) if paired else df
+    if rows.count() < LEAST:
+        return None
+    rows = split(rows, order)
+    train = rows.where("trains")
+    fitted = fit(train, names, y, 1)
+    middle = F.lit(nth(train, y, fitted.samples // 2 + 1))  # the upper one
+    test = rows.where("not trains").select(
+        F.col(audience).alias("audience"), "place", F.col(y).alias("y"), fitted.logged().alias("predicted"),
+        F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"),
+    )
+    own, base = F.avg(F.abs(F.col("y") - F.col("predicted"))), F.avg(F.abs(F.col("y") - middle))
+    errors = test.agg(
+        F.round(own, 6).alias("mae_model"), F.round(base, 6).alias("mae_median"),
+        F.round(F.try_divide(100 * (base - own), F.nullif(base, F.lit(0.0))), 2).alias("improvement"),
+    )
+
+    def ranks(by: list[str]) -> DataFrame:
+        found = [
+            spearman(test, a, "y", "place", by).select(*by, F.col("n").alias("test_rows"), F.round("spearman", 4).alias(f"spearman_{name}"))
+            for a, name in (("predicted", "model"), ("score", "score"))
+        ]
+        if not by:
+            return found[0].crossJoin(found[1].drop("test_rows")).withColumn("audience", F.lit(None).cast(test.schema["audience"].dataType))
+        return found[0].join(found[1].drop("test_rows"), by)
+
+    out = ranks([]).crossJoin(errors).unionByName(ranks(["audience"]), allowMissingColumns=True)
+    return out.withColumn("train_rows", F.lit(fitted.samples).cast("long"))

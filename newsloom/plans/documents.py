@@ -322,6 +322,13 @@ def holdout(spark, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def ridge_holdout(spark, sf_dir: str) -> DataFrame:
+    """The model fitted on the first labelled documents, measured on the rest."""
+    rows = labelled(spark, sf_dir).withColumn("audience", F.col("doc_id") % 2)
+    return model.evaluate(rows, NAMES, "y", "text_length", "audience", ["doc_id"])
+
+
 @query("""SELECT source, count(*) AS posts, count(DISTINCT id) AS ids FROM (SELECT 'doc' AS source, doc_id AS id FROM documents
   UNION ALL SELECT 'conv', conv_id FROM conversations UNION ALL SELECT 'page', page_id FROM pages) GROUP BY source""")
 def source_union(spark, sf_dir: str) -> DataFrame:

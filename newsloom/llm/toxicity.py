@@ -70,9 +70,9 @@ class Model:
             found.append(next((self.table[k] for k in reversed(keys_of(word)) if k in self.table), 0.0))
         return max(found, default=0.0)
 
-    def of(self, chunks: list[str]) -> np.ndarray:
+    def of(self, chunks: list[str], every: bool = False) -> np.ndarray:
         """The weights in order; a chunk that has come before in the text counts 0, as the
-        weights are of texts that hold a word, however often."""
+        weights are of texts that hold a word, however often, unless ``every`` one counts."""
         memory = self.memory
         if len(memory) > 250_000:
             memory.clear()
@@ -80,7 +80,7 @@ class Model:
         for c in once:
             if c not in memory:
                 memory[c] = self.weight(c)
-        if len(once) == len(chunks):
+        if every or len(once) == len(chunks):
             return np.fromiter(map(memory.__getitem__, chunks), np.float32, len(chunks))
         out = np.zeros(len(chunks), np.float32)
         first = dict(zip(reversed(chunks), range(len(chunks) - 1, -1, -1), strict=True))
@@ -287,12 +287,15 @@ class Scorer:
             return len(chunks), [], 0.0, 0.0
         found = passages(self.model.of(chunks))
         z = evidence([s for _, _, s in found], len(chunks), self.model.scale)
+        if len(set(chunks)) < len(chunks):  # evidence counts a word once, passages show every place
+            found = passages(self.model.of(chunks, every=True))
         at = self.slope * min(max(z, LOW), HIGH) + self.shift
         return len(chunks), found, z, 1 / (1 + math.exp(-min(max(at, -500.0), 500.0)))
 
     def score(self, df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         """``doc_id, held_out, score, predicted, words, z, passages`` for each row: passages are
-        all the maximal ones, word positions from ``begin`` to ``end`` and the score.
+        all the maximal ones, of repeated words too, word positions from ``begin`` to ``end`` and
+        the score. The evidence z counts a word once a text.
 
         Null and empty texts have no passages and get the curve's value at no evidence. Null ids
         stay null and count as not held out. Repeated rows each give their row. Other columns are

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import metrics as M
+from newsloom.functions.packs import Pack
+from newsloom.functions.text import contains_any
 
 
 def distribution(df: DataFrame, score: str) -> DataFrame:
@@ -27,6 +29,33 @@ def distribution(df: DataFrame, score: str) -> DataFrame:
     )
 
 
+def shown_text(*parts: Column) -> Column:
+    """The filled parts in lower case with single spaces; arrays (of the members' parts) in order."""
+    every = F.flatten(F.array(*parts))
+    plain = F.transform(every, lambda t: F.trim(F.regexp_replace(F.lower(t), r"(?U)\s+", " ")))
+    return F.array_join(F.filter(plain, lambda t: F.length(t) > 0), " ")
+
+
+def shown(text: Column, pack: Pack) -> tuple[Column, Column]:
+    """Whether the diagnostics' own, narrower lists exclude a text, and call it promotion."""
+    return contains_any(text, pack.shown_excluded), contains_any(text, pack.shown_promo)
+
+
+def number(record: Column, *keys: str) -> Column:
+    """The first numeric value among the keys of a record (variant), as a double; text that
+    looks like a number isn't one."""
+    found = []
+    for key in keys:
+        kind = F.schema_of_variant(F.try_variant_get(record, f"$.{key}", "variant"))
+        found.append(F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"), F.try_variant_get(record, f"$.{key}", "double")))
+    return F.coalesce(*found)
+
+
+def metric(record: Column, *keys: str) -> Column:
+    """The first of the keys that the record or else its prediction has as a number."""
+    return number(record, *[path for key in keys for path in (key, f"prediction.{key}")])
+
+
 def warnings(score, views, likes, comments, reposts, excluded=None, promo=None) -> Column:
     """Names of what makes a score doubtful."""
     some = views > 0

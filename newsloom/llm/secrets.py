@@ -3,13 +3,17 @@
 Every version of every path is addressed by its content. Only blobs that the ledger does not yet
 have under the present rules are scanned, each once however many paths and versions hold it; the
 findings go into the ledger and are joined back to all paths. DataFrame functions only.
+
+Matches become rows, and running sums over a blob's rows give their places; so a text costs in
+proportion to its length, however many secrets it holds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable, narrow, read, text_of
@@ -18,7 +22,8 @@ from .common import durable, narrow, read, text_of
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret: leftmost non-overlapping matches of ``pattern`` whose ``group`` has at
-    least ``least`` characters. ``hint`` is a cheap pattern that every such text matches."""
+    least ``least`` characters. ``hint`` is a cheap pattern that every such text matches. Where
+    shorter matches can't hide longer ones the pattern itself may ask for the length."""
 
     kind: str
     pattern: str
@@ -36,38 +41,45 @@ RULES = (
         8,
         r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}",
     ),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12}"),
-    Rule("hex", r"[0-9a-f]+", 0, 32, r"[0-9a-f]{32}"),
+    Rule("access", r"AKIA[A-Z0-9]{12,}", 0, 16, r"AKIA[A-Z0-9]{12}"),
+    Rule("hex", r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}"),
 )
 RULE_VERSION = "1"
-SPAN = "struct<start:int,kind:int,end:int>"
-
-
-def spans_of(text: Column, rule: Rule, number: int) -> Column:
-    """The rule's spans in code points, end exclusive.
-
-    What lies between the matches comes from split(), the matches from regexp_extract_all():
-    their lengths in turn give the places.
-    """
-    between = F.split(text, rule.pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    value = whole if not rule.group else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    steps = F.arrays_zip(
-        F.transform(F.slice(between, 1, F.size(whole)), F.length).alias("gap"),
-        F.transform(whole, F.length).alias("own"),
-        F.transform(value, F.length).alias("value"),
-    )
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-
-    def step(state: Column, s: Column) -> Column:
-        start = state["at"] + s["gap"]
-        end = start + s["own"]
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        found = F.when(s["value"] >= rule.least, F.array_append(state["found"], span)).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
-
-    found = F.aggregate(steps, nothing, step, lambda state: state["found"])
-    return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+#: Where a finding is in code points, and from which byte to which.
+SPAN = "struct<start:int,kind:int,end:int,first:int,last:int>"
+#: A session's setting that names the folder in which ``op1_secrets`` keeps its ledger.
+LEDGER = "spark.newsloom.ledger"
+
+
+def matches(text: Column, rule: Rule, number: int) -> Column:
+    """The rule's matches in order: lengths of what is between them (from split()) and of their
+    own (from regexp_extract_all()), in code points and bytes."""
+    every = lambda group: F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group))
+    found = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), every(0).alias("own"), every(rule.group).alias("value"))
+
+    def of(m: Column, i: Column) -> Column:
+        return F.struct(
+            F.lit(number).alias("kind"), i.alias("i"), F.length(m["value"]).alias("value"),
+            F.length(m["own"]).alias("own"), (F.length(m["gap"]) + F.length(m["own"])).alias("step"),
+            F.octet_length(m["own"]).alias("own_bytes"), (F.octet_length(m["gap"]) + F.octet_length(m["own"])).alias("step_bytes"),
+        )
+
+    # what follows the last match has no match of its own
+    return F.when(text.rlike(rule.hint), F.filter(F.transform(found, of), lambda m: m["own"].isNotNull()))
+
+
+def findings(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob, findings`` of (blob, text) rows, one a blob. The windows and the last grouping keep
+    to the rows' own partitioning by blob."""
+    none = F.array()
+    every = F.concat(*[F.coalesce(matches(F.col("text"), rule, k), none) for k, rule in enumerate(rules)])
+    rows = texts.select("blob", F.explode_outer(every).alias("m")).select("blob", "m.*")
+    before = W.partitionBy("blob", "kind").orderBy("i")
+    end, last = F.sum("step").over(before).cast("int"), F.sum("step_bytes").over(before).cast("int")
+    rows = rows.select("blob", "kind", "value", "own", "own_bytes", end.alias("end"), last.alias("last"))
+    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("kind") + 1)
+    span = F.struct((F.col("end") - F.col("own")).alias("start"), "kind", "end", (F.col("last") - F.col("own_bytes")).alias("first"), "last")
+    return rows.groupBy("blob").agg(F.array_sort(F.collect_list(F.when(F.col("value") >= least, span))).cast(f"array<{SPAN}>").alias("findings"))
 
 
 def scan(
@@ -81,10 +93,10 @@ def scan(
     """``(doc_id, blob, findings)`` of every row, and the ledger grown by what was scanned.
 
     The ledger has ``blob`` (SHA-256), ``rule_version`` and ``findings`` (start, kind as the
-    number of the rule, end; by start, then kind). ``versions`` has a row for each version of a
-    path; null texts count as empty. Rows with equal texts get equal findings; null ids stay
-    null; repeated rows each give their row; an empty table gives none. Other columns are not
-    read.
+    number of the rule, end, and the bytes' first and last; by start, then kind). ``versions`` has
+    a row for each version of a path; null texts count as empty. Rows with equal texts get equal
+    findings; null ids stay null; repeated rows each give their row; an empty table gives none. A
+    very long text is scanned whole by one task. Other columns, whatever their names, are not read.
     """
     rows = narrow(versions, doc_id=id, text=text).select("doc_id", text_of("text").alias("text"))
     rows = rows.withColumn("blob", F.unhex(F.sha2("text", 256)))
@@ -93,8 +105,7 @@ def scan(
         known = ledger.where(F.col("rule_version") == version)
         fresh = fresh.join(known.select("blob"), "blob", "left_anti")
     fresh = fresh.groupBy("blob").agg(F.first("text").alias("text"))
-    every = F.concat(*[spans_of(F.col("text"), rule, k) for k, rule in enumerate(rules)])
-    found = fresh.select("blob", F.lit(version).alias("rule_version"), F.array_sort(every).alias("findings"))
+    found = findings(fresh, rules).select("blob", F.lit(version).alias("rule_version"), "findings")
     scanned = durable(found)
     grown = scanned if ledger is None else ledger.select(*scanned.columns).union(scanned)
     hits = grown.where((F.col("rule_version") == version) & (F.size("findings") > 0)).select("blob", "findings")
@@ -110,37 +121,73 @@ def named(findings: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(findings, say), ",")
 
 
-def redacted(text: Column, findings: Column, mark: str = "[secret]") -> Column:
-    """The text with each run of overlapping findings replaced by the mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def load(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger that a folder holds; None before the first :func:`store`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.parquet(folder) if there else None
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        out = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
-    end = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    return F.when(F.size(findings) > 0, F.aggregate(findings, start, step, end)).otherwise(text)
+def store(grown: DataFrame, ledger: DataFrame | None, folder: str) -> None:
+    """Adds to the folder what a scan has grown the ledger by; what is there isn't written again."""
+    keys = ["blob", "rule_version"]
+    new = grown if ledger is None else grown.join(ledger.select(*keys), keys, "left_anti")
+    new.write.mode("append").parquet(folder)
 
 
-def redact(df: DataFrame, ledger: DataFrame, text: str = "text", version: str = RULE_VERSION) -> DataFrame:
-    """``df`` with the findings that the ledger has for each text's blob redacted."""
-    hits = ledger.where((F.col("rule_version") == version) & (F.size("findings") > 0))
-    hits = hits.select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
-    blob = F.unhex(F.sha2(text_of(f"`{text}`"), 256))
-    joined = df.join(hits, blob == F.col("__blob"), "left")
-    columns = [F.col(f"`{c}`") if c != text else _redacted_or_own(text).alias(text) for c in df.columns]
-    return joined.select(*columns)
+def cuts(ledger: DataFrame, version: str = RULE_VERSION) -> DataFrame:
+    """``blob, cuts``: first and last byte of each run of overlapping findings, in order."""
+    hits = ledger.where(F.col("rule_version") == version).select("blob", F.explode("findings").alias("s"))
+    order = W.partitionBy("blob").orderBy("s.start", "s.kind")
+    before = F.max("s.end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    begins = (before.isNull() | (F.col("s.start") >= before)).cast("int")
+    runs = hits.select("blob", "s", begins.alias("begins"), F.col("s.start").alias("at"), F.col("s.kind").alias("kind"))
+    runs = runs.select("blob", "s", F.sum("begins").over(W.partitionBy("blob").orderBy("at", "kind")).alias("run"))
+    runs = runs.groupBy("blob", "run").agg(F.min("s.first").alias("first"), F.max("s.last").alias("last"))
+    return runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cuts"))
+
+
+def redacted(text: Column, cuts: Column, mark: str = "[secret]") -> Column:
+    """The text with the mark in place of each of the cuts, which are in order and apart."""
+    raw, n = text.cast("binary"), F.size(cuts)
+
+    def piece(i: Column) -> Column:
+        begin = F.when(i > 0, F.element_at(cuts, i)["last"]).otherwise(0)
+        end = F.when(i < n, F.try_element_at(cuts, i + 1)["first"]).otherwise(F.octet_length(text))
+        return F.substring(raw, begin + 1, end - begin).cast("string")
 
+    return F.array_join(F.transform(F.sequence(F.lit(0), n), piece), mark)
 
-def _redacted_or_own(text: str) -> Column:
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def redact(df: DataFrame, ledger: DataFrame, text: str = "text", version: str = RULE_VERSION) -> DataFrame:
+    """``df`` with the findings that the ledger has for each text's blob redacted, each run of
+    overlapping ones by one mark. Null and empty texts stay as they are, and so do texts that the
+    ledger doesn't have; all rows and columns stay, whatever their names."""
+    blob, found = unused(df, "blob"), unused(df, "cuts")
+    hits = cuts(ledger, version).select(F.col("blob").alias(blob), F.col("cuts").alias(found))
     own = F.col(f"`{text}`")
-    return F.when(F.col("__findings").isNotNull(), redacted(own, F.col("__findings"))).otherwise(own)
+    joined = df.join(hits, F.unhex(F.sha2(text_of(f"`{text}`"), 256)) == F.col(blob), "left")
+    clean = F.when(F.col(found).isNotNull(), redacted(own.cast("string"), F.col(found))).otherwise(own)
+    return joined.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
-    """Secrets of every document. The ledger adds no spans to the base rules' own."""
-    found, _ = scan(read(spark, sf_dir, "documents"))
+    """Secrets of every document. The ledger adds no spans to the base rules' own. Where the
+    session's setting LEDGER names a folder, blobs of earlier versions aren't scanned again, and
+    new ones are added to it."""
+    folder = spark.conf.get(LEDGER, None)
+    known = load(spark, folder) if folder else None
+    found, grown = scan(read(spark, sf_dir, "documents"), known)
+    if folder:
+        store(grown, known, folder)
     count = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long")
     spans = named(F.col("findings"))
     return found.select(

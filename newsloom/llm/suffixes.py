@@ -18,12 +18,17 @@ Documents are dealt into runs. In order:
   smaller id has.
 - An anchor so frequent that its group could outgrow a task isn't sent as a suffix: the strings
   around it are, one by one, dealt by hash and merged in the same way.
+- Runs times ranges would grow with the square of the input. Above ``DIRECT`` runs there are two
+  levels: groups of runs are merged within wide ranges first, and what a group holds goes on to
+  the ranges as one run; the answers come back the same way.
 """
 
 from __future__ import annotations
 
 import ctypes
+import math
 from contextlib import suppress
+from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
@@ -41,6 +46,9 @@ PLACES = LENGTH - GRAM + 1
 WIDTH, NONE = LENGTH + PLACES - 1, 0xFF
 #: Bytes of text in a run, occurrences that make an anchor frequent, k-grams sampled for a run.
 RUN, FREQUENT, SAMPLED = 8 << 20, 50_000, 100
+#: Runs that are merged in one level, k-grams sampled at most, texts of one id that are dealt to
+#: so many runs, and the least documents and share of them that a sample takes.
+DIRECT, MOST_SAMPLED, SALT, LEAST_SAMPLE, SHARE = 256, 1 << 20, 64, 2000, 64
 ALL = np.uint32((1 << PLACES) - 1)
 LAST = 2**63 - 1
 
@@ -135,7 +143,9 @@ class Grams:
         rank[self.deal] = np.arange(len(first))
         self.of = np.empty(len(order), np.int64)  # of an anchor: its hash's place in the deal
         self.of[order] = np.repeat(rank, self.count)
-        self.flags = (self.several[self.deal].astype(np.uint8) << 7) | np.minimum(self.count[self.deal], 127).astype(np.uint8)
+        self.count = self.count[self.deal]
+        # counts from 127 on are sent beside the flags
+        self.flags = (self.several[self.deal].astype(np.uint8) << 7) | np.minimum(self.count, 127).astype(np.uint8)
 
 
 class Strings:
@@ -167,17 +177,27 @@ class Strings:
         self.of = np.empty(n, np.int64)  # of each row: its string's number
         self.of[order] = rank[group]
         self.rows = wide[self.stands][:, :width]
-        self.hash = h[self.stands]
 
     def front_coded(self, chosen: np.ndarray) -> tuple[bytes, bytes]:
-        """Of successive strings: the lengths shared with the one before, and the other bytes."""
-        rows = self.rows[chosen]
-        n, width = rows.shape
-        shared = np.zeros(n, np.uint8)
-        if n > 1:
-            differs = rows[1:] != rows[:-1]
-            shared[1:] = differs.argmax(axis=1)
-        return shared.tobytes(), rows[np.arange(width) >= shared[:, None]].tobytes()
+        return front_coded(self.rows[chosen])
+
+
+def front_coded(rows: np.ndarray) -> tuple[bytes, bytes]:
+    """Of successive strings: the lengths shared with the one before, and the other bytes."""
+    n, width = rows.shape
+    shared = np.zeros(n, np.uint8)
+    if n > 1:
+        differs = rows[1:] != rows[:-1]
+        shared[1:] = differs.argmax(axis=1)
+    return shared.tobytes(), rows[np.arange(width) >= shared[:, None]].tobytes()
+
+
+def part_of(rows: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each string of LENGTH bytes, by a hash."""
+    h = np.zeros(len(rows), np.uint64)
+    for c in rows.T:
+        h = (h ^ c) * np.uint64(0x100000001B3)
+    return (mixed(h) % np.uint64(parts)).astype(np.int64)
 
 
 def suffix_rows(laid: Laid, places: np.ndarray) -> np.ndarray:
@@ -313,12 +333,12 @@ def matched(group: list[tuple[bytes, list[tuple[int, int, int]]]], give) -> None
 
 
 def merge(kind: int, fragments: list[dict]) -> dict[int, list[tuple[int, int]]]:
-    """run -> (number of a string in the run, mask) from the runs' fragments of one range."""
-    docs = [np.frombuffer(f["docs"], np.int64).tolist() for f in fragments]
+    """run -> (place of a string in the run's fragment, mask) from the fragments of one range."""
+    docs = [docs_of(f).tolist() for f in fragments]
     width = WIDTH if kind == 1 else LENGTH
     alike = GRAM if kind == 1 else LENGTH
     out: dict[int, list] = {f["run"]: [] for f in fragments}
-    give = lambda run, number, mask: out[fragments[run]["run"]].append((fragments[run]["first"] + number, mask))
+    give = lambda run, number, mask: out[fragments[run]["run"]].append((number, mask))
     at = [0] * len(fragments)
     group: list = []
     for run, shared, string in Merger([(f["shared"], f["rest"]) for f in fragments], width):
@@ -336,9 +356,137 @@ def merge(kind: int, fragments: list[dict]) -> dict[int, list[tuple[int, int]]]:
     return out
 
 
+@dataclass(frozen=True)
+class Levels:
+    """How runs meet ranges of the alphabet (or parts of the hashes): outright, or in two levels."""
+
+    runs: int
+    parts: int
+    splits: tuple[bytes, ...]
+    direct: int
+
+    @property
+    def two(self) -> bool:
+        return self.runs > self.direct
+
+    @property
+    def width(self) -> int:
+        """Runs of a group, and ranges or parts of a wide one."""
+        return math.isqrt(max(self.runs, 1) - 1) + 1
+
+    def place(self, kind: int, run: int, wide: int) -> int:
+        """The number of a group of runs within a wide range, beyond those of the runs."""
+        each = self.width + 1
+        return self.runs + ((kind - 1) * each + run // self.width) * each + wide
+
+    def ranges(self, kind: int, rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(range or part, which of the ordered strings go there)."""
+        n = len(rows)
+        if kind == 2:
+            to = part_of(rows, self.parts)
+            order = np.argsort(to, kind="stable")
+            found, begin = np.unique(to[order], return_index=True)
+            return [(int(k), c) for k, c in zip(found, np.split(order, begin[1:]), strict=True)]
+        lead = np.ascontiguousarray(rows[:, :GRAM]).view(f"S{GRAM}").ravel() if n else np.empty(0, f"S{GRAM}")
+        edges = [0, *np.searchsorted(lead, np.array(self.splits, f"S{GRAM}")), n] if self.splits else [0, n]
+        return [(k, np.arange(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+
+    def wide(self, kind: int, rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(wide range, which of the ordered strings go there, in order)."""
+        out: dict[int, list] = {}
+        for k, chosen in self.ranges(kind, rows):
+            out.setdefault(k // self.width, []).append(chosen)
+        return [(k, np.sort(np.concatenate(v))) for k, v in out.items()]
+
+
+def to_range(kind: int, k: int) -> int:
+    return k + (kind - 1) * (1 << 40)
+
+
+def fragment(to: int, run: int, kind: int, rows: np.ndarray, docs: np.ndarray, chosen: np.ndarray) -> tuple:
+    """The chosen of a run's strings for one receiver; numbers that don't follow each other go with them."""
+    shared, rest = front_coded(rows[chosen])
+    number = np.diff(chosen, prepend=chosen[0]).astype("<u4").tobytes()
+    return (to, run, kind, int(chosen[0]), shared, rest, docs[chosen].tobytes() + number)
+
+
+def numbers_of(row: dict) -> np.ndarray:
+    return row["first"] + np.cumsum(np.frombuffer(row["docs"], "<u4", offset=8 * len(row["shared"])).astype(np.int64))
+
+
+def docs_of(row: dict) -> np.ndarray:
+    return np.frombuffer(row["docs"], np.int64, len(row["shared"]))
+
+
+def combine(levels: Levels):
+    """A group of runs within a wide range becomes one run: the distinct strings, each with the
+    smallest id, for the ranges; and for the group itself which of the runs' strings they are."""
+
+    def of(table: pa.Table) -> pa.Table:
+        frugal()
+        rows = table.to_pylist()
+        kind, place = rows[0]["kind"], rows[0]["to"]
+        if kind == 0:
+            return table
+        ids, numbers = [docs_of(r) for r in rows], [numbers_of(r) for r in rows]
+        width, n = (WIDTH if kind == 1 else LENGTH), -1
+        distinct, origin, of_string = bytearray(), [], []
+        for run, shared, string in Merger([(r["shared"], r["rest"]) for r in rows], width):
+            if n < 0 or shared < width:
+                n += 1
+                distinct += string
+            origin.append(run)
+            of_string.append(n)
+        origin, of_string = np.array(origin, np.int64), np.array(of_string, np.int64)
+        doc, number = np.empty(len(origin), np.int64), np.empty(len(origin), np.int64)
+        for k in range(len(rows)):
+            mine = np.flatnonzero(origin == k)
+            doc[mine], number[mine] = ids[k], numbers[k]
+        first = np.flatnonzero(np.r_[True, of_string[1:] != of_string[:-1]])
+        least = np.minimum.reduceat(doc, first)
+        runs = np.array([r["run"] for r in rows], "<u4")[origin]
+        later = np.packbits(doc > least[of_string]).tobytes()
+        out = [(-1 - place, place, 0, kind, runs.tobytes(), np.r_[number, of_string].astype("<u4").tobytes(), later)]
+        strings = np.frombuffer(bytes(distinct), np.uint8).reshape(-1, width)
+        for k, chosen in levels.ranges(kind, strings):
+            out.append(fragment(to_range(kind, k), place, kind, strings, least, chosen))
+        return as_table(out, NAMES, KINDS)
+
+    return of
+
+
+def divide(levels: Levels):
+    """What a group of runs was told, told to each of its runs."""
+
+    def of(table: pa.Table) -> pa.Table:
+        if run_of(table) < levels.runs:
+            return table
+        told = table.to_pylist()
+        own = next(r for r in told if r["kind"] == 0)
+        runs = np.frombuffer(own["a"], "<u4")
+        number, of_string = np.frombuffer(own["b"], "<u4").reshape(2, -1)
+        masks = np.zeros(int(of_string[-1]) + 1, np.uint32)
+        kind = own["first"]
+        for r in told:
+            if r["kind"]:
+                masks[np.frombuffer(r["a"], "<u4")] = np.frombuffer(r["b"], "<u4")
+        later = np.unpackbits(np.frombuffer(own["c"], np.uint8), count=len(runs)).view(bool)
+        mask = np.where(later, ALL, masks[of_string])
+        out = []
+        for run in np.unique(runs[mask > 0]).tolist():
+            mine = (runs == run) & (mask > 0)
+            out.append((run, kind, 0, number[mine].tobytes(), mask[mine].astype("<u4").tobytes(), b""))
+        return as_table(out, TOLD, TOLD_KINDS)
+
+    return of
+
+
 SCHEMA = "to long, run int, kind int, first long, shared binary, rest binary, docs binary"
 NAMES = ["to", "run", "kind", "first", "shared", "rest", "docs"]
 KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+TOLD_SCHEMA = "run int, kind int, first long, a binary, b binary, c binary"
+TOLD = ["run", "kind", "first", "a", "b", "c"]
+TOLD_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def frugal() -> None:
@@ -363,12 +511,13 @@ def send_hashes(parts: int):
         frugal()
         grams = Grams(Laid(table), parts)
         edges = np.searchsorted(grams.part, np.arange(parts + 1))
-        rows = [
-            (k, run_of(table), grams.key[a:b].tobytes(), grams.flags[a:b].tobytes())
-            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
-            if b > a
-        ]
-        return as_table(rows, ["part", "run", "keys", "flags"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+        rows = []
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if b > a:
+                more = np.flatnonzero(grams.count[a:b] >= 127)
+                many = np.stack([more, grams.count[a:b][more]]).astype("<i8").tobytes()
+                rows.append((k, run_of(table), grams.key[a:b].tobytes(), grams.flags[a:b].tobytes(), many))
+        return as_table(rows, ["part", "run", "keys", "flags", "many"], [pa.int32(), pa.int32(), *[pa.binary()] * 3])
 
     return of
 
@@ -386,11 +535,15 @@ def classified(rows: list[dict], frequent: int) -> pa.Table:
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     several = np.diff(np.r_[first, len(keys)]) > 1
     several |= np.maximum.reduceat(flags[order], first) > 127
-    total = np.add.reduceat((flags[order] & 127).astype(np.int64), first)
+    count = (flags & 127).astype(np.int64)
+    edges = np.cumsum([0, *[len(r["flags"]) for r in rows]])
+    for r, a in zip(rows, edges, strict=False):
+        at, many = np.frombuffer(r["many"], "<i8").reshape(2, -1)
+        count[a + at] = many
+    total = np.add.reduceat(count[order], first)
     found = np.where(several, np.where(total >= frequent, 2, 1), 0).astype(np.uint8)
     classes = np.empty(len(keys), np.uint8)
     classes[order] = np.repeat(found, np.diff(np.r_[first, len(keys)]))
-    edges = np.cumsum([0, *[len(r["keys"]) // 4 for r in rows]])
     out = []
     for r, a, b in zip(rows, edges, edges[1:], strict=False):
         out.append((r["run"], r["part"], b - a, np.packbits(classes[a:b] > 0).tobytes(), np.flatnonzero(classes[a:b] == 2).astype("<u4").tobytes()))
@@ -406,8 +559,8 @@ def classes_of(rows: list[dict]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def send_runs(parts: int, splits: list[bytes]):
-    """Front-coded fragments of a run for each range, and its classes for its own later use."""
+def send_runs(parts: int, levels: Levels):
+    """Front-coded fragments of a run for each receiver, and its classes for its own later use."""
 
     def of(texts: pa.Table, sent: pa.Table) -> pa.Table:
         frugal()
@@ -418,20 +571,12 @@ def send_runs(parts: int, splits: list[bytes]):
         ordered = Sorted(laid, Grams(laid, parts), classes)
         rows = [(-1 - run, run, 0, 0, np.packbits(classes > 0).tobytes(), np.flatnonzero(classes == 2).astype("<u4").tobytes(), len(classes).to_bytes(8, "little"))]
         for kind, places, strings in ordered.pairs():
-            n = len(strings.stands)
-            docs = laid.ids[laid.owner(places[strings.stands])] if n else np.empty(0, np.int64)
-            if kind == 1:
-                lead = np.ascontiguousarray(strings.rows[:, :GRAM]).view(f"S{GRAM}").ravel() if n else np.empty(0, f"S{GRAM}")
-                edges = [0, *np.searchsorted(lead, np.array(splits, f"S{GRAM}")), n] if splits else [0, n]
-                dealt = [(k, np.arange(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-            else:
-                to = strings.hash % np.uint64(parts)
-                dealt = [(int(k), np.flatnonzero(to == k)) for k in np.unique(to)]
-            for k, chosen in dealt:
-                if len(chosen):
-                    shared, rest = strings.front_coded(chosen)
-                    number = np.diff(chosen, prepend=chosen[0]).astype("<u4").tobytes() if kind == 2 else b""
-                    rows.append((k + (kind - 1) * (1 << 40), run, kind, int(chosen[0]), shared, rest, docs[chosen].tobytes() + number))
+            if len(strings.stands):
+                docs = laid.ids[laid.owner(places[strings.stands])]
+                dealt = levels.wide if levels.two else levels.ranges
+                for k, chosen in dealt(kind, strings.rows):
+                    to = levels.place(kind, run, k) if levels.two else to_range(kind, k)
+                    rows.append(fragment(to, run, kind, strings.rows, docs, chosen))
         return as_table(rows, NAMES, KINDS)
 
     return of
@@ -440,21 +585,15 @@ def send_runs(parts: int, splits: list[bytes]):
 def send_back(table: pa.Table) -> pa.Table:
     """What a range tells each run: numbers of its strings, and masks."""
     rows = table.to_pylist()
-    names, kinds = ["run", "kind", "a", "b", "c"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     if rows[0]["kind"] == 0:
-        return as_table([(r["run"], 0, r["shared"], r["rest"], r["docs"]) for r in rows], names, kinds)
-    kind, numbers = rows[0]["kind"], {}
-    if kind == 2:
-        for r in rows:
-            n = len(r["shared"])
-            numbers[r["run"]] = r["first"] + np.cumsum(np.frombuffer(r["docs"][8 * n :], "<u4").astype(np.int64))
-            r["docs"], r["first"] = r["docs"][: 8 * n], 0
+        return as_table([(r["run"], 0, r["first"], r["shared"], r["rest"], r["docs"]) for r in rows], TOLD, TOLD_KINDS)
+    kind, numbers = rows[0]["kind"], {r["run"]: numbers_of(r) for r in rows}
     out = []
     for run, found in merge(kind, rows).items():
         if found:
             at, mask = np.array(found, np.int64).T
-            out.append((run, kind, (numbers[run][at] if kind == 2 else at).astype("<u4").tobytes(), mask.astype("<u4").tobytes(), b""))
-    return as_table(out, names, kinds)
+            out.append((run, kind, 0, numbers[run][at].astype("<u4").tobytes(), mask.astype("<u4").tobytes(), b""))
+    return as_table(out, TOLD, TOLD_KINDS)
 
 
 def removed(laid: Laid, parts: int, told: list[dict]) -> np.ndarray:
@@ -510,13 +649,15 @@ def give_back(parts: int, give, names: list[str], kinds: list):
 
 def survey(rows: DataFrame, run: int) -> tuple[int, list[bytes]]:
     """How many runs the texts make, and where the ranges of the alphabet begin: quantiles of
-    about ``SAMPLED`` k-grams a run, of every 64th document where there are many."""
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    about ``SAMPLED`` k-grams a run, ``MOST_SAMPLED`` at most, of a share of the documents where
+    there are many."""
+    total, docs = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    total = total or 0
     parts = max(24, -(-total // run)) if total > 1 << 20 else 4
-    some = total > 1 << 26
-    part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0) if some else rows
-    # about every 14th byte has an anchor
-    step = max(1, total // (14 * (64 if some else 1) * SAMPLED * parts))
+    share = 1.0 if total <= 1 << 26 else max(1 / SHARE, min(1.0, LEAST_SAMPLE / docs))
+    part = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)) if share < 1 else rows
+    wanted = min(SAMPLED * parts, MOST_SAMPLED)
+    step = max(1, int(total * share) // (14 * wanted))  # about every 14th byte has an anchor
 
     def make():
         def pick(batch: pa.RecordBatch):
@@ -528,21 +669,28 @@ def survey(rows: DataFrame, run: int) -> tuple[int, list[bytes]]:
 
         return pick
 
-    found = sorted(arrow_map(part, make, "gram binary").limit(4 * SAMPLED * parts).toArrow().column("gram").to_pylist())
+    found = sorted(arrow_map(part, make, "gram binary").limit(4 * wanted).toArrow().column("gram").to_pylist())
     return parts, sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
 
 
 def analysed(
-    df: DataFrame, id: str, text: str, schema: str, give, run: int, frequent: int, keep: dict[str, str]
+    df: DataFrame, id: str, text: str, schema: str, give, run: int, frequent: int, direct: int, keep: dict[str, str]
 ) -> DataFrame:
     rows = narrow(df, doc_id=id, text=text, **keep)
-    parts, splits = survey(rows.select("doc_id", "text"), run)
-    dealt = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
-    by_run = dealt.groupBy("run")
-    hashes = by_run.applyInArrow(send_hashes(parts), "part int, run int, keys binary, flags binary")
+    runs, splits = survey(rows.select("doc_id", "text"), run)
+    parts = max(min(runs, 24), runs // 4)  # of the anchors' hashes
+    levels = Levels(runs, runs, tuple(splits), direct)
+    # the salt parts repeated rows, and rows without an id
+    salted = F.xxhash64("doc_id", "text", F.monotonically_increasing_id() % SALT)
+    by_run = rows.withColumn("run", F.pmod(salted, F.lit(runs)).cast("int")).groupBy("run")
+    hashes = by_run.applyInArrow(send_hashes(parts), "part int, run int, keys binary, flags binary, many binary")
     classes = hashes.groupBy("part").applyInArrow(classify(frequent), "run int, part int, n long, several binary, frequent binary")
-    runs = by_run.cogroup(classes.groupBy("run")).applyInArrow(send_runs(parts, splits), SCHEMA)
-    told = runs.groupBy("to").applyInArrow(send_back, "run int, kind int, a binary, b binary, c binary")
+    sent = by_run.cogroup(classes.groupBy("run")).applyInArrow(send_runs(parts, levels), SCHEMA)
+    if levels.two:
+        sent = sent.groupBy("to").applyInArrow(combine(levels), SCHEMA)
+    told = sent.groupBy("to").applyInArrow(send_back, TOLD_SCHEMA)
+    if levels.two:
+        told = told.groupBy("run").applyInArrow(divide(levels), TOLD_SCHEMA)
     names = [c.split()[0] for c in schema.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     kinds = [types.get(c.split()[1]) or pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])) for c in schema.split(", ")]
@@ -561,15 +709,19 @@ def dedup(
     text: str = "text",
     run: int = RUN,
     frequent: int = FREQUENT,
+    direct: int = DIRECT,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, text, removed``: each row's text without the removed bytes, and their spans in
     bytes. A character that lost some of its bytes goes whole. The columns ``keep`` come along
     as keep0, keep1 and so on.
 
-    Null texts count as empty; texts of fewer bytes than a string stay. Null ids come after all
-    others. Rows with equal ids don't remove each other's strings. An empty table gives an empty
-    result. Other columns are not read.
+    Ids are whole numbers below 2^63 - 1. Null texts count as empty; texts of fewer bytes than a
+    string stay. Null ids come after all others. Rows with equal ids, or without one, don't remove
+    each other's strings; repeated rows each give their row. An empty table gives an empty result.
+    A very long text is one task's, whole, at about 30 bytes of memory a byte. Other columns,
+    whatever their names, are not read. ``df`` has to give the same rows in the same order if a
+    part of it is read again, as a table does.
     """
 
     def give(raw: np.ndarray, gone: np.ndarray) -> tuple:
@@ -577,11 +729,11 @@ def dedup(
         return raw[~gone].tobytes().decode(errors="ignore"), found
 
     also = {f"keep{k}": c for k, c in enumerate(keep)}
-    return analysed(df, id, text, "text string, removed array<struct<begin:long,end:long>>", give, run, frequent, also)
+    return analysed(df, id, text, "text string, removed array<struct<begin:long,end:long>>", give, run, frequent, direct, also)
 
 
 def digests(
-    df: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN, frequent: int = FREQUENT
+    df: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN, frequent: int = FREQUENT, direct: int = DIRECT
 ) -> DataFrame:
     """As :func:`dedup`, with sizes and the kept bytes' digest in place of text and spans."""
 
@@ -589,7 +741,7 @@ def digests(
         n = int(gone.sum())
         return len(raw), n, len(spans(gone)) if n else 0, sha256(raw[~gone].tobytes() if n else raw.tobytes()).hexdigest()
 
-    return analysed(df, id, text, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", give, run, frequent, {})
+    return analysed(df, id, text, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", give, run, frequent, direct, {})
 
 
 def op2_suffixes(spark, sf_dir: str) -> DataFrame:

@@ -126,7 +126,7 @@ def test_suffix_rows_by_every_path(spark):
     rows = pieces()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = removed(rows)
-    for options in ({}, {"frequent": 3}, {"run": 2000, "frequent": 20}):
+    for options in ({}, {"frequent": 3}, {"run": 2000, "frequent": 20}, {"direct": 1}, {"direct": 2, "run": 2000, "frequent": 3}):
         assert sorted(map(tuple, suffixes.digests(df, **options).collect()), key=str) == want
 
 

@@ -1,6 +1,7 @@
 import corpus_pipeline
-from newsloom.llm import packing, secrets, simhash, suffixes, toxicity
+from newsloom.llm import packing, secrets, suffixes, toxicity
 from newsloom.llm.common import read
+from test_resemblance import classes
 
 DIR = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def test_stages_take_effect(spark):
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - toxic
 
     kept = corpus_pipeline.near_duplicates(spark, docs, DIR)
-    heads = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    heads = set(classes([(r["doc_id"], r["text"]) for r in docs.collect()]))
     assert kept.columns == names and sorted(r["doc_id"] for r in kept.collect()) == sorted(heads)
 
     cut = corpus_pipeline.repeated_passages(spark, docs, DIR)

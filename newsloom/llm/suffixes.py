@@ -45,10 +45,12 @@ PLACES = LENGTH - GRAM + 1
 #: Bytes of a suffix with those before it, and the byte that stands for none (never in UTF-8).
 WIDTH, NONE = LENGTH + PLACES - 1, 0xFF
 #: Bytes of text in a run, occurrences that make an anchor frequent, k-grams sampled for a run.
-RUN, FREQUENT, SAMPLED = 8 << 20, 50_000, 100
+RUN, FREQUENT, SAMPLED = 5 << 20, 50_000, 100
 #: Runs that are merged in one level, k-grams sampled at most, texts of one id that are dealt to
 #: so many runs, and the least documents and share of them that a sample takes.
 DIRECT, MOST_SAMPLED, SALT, LEAST_SAMPLE, SHARE = 256, 1 << 20, 64, 2000, 64
+#: Partitions of an exchange at most.
+PARTITIONS = 1 << 15
 ALL = np.uint32((1 << PLACES) - 1)
 LAST = 2**63 - 1
 
@@ -673,6 +675,13 @@ def survey(rows: DataFrame, run: int) -> tuple[int, list[bytes]]:
     return parts, sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
 
 
+def grouped(df: DataFrame, key: str, groups: int):
+    """Grouped by the key, dealt to as many partitions as there are groups, where that is more
+    than the session's: then a task doesn't grow with the input."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartition(min(groups, PARTITIONS), key) if groups > least else df).groupBy(key)
+
+
 def analysed(
     df: DataFrame, id: str, text: str, schema: str, give, run: int, frequent: int, direct: int, keep: dict[str, str]
 ) -> DataFrame:
@@ -682,13 +691,13 @@ def analysed(
     levels = Levels(runs, runs, tuple(splits), direct)
     # the salt parts repeated rows, and rows without an id
     salted = F.xxhash64("doc_id", "text", F.monotonically_increasing_id() % SALT)
-    by_run = rows.withColumn("run", F.pmod(salted, F.lit(runs)).cast("int")).groupBy("run")
+    by_run = grouped(rows.withColumn("run", F.pmod(salted, F.lit(runs)).cast("int")), "run", runs)
     hashes = by_run.applyInArrow(send_hashes(parts), "part int, run int, keys binary, flags binary, many binary")
     classes = hashes.groupBy("part").applyInArrow(classify(frequent), "run int, part int, n long, several binary, frequent binary")
     sent = by_run.cogroup(classes.groupBy("run")).applyInArrow(send_runs(parts, levels), SCHEMA)
     if levels.two:
-        sent = sent.groupBy("to").applyInArrow(combine(levels), SCHEMA)
-    told = sent.groupBy("to").applyInArrow(send_back, TOLD_SCHEMA)
+        sent = grouped(sent, "to", 2 * runs).applyInArrow(combine(levels), SCHEMA)
+    told = grouped(sent, "to", 2 * runs).applyInArrow(send_back, TOLD_SCHEMA)
     if levels.two:
         told = told.groupBy("run").applyInArrow(divide(levels), TOLD_SCHEMA)
     names = [c.split()[0] for c in schema.split(", ")]

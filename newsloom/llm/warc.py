@@ -4,6 +4,9 @@ A payload may hold text that looks like a record's beginning. So every place wit
 only a candidate: tasks parse its header and emit the pair of its offset and its successor's.
 Pointer jumping from the file's start then marks, in as many rounds as the logarithm of the
 number of candidates, what the chain of true records reaches; the rest is rejected.
+
+Archives are gzip files, which can't be split; so they are bounded by bytes, and an archive's
+candidates and its chain are one task's.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from .common import arrow_map, narrow, read, shared_dir, text_of
 
 MAGIC = b"WARC/1.1\r\n"
 NAME = "urn:newsloom:page:"
-#: Bytes from which equal payloads are written once.
-LEAST = 100
+#: Bytes from which equal payloads are written once, and about how many an archive holds: at most
+#: and, where that gives too few archives to occupy all cores, at least.
+LEAST, SIZE, SMALL = 100, 64 << 20, 4 << 20
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -45,23 +49,29 @@ def write(
     url: str = "url",
     html: str = "html",
     date: str = "2024-01-01T00:00:00Z",
-    records: int = 5000,
+    size: int = SIZE,
 ) -> None:
-    """Writes a record per row into gzip-compressed archives of at most ``records`` records.
+    """Writes a record per row into gzip-compressed archives of about ``size`` bytes of payload.
 
-    A null payload counts as empty; a null url becomes the record's own name; line ends in a url
-    are escaped; a null id gives a record with an empty name. Repeated rows are written again.
+    Ids are whole numbers. A null payload counts as empty; a null url becomes the record's own
+    name; line ends in a url are escaped; a null id gives a record with an empty name. Repeated
+    rows are written again, into one archive. A very long payload makes its archive as long. An
+    empty table gives archives without records. Other columns, whatever their names, are not read.
     """
     rows = narrow(pages, page_id=id, url=url, html=html)
     body, digest = text_of("html"), F.sha2(text_of("html"), 256)
     keyed = rows.select("page_id", digest.alias("digest"), F.octet_length(body).alias("bytes"))
-    again = revisits(keyed).select(F.col("page_id").alias("id2"), F.col("digest").alias("digest2"), "refers_to")
+    total = keyed.agg(F.sum("bytes")).first()[0] or 0
+    archives = max(1, -(-total // size), min(-(-total // SMALL), spark_cores(pages)))
+    # by one key, so that the rows that are dealt to archives meet their revisits where they are
+    key = lambda id: F.substring(F.unhex(F.sha2(F.concat_ws(":", "digest", F.coalesce(F.col(id).cast("string"), F.lit(""))), 256)), 1, 16)
+    again = revisits(keyed).select(key("page_id").alias("key"), "refers_to")
     all_rows = rows.select("page_id", "url", body.alias("html"), digest.alias("digest"))
-    joined = all_rows.join(again, F.expr("page_id <=> id2 and digest = digest2"), "left")
+    joined = all_rows.withColumn("key", key("page_id")).repartition(archives, "key").join(again, "key", "left")
     name = F.concat(F.lit(f"<{NAME}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
-    size = F.octet_length("html").cast("string")
+    length = F.octet_length("html").cast("string")
     is_new = F.col("refers_to").isNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit("\r\n\r\n"))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length, F.lit("\r\n\r\n"))
     block = F.when(is_new, F.concat(http, "html")).otherwise(http)
     line = lambda key, *value: F.concat(F.lit(f"{key}: "), *value, F.lit("\r\n"))
     profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -76,7 +86,7 @@ def write(
             F.concat(
                 line("WARC-Refers-To", F.lit(f"<{NAME}"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(">")),
                 line("WARC-Profile", F.lit(profile)),
-                line("WARC-Payload-Length", size),
+                line("WARC-Payload-Length", length),
             )
         ),
         line("Content-Type", F.lit("application/http;msgtype=response")),
@@ -85,23 +95,25 @@ def write(
         # the writer adds the last line feed of the record's end
         F.concat("head", line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"), "block", F.lit("\r\n\r"))
     )
-    options = whole.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", records)
-    options.text(folder)
+    whole.write.option("lineSep", "\n").option("compression", "gzip").text(folder)
+
+
+def spark_cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
 
 
-def candidates(data: bytes, block: int = 1 << 20) -> list[tuple[int, int, int]]:
-    """(offset, where its block begins, successor's offset) of whatever looks like a record."""
+def candidates(data: bytes) -> list[tuple[int, int, int]]:
+    """(offset, where its block begins, successor's offset) of whatever looks like a record. No
+    header holds the magic, so each ends before the next one, and every byte is looked at once."""
     found = []
-    for start in range(0, len(data), block):
-        at = data.find(MAGIC, start, start + block + len(MAGIC) - 1)
-        while at >= 0:
-            end = data.find(b"\r\n\r\n", at)
-            size = re.search(rb"\r\nContent-Length: *([0-9]{1,18})\r\n", data[at : end + 2], re.I) if end >= 0 else None
-            if size:
-                after = end + 4 + int(size[1])
-                if data[after : after + 4] == b"\r\n\r\n":
-                    found.append((at, end + 4, after + 4))
-            at = data.find(MAGIC, at + 1, start + block + len(MAGIC) - 1)
+    places = [m.start() for m in re.finditer(re.escape(MAGIC), data)]
+    for at, following in zip(places, [*places[1:], len(data)], strict=False):
+        end = data.find(b"\r\n\r\n", at, following)
+        size = re.search(rb"\r\nContent-Length: *([0-9]{1,18})\r\n", data[at : end + 2], re.I) if end >= 0 else None
+        if size:
+            after = end + 4 + int(size[1])
+            if data[after : after + 4] == b"\r\n\r\n":
+                found.append((at, end + 4, after + 4))
     return found
 
 
@@ -137,7 +149,9 @@ def _id(name: str) -> int | None:
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to, url`` of each record in
-    the archives below ``folder``; a revisit's payload is described by its header."""
+    the archives below ``folder``; a revisit's payload is described by its header. An empty name
+    gives a null id; archives without records, or that don't begin with one, give no rows. A task
+    holds a whole archive."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
 

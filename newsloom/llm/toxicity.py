@@ -9,8 +9,9 @@ one for their sum, and a logistic curve over its logarithm, fitted on labelled r
 weights were not learned from, into the probability of label 1.
 
 Weights are learned from a sample of the labelled rows of at most about ``MOST_ROWS`` of each
-label (a documented bound), and the strongest ``MOST_WORDS`` are kept; the curve is fitted on half
-as many rows. So what goes to the driver and back to the tasks is bounded. All rows are scored.
+label (a documented bound), the curve from half as many; so the words that go to the driver and
+back to the tasks, which are those of ``SUPPORT`` toxic rows or more, are bounded too. A word of
+fewer has the weight of its beginnings. The labelled rows are read once; all rows are scored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ LEVELS = (4, 6, 0)
 WORD = re.compile(r"\w+")
 #: Weight that each level's prior has in rows, what each word's weight loses, and its bounds.
 PRIOR, DRIFT, LEAST, MOST = 12.0, 1.0, -2.0, 9.0
-#: Sampled rows of a label, words and beginnings that the model keeps, toxic rows each needs.
-MOST_ROWS, MOST_WORDS, SUPPORT = 25_000, 300_000, 3
+#: Sampled rows of a label, and toxic rows that a word or beginning needs for its own weight.
+MOST_ROWS, SUPPORT = 25_000, 3
 #: Passages as good that chance may give a text, for one of them to count beside the best.
 CHANCE = 1.0
 #: Width of the bins in which the clean words' weights are counted.
@@ -200,8 +201,8 @@ def learn(rows: DataFrame) -> Model | None:
     total = sums.where("key = 0").first()
     if total is None or not total["clean"] or not total["toxic"]:
         return None
-    found = sums.where("key <> 0").orderBy(F.desc("toxic"), "clean", "key").limit(MOST_WORDS)
-    found = list(zip(*[c.to_pylist() for c in found.toArrow().columns], strict=True))
+    found = sums.where("key <> 0").toArrow()  # of a bounded number of rows
+    found = list(zip(*[c.to_pylist() for c in found.columns], strict=True))
     weights = log_odds(found, total["clean"], total["toxic"])
     keys = np.array(sorted(weights), np.int64)
     values = np.clip([weights[k] for k in keys.tolist()], LEAST, MOST).astype(np.float32)
@@ -352,19 +353,18 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
     fold 1 the curve is fitted on the others."""
     rows = narrow(df, doc_id=id, text=text)
     known = durable(training_labels(labels))
-    chosen = sample(known.where("fold > 1")).select("doc_id", "toxic")
-    # a bounded number of (id, label) rows
-    learned = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    learns = sample(known.where("fold > 1")).select("doc_id", "toxic", F.lit(True).alias("learns"))
+    rest = sample(known.where("fold = 1"), MOST_ROWS // 2).select("doc_id", "toxic", F.lit(False).alias("learns"))
+    # a bounded number of (id, label) rows, and their texts, read once
+    chosen = durable(rows.join(F.broadcast(learns.union(rest)), "doc_id").select("text", "toxic", "learns"))
+    learned, unseen = (chosen.where(c).select("text", "toxic") for c in ("learns", "not learns"))
     model = learn(learned)
     if model is None:
         return Scorer(None)
-    rest = sample(known.where("fold = 1"), MOST_ROWS // 2).select("doc_id", "toxic")
-    unseen = rows.join(F.broadcast(rest), "doc_id").select("text", "toxic")
     if unseen.select("toxic").distinct().count() < 2:
         unseen = learned
     model = calibrated(unseen, model)
-    pairs = _evidence(unseen, model)
-    return Scorer(model, *curve(*pairs))
+    return Scorer(model, *curve(*_evidence(unseen, model)))
 
 
 def _evidence(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:

@@ -149,14 +149,18 @@ def cuts(ledger: DataFrame, version: str = RULE_VERSION) -> DataFrame:
 
 def redacted(text: Column, cuts: Column, mark: str = "[secret]") -> Column:
     """The text with the mark in place of each of the cuts, which are in order and apart."""
-    raw, n = text.cast("binary"), F.size(cuts)
+    n = F.size(cuts)
 
-    def piece(i: Column) -> Column:
-        begin = F.when(i > 0, F.element_at(cuts, i)["last"]).otherwise(0)
-        end = F.when(i < n, F.try_element_at(cuts, i + 1)["first"]).otherwise(F.octet_length(text))
-        return F.substring(raw, begin + 1, end - begin).cast("string")
+    def joined(raw: Column) -> Column:
+        def piece(i: Column) -> Column:
+            begin = F.when(i > 0, F.element_at(cuts, i)["last"]).otherwise(0)
+            end = F.when(i < n, F.try_element_at(cuts, i + 1)["first"]).otherwise(F.octet_length(raw))
+            return F.substring(raw, begin + 1, end - begin).cast("string")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), n), piece), mark)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), piece), mark)
+
+    # a variable of the bytes, which a cast would copy for every piece
+    return F.transform(F.array(text.cast("binary")), joined)[0]
 
 
 def unused(df: DataFrame, name: str) -> str:

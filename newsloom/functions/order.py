@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.durable import durable
 
 
+def value_at(df: DataFrame, column: str, place: int):
+    """The value at a place (from 1) of a column in order, from the counts of equal values: ties
+    are one row. Only the range that holds the place is gone through in order."""
+    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    dealt = durable(counts.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
+    for part, n in sorted(dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        if place <= n:
+            break
+        place -= n
+    so_far = F.sum("n").over(W.partitionBy("part").orderBy(column))
+    here = dealt.where(F.col("part") == part).withColumn("so_far", so_far)
+    return here.where(F.col("so_far") >= place).agg(F.min(column)).first()[0]
+
+
 def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     """``df`` with each row's place (from 1) in an order that has no ties.
 

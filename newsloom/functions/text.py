@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +30,39 @@ def norm(text: Column) -> Column:
     return collapsed(F.lower(text))
 
 
+@cache
+def folds() -> dict[str, str]:
+    """What case folding makes of the characters that lower case leaves otherwise."""
+    every = (chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return {c: c.casefold() for c in every if c.casefold() != c and c.lower() == c}
+
+
+def casefold(text: Column) -> Column:
+    """For comparing without case. Texts that lower case doesn't fold are few, and taken apart."""
+    table, lowered = folds(), F.lower(text)
+    pairs = F.map_from_arrays(F.array(*map(F.lit, table)), F.array(*map(F.lit, table.values())))
+    letters = F.transform(F.regexp_extract_all(lowered, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
+    return F.when(lowered.rlike("[" + "".join(table) + "]"), F.array_join(letters, "")).otherwise(lowered)
+
+
+def normalized_title(text: Column) -> Column:
+    """A title for comparison: case folded, white space collapsed; null stays null."""
+    return collapsed(casefold(text))
+
+
+def console_safe(text: Column) -> Column:
+    """For consoles of ASCII alone: other characters as backslash escapes of their code points."""
+
+    def shown(c: Column) -> Column:
+        code = F.ascii(c)
+        digits = lambda n: F.lpad(F.lower(F.hex(code)), n, "0")
+        wide = F.when(code < 0x100, F.concat(F.lit("\\x"), digits(2))).when(code < 0x10000, F.concat(F.lit("\\u"), digits(4)))
+        return F.when(code < 0x80, c).otherwise(wide.otherwise(F.concat(F.lit("\\U"), digits(8))))
+
+    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(letters, shown), "")).otherwise(text)
+
+
 def contains_any(text: Column, parts) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in parts], F.lit(False))
 
@@ -66,6 +99,14 @@ def clean(text: Column) -> Column:
     return collapsed(F.regexp_replace(text, EMOJI, ""))
 
 
+def clean_start(text: Column, n: int) -> Column:
+    """The first ``n`` characters of the cleaned text. Where a beginning is enough for them, only
+    that is cleaned: nothing after it changes what is before it."""
+    start = clean(F.substring(text, 1, 4 * n))
+    enough = lambda c: (F.length(c) > n) | (F.length(text) <= 4 * n)
+    return let(start, lambda c: F.when(enough(c), F.substring(c, 1, n)).otherwise(F.substring(clean(text), 1, n)))
+
+
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, stripped; empty if there is none."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), LINES), collapsed_ends)
@@ -82,38 +123,48 @@ def utf16_units(text: Column) -> Column:
 
 
 def utf16_truncated(text: Column, units: int) -> Column:
-    """The longest beginning of at most so many UTF-16 units that splits no character."""
-    short = F.regexp_extract(text, rf"(?s)^(?:[\x{{0}}-\x{{FFFF}}]|[\x{{10000}}-\x{{10FFFF}}]){{0,{units}}}", 0)
-    letters = F.split(short, "")
+    """The longest beginning of at most so many UTF-16 units that splits no character. Without
+    characters of two units that is a beginning of so many characters."""
+
+    def cut(short: Column) -> Column:
+        # after each character the units so far; only beginnings with characters of two are taken apart
+        letters = F.regexp_extract_all(short, F.lit("(?s)."), F.lit(0))
+        none = F.struct(F.lit(0).alias("used"), F.lit(0).alias("kept"))
 
-    def step(state: Column, c: Column) -> Column:
-        used = state["used"] + F.when(F.length(F.encode(c, "UTF-16LE")) > 2, 2).otherwise(1)
-        return F.struct(used.alias("used"), (state["kept"] + F.when(used <= units, F.length(c)).otherwise(0)).alias("kept"))
+        def step(state: Column, c: Column) -> Column:
+            used = state["used"] + F.when(F.ascii(c) > 0xFFFF, 2).otherwise(1)
+            return F.struct(used.alias("used"), (state["kept"] + F.when(used <= units, 1).otherwise(0)).alias("kept"))
 
-    kept = F.aggregate(letters, F.struct(F.lit(0).alias("used"), F.lit(0).alias("kept")), step, lambda s: s["kept"])
-    return F.when(utf16_units(text) <= units, text).otherwise(F.substring(short, F.lit(1), kept))
+        kept = F.aggregate(letters, none, step, lambda s: s["kept"])
+        return F.when(utf16_units(short) == F.length(short), short).otherwise(F.substring(short, F.lit(1), kept))
 
+    return let(F.substring(text, 1, units), cut)
 
-def first_sentence(text: Column, units: int = 320) -> Column:
-    """Up to the first sentence end, else cut to ``units`` with an ellipsis."""
+
+def first_sentence(text: Column, units: int = 320, cleaned: Column | None = None) -> Column:
+    """Up to the first sentence end, else cut to ``units`` with an ellipsis. ``cleaned`` is the
+    text after :func:`clean`, where a column has it already."""
+
+    def shortened(cleaned: Column) -> Column:
+        cut = F.regexp_replace(utf16_truncated(cleaned, units), r"(?U)\s+$", "")
+        return let(cut, lambda c: F.when(c == cleaned, c).otherwise(F.concat(c, F.lit("…"))))
 
     def of(cleaned: Column) -> Column:
         found = F.regexp_extract(cleaned, r"(?Ud)^(.+?[.!?…])(?:\s|$)", 1)
-        cut = F.regexp_replace(utf16_truncated(cleaned, units), r"(?U)\s+$", "")
-        return F.when(found != "", found).otherwise(F.when(cut == cleaned, cut).otherwise(F.concat(cut, F.lit("…"))))
+        return let(found, lambda f: F.when(f != "", f).otherwise(shortened(cleaned)))
 
-    return let(clean(F.coalesce(text, F.lit(""))), of)
+    return let(cleaned if cleaned is not None else clean(F.coalesce(text, F.lit(""))), of)
 
 
-def rejection_title(title: Column, nothing: str = "Без заголовка") -> Column:
-    """The first sentence if more follows, else the first 240 characters."""
+def rejection_title(title: Column, nothing: str = "Без заголовка", cleaned: Column | None = None) -> Column:
+    """The first sentence if more follows, else the first 240 characters. ``cleaned`` as above."""
 
     def of(cleaned: Column) -> Column:
         first = F.regexp_extract(cleaned, r"(?Ud)^(.*?[.!?…])(?=\s|$).", 1)
         short = F.regexp_replace(F.substring(cleaned, 1, 240), r"(?U)\s+$", "")
-        return F.when(cleaned == "", nothing).when(first != "", first).otherwise(short)
+        return let(first, lambda f: F.when(cleaned == "", nothing).when(f != "", f).otherwise(short))
 
-    return let(clean(F.coalesce(title, F.lit(""))), of)
+    return let(cleaned if cleaned is not None else clean(F.coalesce(title, F.lit(""))), of)
 
 
 def shown_source(name: Column, nothing: str = "Источник") -> Column:
@@ -131,7 +182,7 @@ def story_terms(text: Column, pack) -> Column:
     """Stems of the words: the longest suffix goes that leaves four letters, then short stems,
     numbers and stop words."""
     suffixes = "|".join(sorted(pack.suffixes, key=len, reverse=True))
-    lowered = F.translate(F.lower(clean(F.coalesce(text, F.lit("")))), "ё", "е")
+    lowered = F.translate(casefold(clean(F.coalesce(text, F.lit("")))), "ё", "е")
     found = F.filter(
         F.regexp_extract_all(lowered, F.lit(pack.story_word), F.lit(0)), lambda w: ~w.rlike(r"^\d+$")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.order import numbered
+
 #: Rows that a lookup table may have to be broadcast: beyond, the join shuffles.
 BROADCAST = 10_000
 
@@ -28,6 +30,14 @@ def still_seen(seen: DataFrame, today: DataFrame, keys: list[str]) -> DataFrame:
     return seen.join(today.select(*keys), keys, "left_semi")
 
 
+def batched(df: DataFrame, by: str, id: str, size: int = 100) -> DataFrame:
+    """Distinct (by, id) rows with the ``batch`` of at most ``size`` ids of one ``by`` in which an
+    interface is asked for them."""
+    placed = numbered(df.select(by, id).distinct(), [by, id])
+    first = placed.groupBy(by).agg(F.min("place").alias("first"))
+    return placed.join(small(first), by).select(by, id, F.floor((F.col("place") - F.col("first")) / size).alias("batch"))
+
+
 def audience_scores(topics: DataFrame, models: DataFrame, names: list[str]) -> DataFrame:
     """``topics`` by (audience, horizon) with the model's prediction and priority.
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.order import numbered
+from newsloom.functions.order import numbered, value_at
 from newsloom.functions.packs import Pack
 from newsloom.functions.text import contains_any
 
@@ -84,12 +84,27 @@ def fit(df: DataFrame, names: list[str], y: str, least: int = LEAST) -> Ridge |
             x[i, at[row["j"]]] = x[at[row["j"]], i] = row["value"]
     x[np.arange(1, d), np.arange(1, d)] += RIDGE
     high = nth(df, y, min(n - 1, int(0.9 * n)) + 1)
-    return Ridge(names, np.linalg.solve(x, rhs).tolist(), n, max(math.expm1(high), 1e-6))
+    return Ridge(names, solved(x, rhs).tolist(), n, max(math.expm1(high), 1e-6))
+
+
+def solved(x: np.ndarray, rhs: np.ndarray, least: float = 1e-12) -> np.ndarray:
+    """The solution of the equations by elimination with the largest pivot of each column. Without
+    a pivot the column is passed over, and what is left of the right side stands for its value."""
+    rows = np.column_stack([x, rhs]).astype(float)
+    for k in range(len(rhs)):
+        at = k + int(np.abs(rows[k:, k]).argmax())
+        if abs(rows[at, k]) < least:
+            continue
+        rows[[k, at]] = rows[[at, k]]
+        rows[k] /= rows[k, k]
+        others = np.arange(len(rhs)) != k
+        rows[others] -= np.outer(rows[others, k], rows[k])
+    return rows[:, -1]
 
 
 def nth(df: DataFrame, column: str, place: int) -> float:
     """The value at a place (from 1) of a column in order."""
-    return numbered(df.select(column), [column]).where(F.col("place") == place).first()[column]
+    return value_at(df, column, place)
 
 
 def split(df: DataFrame, order: list[str]) -> DataFrame:
@@ -116,6 +131,13 @@ def spearman(df: DataFrame, a: str, b: str, tie: str, by: list[str] | None = Non
     return sums.select(*by, "n", value.alias("spearman"))
 
 
+def training_rows(observations: DataFrame, hours: int, other: int = 1) -> DataFrame:
+    """Observations whose hour is complete and has a score, with ``score``, and whether the other
+    hour is complete too (``paired``)."""
+    done = observations.where(F.col(f"completed_{hours}h") & F.col(f"score_{hours}h").isNotNull())
+    return done.select("*", F.col(f"score_{hours}h").alias("score"), F.col(f"completed_{other}h").alias("paired"))
+
+
 def evaluate(
     df: DataFrame, names: list[str], y: str, score: str, audience: str, order: list[str], paired: str | None = None
 ) -> DataFrame | None:

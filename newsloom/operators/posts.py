@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.functions.order import numbered
 from newsloom.functions.text import civil, first_filled
 
 COUNTERS = ("views", "likes", "comments", "reposts")
@@ -25,7 +26,7 @@ POST = T.StructType(
         *[T.StructField(c, T.LongType()) for c in COUNTERS],
     ]
 )
-#: Fields of old records that are dropped at any depth.
+# Names of the fields that are dropped at any depth, and of those that are read.
 LEGACY = (
     "verification_required",
     "publish_disclaimer_required",
@@ -137,6 +138,15 @@ def unseen(df: DataFrame, seen: DataFrame, keys, order) -> DataFrame:
     return fresh.groupBy(*keys).agg(picked).select(*keys, "kept.*").select(*df.columns)
 
 
+def in_order(parts: list[DataFrame], pos: str) -> DataFrame:
+    """All posts of the groups in the groups' order, each group's by ``pos``, with ``place``."""
+    every = None
+    for k, part in enumerate(parts):
+        numbered_part = part.withColumn("group", F.lit(k))
+        every = numbered_part if every is None else every.unionByName(numbered_part)
+    return numbered(every, ["group", pos]).drop("group")
+
+
 def channels(default: DataFrame, configured: DataFrame, excluded: tuple[str, ...] = ("dps155",)) -> DataFrame:
     """``channel, name``: defaults overridden by configured ones, without the excluded."""
     a, b = default.select("channel", F.col("name").alias("own")), configured.select("channel", F.col("name").alias("set"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.durable import durable
+from newsloom.functions.order import numbered
 from newsloom.functions.packs import Pack
 from newsloom.functions.text import story_terms
 
@@ -43,6 +44,17 @@ def is_fresh(newest: Column, now: Column) -> Column:
     return (now - newest >= 0) & (now - newest <= FRESH_MINUTES * 60)
 
 
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``place`` in an order without ties, over ranges rather than in one task."""
+    return numbered(df, list(order))
+
+
+def top(df: DataFrame, order: list[Column], limit: int, name: str) -> DataFrame:
+    """A display list: the first rows with their ``place`` under a name; each task keeps ``limit``."""
+    rows = df.orderBy(*order).limit(limit)
+    return rows.select(F.lit(name).alias("list"), F.row_number().over(W.orderBy(*order)).alias("place"), *df.columns)
+
+
 def ranked(df: DataFrame, tie: str, limit: int = SHOWN) -> DataFrame:
     """The first topics by rapid spread, recent sources, all sources, model and priority, with
     ``rank``; ties stay in the order of ``tie``. A sort and limit, so each task keeps ``limit``."""
@@ -62,10 +74,13 @@ def story_links(left: DataFrame, right: DataFrame, pack: Pack) -> DataFrame:
     """``left_id, right_id`` of the same story: (id, title, story) rows where one's title shares
     three terms and two fifths of its own with the other's title and story."""
 
+    def stated(rows: DataFrame) -> DataFrame:
+        every = story_terms(F.concat_ws(" ", "title", "story"), pack)
+        return durable(rows.select("id", story_terms(F.col("title"), pack).alias("terms"), every.alias("all")))
+
     def one_way(a: DataFrame, b: DataFrame) -> DataFrame:
-        titles = a.select(F.col("id").alias("a"), story_terms(F.col("title"), pack).alias("terms"))
-        stories = b.select(F.col("id").alias("b"), story_terms(F.concat_ws(" ", "title", "story"), pack).alias("all"))
-        titles, stories = durable(titles.where(F.size("terms") >= 3)), durable(stories)
+        titles = a.where(F.size("terms") >= 3).select(F.col("id").alias("a"), "terms")
+        stories = b.select(F.col("id").alias("b"), "all")
         told = stories.select("b", F.explode("all").alias("term"))
         often = told.groupBy("term").agg(F.count("*").alias("df"))
         # who shares enough terms shares one of the rarest: frequent ones need no join
@@ -79,6 +94,7 @@ def story_links(left: DataFrame, right: DataFrame, pack: Pack) -> DataFrame:
         both = candidates.join(titles, "a").join(stories, "b")
         return both.where((shared >= 3) & (shared >= 0.4 * F.size("terms"))).select("a", "b")
 
+    left, right = stated(left), stated(right)
     there = one_way(left, right).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"))
     back = one_way(right, left).select(F.col("b").alias("left_id"), F.col("a").alias("right_id"))
     return there.union(back).distinct()

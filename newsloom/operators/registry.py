@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import norm
+from newsloom.functions.text import normalized_title
 
 
 def decided(records: DataFrame) -> DataFrame:
@@ -16,12 +17,12 @@ def upsert(registry: DataFrame, updates: DataFrame) -> DataFrame:
     """``registry`` (pos, title, status, category, url, story) after ``updates`` of the same shape,
     with ``change`` (kept, updated, refused, inserted).
 
-    An update meets the first record with its url or its title (in lower case, white space
+    An update meets the first record with its url or its title (case folded, white space
     collapsed). A published record isn't rejected any more; empty values don't overwrite. Of
     several updates of a record the last counts; of several new ones with a title the last too.
     """
-    r = registry.withColumn("key", norm(F.col("title")))
-    u = updates.withColumn("key", norm(F.col("title")))
+    r = registry.withColumn("key", normalized_title(F.col("title")))
+    u = updates.withColumn("key", normalized_title(F.col("title")))
     by_url = u.where("url <> ''").join(r.where("url <> ''").select(F.col("pos").alias("at"), "url"), "url").select("pos", "at")
     by_title = u.join(r.select(F.col("pos").alias("at"), "key"), "key").select("pos", "at")
     target = by_url.union(by_title).groupBy("pos").agg(F.min("at").alias("at"))
@@ -47,6 +48,40 @@ def upsert(registry: DataFrame, updates: DataFrame) -> DataFrame:
     return old.unionByName(new)
 
 
+def outcomes(updates: DataFrame, delivered: DataFrame, home: str) -> DataFrame:
+    """``updates`` (update_id, chat_id, text, message_id of what is answered) with ``outcome``, as
+    if handled in order: a start is greeted in the home chat and told the chat's number elsewhere;
+    other chats and texts are skipped; + and - mark the delivered message (chat_id, message_id),
+    a repeated mark changes nothing, and what is published isn't rejected any more."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    start = F.regexp_extract(text, r"^(\S+)", 1).rlike("^/start(?:@.*)?$")
+    known = delivered.select("chat_id", "message_id").distinct().withColumn("known", F.lit(True))
+    rows = updates.join(known, ["chat_id", "message_id"], "left").withColumn("mark", F.when(F.col("known") & text.isin("+", "-") & (F.col("chat_id") == home), text))
+    # earlier marks of the same message; rows without a mark need no window and would share a key
+    before = W.partitionBy("chat_id", "message_id").orderBy("update_id").rowsBetween(W.unboundedPreceding, -1)
+    earlier = lambda mark: F.coalesce(F.max(F.col("mark") == mark).over(before), F.lit(False))
+    marked = rows.where("mark is not null").select("*", earlier("+").alias("published"), earlier("-").alias("rejected"))
+    plus = F.when(F.col("published"), "already_published").otherwise("published")
+    minus = F.when(F.col("published"), "refused").when(F.col("rejected"), "already_rejected").otherwise("rejected")
+    marked = marked.withColumn("outcome", F.when(F.col("mark") == "+", plus).otherwise(minus))
+    here = F.col("chat_id") == home
+    other = F.when(start & here, "greeted").when(start, "chat_id_told").when(~here | ~text.isin("+", "-"), "skipped").otherwise("usage_hint")
+    rest = rows.where("mark is null").withColumn("outcome", other)
+    return marked.select(*updates.columns, "outcome").union(rest.select(*updates.columns, "outcome"))
+
+
+def offsets(updates: DataFrame, by: list[str]) -> DataFrame:
+    """``next_offset`` and ``handled`` updates (update_id, ok): all before the first that failed
+    are handled, and the next poll begins there, or after the last."""
+    failed = F.min(F.when(~F.col("ok"), F.col("update_id")))
+    ends = updates.groupBy(*by).agg(failed.alias("failed"), F.max("update_id").alias("last"))
+    rows = updates.join(ends, by).groupBy(*by).agg(
+        F.coalesce(F.first("failed"), F.first("last") + 1).alias("next_offset"),
+        F.count_if(F.col("failed").isNull() | (F.col("update_id") < F.col("failed"))).alias("handled"),
+    )
+    return rows
+
+
 def answered(replies: DataFrame, delivered: DataFrame) -> DataFrame:
     """Each reply with the message it answers (chat and message id), or a hint if there is none."""
     joined = replies.join(delivered, ["chat_id", "message_id"], "left")

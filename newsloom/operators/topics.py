@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions import metrics as M
 from newsloom.operators.posts import COUNTERS
@@ -62,6 +63,40 @@ def gathered(df: DataFrame, key: str, pos: str, post: Column) -> DataFrame:
     return df.groupBy(key).agg(F.transform(rows, lambda r: r["post"]).alias("members"))
 
 
+def unwrapped(members: Column, kind: T.ArrayType) -> Column:
+    """The post of each member: its own ``post`` where it has one, else the member itself, by the
+    names of the post's fields."""
+    inner = kind.elementType
+    if "post" not in inner.names:
+        return members
+    fields = inner["post"].dataType.fields
+
+    def post(m: Column) -> Column:
+        own = [(m[f.name] if f.name in inner.names else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+        return F.coalesce(m["post"], F.struct(*own))
+
+    return F.transform(members, post)
+
+
+def listed(members: Column, field: str) -> Column:
+    """A field of the members in order, where it is filled."""
+    return F.filter(F.transform(members, lambda m: m[field]), lambda v: F.coalesce(v, F.lit("")) != "")
+
+
+def newest_of(members: Column) -> Column:
+    """The newest valid time of the members; null if there is none."""
+    return F.array_max(F.filter(F.transform(members, lambda m: m["timestamp"]), lambda t: t > 0))
+
+
+def summary(df: DataFrame, status: str, eligible: str, posts: str) -> DataFrame:
+    """One row: posts analysed, topics in the queue, topics left out, and the queue's by status."""
+    holds, s = F.col(eligible), F.col(status)
+    return df.agg(
+        F.sum(posts).alias("posts_analyzed"), F.count_if(holds).alias("topic_count"), F.count_if(~holds).alias("excluded_topics"),
+        F.count_if(holds & (s == "take_now")).alias("take_now"), F.count_if(holds & (s == "reject")).alias("reject"),
+    )
+
+
 def has_columns() -> dict[str, Column]:
     return {c: F.col(f"has_{c}") for c in COUNTERS}
 

@@ -25,9 +25,22 @@ def observation_id(audience: Column, ids: Column) -> Column:
     return F.sha2(F.concat_ws("|", audience, F.to_json(F.array_sort(F.array_distinct(ids)))), 256)
 
 
+def inserted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The new observations whose id isn't known yet, one of each id."""
+    return new.dropDuplicates(["observation_id"]).join(old.select("observation_id"), "observation_id", "left_anti")
+
+
+def completed(states: DataFrame) -> DataFrame:
+    """``observation_id, predicted_at`` with ``completed_{h}h`` and ``score_{h}h`` of each hour,
+    from the checkpoints' states: the rows that models learn from."""
+    done = lambda h: (F.col("hours") == h) & (F.col("state") == "completed")
+    made = [f for h in HOURS for f in (F.bool_or(done(h)).alias(f"completed_{h}h"), F.max(F.when(done(h), F.col("score"))).alias(f"score_{h}h"))]
+    return states.groupBy("observation_id").agg(F.min("predicted_at").alias("predicted_at"), *made)
+
+
 def stored(old: DataFrame, new: DataFrame) -> DataFrame:
     """Observations after an insert that leaves known ids alone."""
-    return old.unionByName(new.dropDuplicates(["observation_id"]).join(old.select("observation_id"), "observation_id", "left_anti"))
+    return old.unionByName(inserted(old, new))
 
 
 def checkpoints(observations: DataFrame, snapshots: DataFrame, now: Column) -> DataFrame:

@@ -160,7 +160,7 @@ def stories(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     out = []
     for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
         text = F.coalesce("text", F.lit(""))
-        story = F.substring(X.clean(text), 1, 900).alias("story")
+        story = X.clean_start(text, 900).alias("story")
         out.append(read(spark, sf_dir, name).select(F.col(key).alias("id"), X.first_line(text).alias("title"), story))
     return out[0], out[1]
 
@@ -258,11 +258,11 @@ SELECT doc_id, title, CASE WHEN s <> '' THEN s WHEN length(t) <= 320 THEN t ELSE
   CASE WHEN t = '' THEN 'Без заголовка' WHEN r <> '' THEN r ELSE rtrim(substr(t, 1, 240)) END AS rejection, length(t)::INT AS units FROM f""")
 def titles(spark, sf_dir: str) -> DataFrame:
     """First line, first sentence, rejection title and UTF-16 length of each document."""
-    rows = read(spark, sf_dir, "documents")
-    t = X.clean(F.coalesce("text", F.lit("")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", X.clean(F.coalesce("text", F.lit(""))).alias("cleaned"))
+    text, cleaned = F.col("text"), F.col("cleaned")
     return rows.select(
-        "doc_id", X.first_line(F.col("text")).alias("title"), X.first_sentence(F.col("text")).alias("sentence"),
-        X.rejection_title(F.col("text")).alias("rejection"), X.utf16_units(t).alias("units"),
+        "doc_id", X.first_line(text).alias("title"), X.first_sentence(text, cleaned=cleaned).alias("sentence"),
+        X.rejection_title(text, cleaned=cleaned).alias("rejection"), X.utf16_units(cleaned).alias("units"),
     )
 
 
@@ -431,8 +431,9 @@ def actionable_topics(spark, sf_dir: str) -> DataFrame:
     """Conversations that could be delivered as topics."""
     i = F.col("conv_id")
     score = F.when(i % 5 != 1, F.lit(1.0))
-    holds = delivery.actionable(-(i % 200) * 100, F.lit(0), i % 7 != 0, score, P)
-    return conversation_topics(spark, sf_dir).where(holds).select("conv_id")
+    rows = conversation_topics(spark, sf_dir)
+    holds = delivery.actionable(-(i % 200) * 100, F.lit(0), i % 7 != 0, score, P, rows.schema)
+    return rows.where(holds).select("conv_id")
 
 
 MODELS = [("north", 3, 40, 0.5, [0.1, 0.5]), ("north", 1, 35, 0.0, [0.0, -0.2]), ("south", 3, 50, 2.0, [-0.5, 2.0])]

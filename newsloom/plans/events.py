@@ -7,12 +7,12 @@ no event of a topic carries was not measured.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import metrics as M
 from newsloom.functions.text import civil
 from newsloom.operators import diagnostics, model, posts, rank, topics, tracker
+from newsloom.operators.classify import complaint_signal, editorial_status
 from newsloom.plans.registry import query, read
 
 #: The time that scores are as of: 2024-01-30 23:59:59 UTC.
@@ -21,7 +21,7 @@ KINDS = {"views": ("view", 400), "likes": ("click", 2), "comments": ("signup", 1
 
 
 def event_posts(spark, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events").where(F.col("ts") < F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+    events = read(spark, sf_dir, "events")
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
     counted = [F.when(F.col("event_type") == kind, n).cast("long").alias(c) for c, (kind, n) in KINDS.items()]
     return events.select(
@@ -32,7 +32,7 @@ def event_posts(spark, sf_dir: str) -> DataFrame:
 POSTS = f"""posts AS (SELECT user_id AS topic, event_id, event_type AS source, floor(epoch(ts))::BIGINT AS timestamp,
   CASE WHEN event_type = 'view' THEN 400 END AS views, CASE WHEN event_type = 'click' THEN 2 END AS likes,
   CASE WHEN event_type = 'signup' THEN 1 END AS comments, CASE WHEN event_type = 'purchase' THEN 1 END AS reposts
-  FROM events WHERE floor(epoch(ts)) <= {NOW})"""
+  FROM events)"""
 STATS = f"""{POSTS}, stats AS (SELECT topic, coalesce(sum(views), 0)::DOUBLE AS views, coalesce(sum(likes), 0)::DOUBLE AS likes,
   coalesce(sum(comments), 0)::DOUBLE AS comments, coalesce(sum(reposts), 0)::DOUBLE AS reposts,
   count(views) > 0 AS hv, count(likes) > 0 AS hl, count(comments) > 0 AS hc, count(reposts) > 0 AS hr,
@@ -201,60 +201,6 @@ def first_seen(spark, sf_dir: str) -> DataFrame:
     return tracker.first_seen(polls, "audience", "post_id", "poll")
 
 
-OBSERVED = """o AS (SELECT event_type AS audience, ts::DATE AS day, min(floor(epoch(ts))::BIGINT) AS predicted_at,
-  list_sort(list_distinct(list(user_id))) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY event_id) AS n
-  FROM events) WHERE n <= 2 GROUP BY ALL),
-o2 AS (SELECT sha256(audience || '|[' || array_to_string(ids, ',') || ']') AS observation_id, * FROM o)"""
-
-
-def observed(spark, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events")
-    day = F.to_date("ts")
-    n = F.row_number().over(W.partitionBy("event_type", day).orderBy("event_id"))
-    first = events.withColumn("n", n).where("n <= 2").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
-    rows = first.groupBy(F.col("event_type").alias("audience"), day.alias("day")).agg(
-        F.min("at").alias("predicted_at"), F.array_sort(F.collect_set("user_id")).alias("member_ids")
-    )
-    return rows.withColumn("observation_id", tracker.observation_id(F.col("audience"), F.col("member_ids")))
-
-
-@query(f"""WITH {OBSERVED} SELECT observation_id, audience, min(predicted_at) AS predicted_at FROM o2 GROUP BY ALL""")
-def observation_ids(spark, sf_dir: str) -> DataFrame:
-    """Observations by the digest of audience and members, the earliest of each."""
-    return observed(spark, sf_dir).groupBy("observation_id", "audience").agg(F.min("predicted_at").alias("predicted_at"))
-
-
-@query(f"""WITH {OBSERVED}, h AS (SELECT *, unnest([1, 3]) AS hours FROM o2),
-p AS (SELECT observation_id, audience, day, hours, predicted_at + hours * 3600 AS due, len(ids) AS expected, unnest(ids) AS post_id FROM h),
-s AS (SELECT event_type AS audience, user_id AS post_id, (floor(epoch(ts))::BIGINT // 300) * 300 AS snap_ts, count(*) * 400 AS views,
-  sum(event_id % 5)::BIGINT AS likes, sum(event_id % 3)::BIGINT AS comments, sum(event_id % 2)::BIGINT AS reposts FROM
-  (SELECT event_type, user_id, ts, event_id FROM events UNION ALL SELECT event_type, user_id, ts + INTERVAL 1 HOUR, event_id FROM events) GROUP BY ALL),
-w AS (SELECT observation_id, day, hours, snap_ts, expected, count(DISTINCT post_id) AS found, sum(views) AS views, sum(likes) AS likes,
-  sum(comments) AS comments, sum(reposts) AS reposts FROM p JOIN s USING (audience, post_id)
-  WHERE snap_ts BETWEEN due AND due + 600 AND snap_ts <= {NOW} GROUP BY ALL),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY observation_id, day, hours ORDER BY snap_ts) AS n FROM w WHERE found = expected) WHERE n = 1)
-SELECT h.observation_id, h.predicted_at, h.hours, f.snap_ts AS measured_at, f.views::BIGINT AS views,
-  round((likes + 2 * comments + 4 * reposts) / greatest(views, 1)::DOUBLE, 6) AS score,
-  CASE WHEN f.snap_ts IS NOT NULL THEN 'completed' WHEN {NOW} > predicted_at + h.hours * 3600 + 600 THEN 'missed' ELSE 'pending' END AS state
-FROM h LEFT JOIN f ON f.observation_id = h.observation_id AND f.day = h.day AND f.hours = h.hours""")
-def checkpoints(spark, sf_dir: str) -> DataFrame:
-    """States of the checkpoints: the first complete snapshot within ten minutes counts."""
-    events = read(spark, sf_dir, "events").select("event_type", "user_id", "ts", "event_id")
-    again = events.withColumn("ts", F.col("ts") + F.expr("interval 1 hour"))
-    both = events.union(again).withColumn("snap_ts", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 300) * 300)
-    snaps = both.groupBy(F.col("event_type").alias("audience"), F.col("user_id").alias("post_id"), "snap_ts").agg(
-        (F.count("*") * 400).alias("views"),
-        *[F.sum(F.col("event_id") % n).alias(c) for c, n in (("likes", 5), ("comments", 3), ("reposts", 2))],
-    )
-    rows = observed(spark, sf_dir)
-    keyed = rows.withColumn("observation_id", F.concat_ws("@", "observation_id", F.col("day").cast("string")))
-    found = tracker.checkpoints(keyed, snaps, F.lit(NOW))
-    return found.select(
-        F.substring_index("observation_id", "@", 1).alias("observation_id"), "predicted_at", "hours", "measured_at", "views",
-        F.round("score", 6).alias("score"), "state",
-    )
-
-
 GATHERED = """o AS (SELECT event_type AS audience, min(floor(epoch(ts))::BIGINT) AS predicted_at, list_sort(list_distinct(list(event_id))) AS ids
   FROM events GROUP BY event_type, user_id, ts::DATE),
 o2 AS (SELECT sha256(audience || '|[' || array_to_string(ids, ',') || ']') AS observation_id, * FROM o)"""
@@ -269,7 +215,7 @@ def gathered(events: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH {GATHERED} SELECT observation_id, audience, predicted_at, len(ids)::INT AS members FROM o2""")
-def topic_observations(spark, sf_dir: str) -> DataFrame:
+def observation_ids(spark, sf_dir: str) -> DataFrame:
     """Observations of all events, by the digest of audience and members."""
     rows = gathered(read(spark, sf_dir, "events"))
     return rows.select("observation_id", "audience", "predicted_at", F.size("member_ids").alias("members"))
@@ -288,7 +234,7 @@ SELECT h.observation_id, h.predicted_at, h.hours, f.snap_ts AS measured_at, f.vi
   round((likes + 2 * comments + 4 * reposts) / greatest(views, 1)::DOUBLE, 6) AS score,
   CASE WHEN f.snap_ts IS NOT NULL THEN 'completed' WHEN {NOW} > predicted_at + h.hours * 3600 + 600 THEN 'missed' ELSE 'pending' END AS state
 FROM h LEFT JOIN f ON f.observation_id = h.observation_id AND f.hours = h.hours""")
-def topic_checkpoints(spark, sf_dir: str) -> DataFrame:
+def checkpoints(spark, sf_dir: str) -> DataFrame:
     """States of the checkpoints of all observations; an event is seen at once and after each hour."""
     events = read(spark, sf_dir, "events").select("event_type", "user_id", "ts", "event_id")
     late = F.explode(F.array(F.lit(0), F.lit(3900), F.lit(11100)))
@@ -311,8 +257,10 @@ v AS (SELECT *, round(least(100.0, early * 0.65 + hook * 0.35), 1) AS viral FROM
 d AS (SELECT *, locality * 0.6 + viral * 0.4 AS editorial FROM v),
 b AS (SELECT *, round(viral * 0.5 + editorial * 0.5, 1) AS base, round(greatest(0.0, 100.0 * (1 - age / 180)), 1) AS recency FROM d),
 s AS (SELECT *, round(base * 0.72 + recency * 0.28, 1) AS score FROM b)
-SELECT topic, viral, round(editorial, 6) AS editorial, base, recency, score, CASE WHEN topic % 11 = 0 THEN 'reject' WHEN viral >= 60 AND topic % 7 = 0 THEN 'take_now'
-  WHEN score >= 45 THEN 'take_now' ELSE 'reject' END AS status, CASE WHEN topic % 11 = 0 THEN 'nonlocal' WHEN viral >= 60 AND topic % 7 = 0 THEN 'signal'
+SELECT topic, viral, round(editorial, 6) AS editorial, base, recency, score, CASE WHEN topic % 3 = 0 THEN CASE WHEN viral >= 60 OR views >= 5000 OR reposts >= 10 OR posts >= 3 THEN 'take_now' ELSE 'reject' END
+  WHEN topic % 11 = 0 THEN 'reject' WHEN viral >= 60 AND topic % 7 = 0 THEN 'take_now'
+  WHEN score >= 45 THEN 'take_now' ELSE 'reject' END AS status, CASE WHEN topic % 3 = 0 THEN CASE WHEN viral >= 60 OR views >= 5000 OR reposts >= 10 OR posts >= 3 THEN 'viral_complaint' ELSE 'complaint' END
+  WHEN topic % 11 = 0 THEN 'nonlocal' WHEN viral >= 60 AND topic % 7 = 0 THEN 'signal'
   WHEN score >= 45 THEN 'score' ELSE 'low_priority' END AS reason FROM s""")
 def analyser_scores(spark, sf_dir: str) -> DataFrame:
     """The first stage's scores and decision of each topic."""
@@ -323,12 +271,16 @@ def analyser_scores(spark, sf_dir: str) -> DataFrame:
     locality = F.when(t % 5 == 0, 0.0).when(t % 5 == 1, 100.0).otherwise(30.0)
     rows = stats.withColumn("viral", M.viral(early, t % 41))
     editorial, base, recency, score = M.analyser_score(F.col("viral"), locality, topics.age_minutes(F.lit(NOW)))
-    rows = rows.select("topic", "viral", F.round(editorial, 6).alias("editorial"), base.alias("base"), recency.alias("recency"), score.alias("score"))
-    from newsloom.operators.classify import editorial_status
-
+    counters = ["views", "reposts", "posts"]
+    rows = rows.select("topic", "viral", *counters, F.round(editorial, 6).alias("editorial"), base.alias("base"), recency.alias("recency"), score.alias("score"))
     confidence = F.when(t % 7 == 0, 20).otherwise(90)
-    decided = editorial_status(nonlocal_only=t % 11 == 0, confidence=confidence, viral=F.col("viral"), score=F.col("score"))
-    return rows.withColumn("d", decided).select("*", "d.status", "d.reason").drop("d")
+    signal = complaint_signal(t % 3 == 0, F.col("viral"), F.col("views"), F.col("reposts"), F.col("posts"))
+    rows = rows.withColumn("signal", signal)
+    decided = editorial_status(
+        viral_complaint=F.col("signal"), complaint_only=t % 3 == 0, nonlocal_only=t % 11 == 0, confidence=confidence,
+        viral=F.col("viral"), score=F.col("score"),
+    )
+    return rows.withColumn("d", decided).select("*", "d.status", "d.reason").drop("d", "signal", *counters)
 
 
 @query(f"""WITH {SIGNALS}, p AS (SELECT {MEAN} AS s FROM parts)

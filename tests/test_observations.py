@@ -9,8 +9,8 @@ def test_observations_hold_every_event(spark, tmp_path):
     rows += [(10 + k, k, "view", start + timedelta(minutes=9 * k)) for k in range(20, 30)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz")
     df.write.parquet(f"{tmp_path}/events.parquet")
-    found = events.topic_observations(spark, str(tmp_path)).collect()
+    found = events.observation_ids(spark, str(tmp_path)).collect()
     assert sorted(r["members"] for r in found) == [1] * 10 + [5]
-    states = events.topic_checkpoints(spark, str(tmp_path)).collect()
+    states = events.checkpoints(spark, str(tmp_path)).collect()
     assert len(states) == 22 and {r["state"] for r in states} == {"completed"}
     assert sorted(r["views"] for r in states) == [400] * 20 + [2000] * 2

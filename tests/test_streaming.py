@@ -53,6 +53,67 @@ def test_first_seen_stream(spark, tmp_path):
     assert [(r["audience"], r["post_id"]) for r in spark.read.parquet(out).collect()] == [("a", 3)]
 
 
+def test_a_key_counts_again_on_the_next_civil_day(spark, tmp_path):
+    rows = [[{"source": "a", "id": 1, "at": t}] for t in ("2024-01-01T17:00:00", "2024-01-01T17:59:00", "2024-01-01T18:30:00")]
+    stream = stream_of(spark, tmp_path, "source string, id long, at timestamp_ntz", rows)
+    got = collected(spark, monitor.new_posts(stream), tmp_path, "day_posts")
+    assert sorted((r["at"].hour, r["at"].minute) for r in got) == [(17, 0), (18, 30)]
+
+
+def test_rapid_spread_counts_sources_in_sliding_windows(spark, tmp_path):
+    rows = [[{"topic": "t", "source": s, "at": f"2024-01-01T10:{m:02d}:00"} for s, m in (("a", 0), ("b", 20), ("b", 25), ("c", 40))]]
+    stream = stream_of(spark, tmp_path, "topic string, source string, at timestamp_ntz", rows)
+    got = collected(spark, monitor.rapid_spread(stream, "topic", "source"), tmp_path, "spread", "complete")
+    found = {(r["window"]["start"].hour, r["window"]["start"].minute): r["sources"] for r in got}
+    assert found[10, 0] == 2 and found[10, 15] == 2 and found[10, 30] == 1 and found[9, 35] == 1
+
+
+def test_progress_survives_failures(spark, tmp_path):
+    progress = monitor.Progress(spark, f"file://{tmp_path}/state/pending.json")
+    done = []
+
+    def fails():
+        raise RuntimeError("cut short")
+
+    for pipeline, publish in ((fails, lambda: done.append("publish")), (lambda: done.append("pipeline"), fails)):
+        try:
+            progress.cycle(pipeline is fails, pipeline, publish)
+        except RuntimeError:
+            pass
+    assert done == ["pipeline"] and progress.pending() == {"pipeline": False, "publish": True}
+    progress.cycle(False, lambda: done.append("again"), lambda: done.append("publish"))
+    progress.cycle(False, lambda: done.append("again"), lambda: done.append("again"))
+    assert done == ["pipeline", "publish"] and progress.pending() == {"pipeline": False, "publish": False}
+
+
+def test_each_message_is_logged_before_the_next(spark, tmp_path):
+    messages = spark.createDataFrame([(k, f"k{k}", "m") for k in range(4)], "rank int, key string, message string")
+    log, sent = str(tmp_path / "log"), []
+    taken = lambda row: sent.append(row["key"]) or row["key"] != "k2"
+    assert monitor.deliver(messages, taken, log) == 2 and sent == ["k0", "k1", "k2"]
+    assert monitor.deliver(messages, lambda row: sent.append(row["key"]) or True, log) == 2 and sent[3:] == ["k2", "k3"]
+    assert monitor.deliver(messages, taken, log) == 0
+
+
+def test_checkpoint_stream_takes_rows_out_of_order(spark, tmp_path):
+    schema = "kind string, observation_id string, member_ids array<long>, post_ids array<long>, views long, likes long, comments long, reposts long, ts long"
+    snap = lambda o, ts, ids: {"kind": "snapshot", "observation_id": o, "post_ids": ids, "views": 100, "likes": 10, "comments": 2, "reposts": 1, "ts": ts}
+    batches = [
+        [{"kind": "observation", "observation_id": "x", "member_ids": [1], "ts": 10_000}, snap("q", 13_900, [5])],
+        [snap("x", 13_900, [1])],
+        [snap("x", 13_700, [1])],  # comes later, but counts first
+        [snap("z", 90_000, [9])],
+        [snap("z", 200_000, [9])],
+    ]
+    stream = stream_of(spark, tmp_path, schema, batches).withColumn("at", F.timestamp_seconds("ts"))
+    query = tracker.checkpoints(stream).writeStream.format("memory").queryName("out_of_order").outputMode("append")
+    query = query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = {(r["observation_id"], r["hours"]): (r["state"], r["measured_at"]) for r in spark.table("out_of_order").collect()}
+    assert states == {("x", 1): ("completed", 13_700), ("x", 3): ("missed", None)}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1  # z's last snapshot may still wait
+
+
 def test_checkpoint_stream(spark, tmp_path):
     schema = "kind string, observation_id string, member_ids array<long>, post_ids array<long>, views long, likes long, comments long, reposts long, ts long"
     snap = lambda o, ts, ids: {"kind": "snapshot", "observation_id": o, "post_ids": ids, "views": 100, "likes": 10, "comments": 2, "reposts": 1, "ts": ts}

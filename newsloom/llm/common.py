@@ -29,6 +29,14 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 

@@ -311,7 +311,9 @@ def _rows(df: DataFrame, id: str, text: str, schema: str, names: list[str], give
 
 def store(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, media``: each text's payload as an AVI file. Null texts count as empty; null ids
-    stay null; rows are independent; other columns are not read."""
+    stay null; equal texts have equal files, repeated rows each theirs; an empty table gives none.
+    A RIFF file's sizes have 32 bits: a text of more than about 900 MB raises an error. Other
+    columns, whatever their names, are not read."""
     return _rows(df, id, text, "media binary", ["media"], lambda raw: [(encode(padded(raw)),)])
 
 
@@ -343,7 +345,9 @@ def clips(df: DataFrame, id: str = "doc_id", media: str = "media") -> DataFrame:
 
 
 def described(raw: bytes) -> tuple:
-    """Sizes and digests of a text's bytes, of what is stored, and of what is read back."""
+    """Sizes and digests of a text's bytes, of what is stored, and of what is read back: the
+    payload's size and digest, the CRC of its last 64 bytes, and its frames, shots, cuts and mean
+    sample. An empty text is one frame of zeros; equal texts give equal values."""
     stored = encode(padded(raw))
     frames = samples(stored)
     back = frames.tobytes()
@@ -355,7 +359,8 @@ def described(raw: bytes) -> tuple:
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
-    """Every document stored as motion-JPEG, read back and cut into shots."""
+    """Every document stored as motion-JPEG, read back and cut into shots; nulls, repeated rows
+    and an empty table as :func:`store` has them."""
     schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [c.split()[0] for c in schema.split(", ")]
     return _rows(read(spark, sf_dir, "documents"), "doc_id", "text", schema, names, lambda raw: [described(raw)])

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, durable, held, narrow, read
 from .vocabulary import SpacedVocabulary, Tokens, default_path
 
+#: Blocks of ranks that the rows of one id are dealt to.
+SALT = 64
+
 
 def fullest(counts: list[int], cap: int) -> list[tuple[int, int]]:
     """The multiset of lengths with the largest sum up to ``cap``: (length, how many) pairs.
@@ -86,7 +89,10 @@ def _made(path: str) -> Tokens:
     vocabulary = SpacedVocabulary(path)
     byte = {letter: b for b, letter in enumerate(vocabulary.letters)}
     ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocabulary.ids.items()}
-    # ids are in the order of the merges, so they serve as ranks; each byte has one
+    # ids serve as ranks: each byte has one, and the merges' results are in the order of the merges
+    made = [i for _, i in vocabulary.merges.values()]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)) or not set(byte) <= set(vocabulary.ids):
+        raise ValueError(f"{path}: ids aren't in the order of the merges")
     own = tiktoken.Encoding("own", pat_str=vocabulary.pattern.pattern, mergeable_ranks=ranks, special_tokens={})
     core = own._core_bpe  # without the checks for special tokens, which are taken out before
     one = core.encode_single_piece
@@ -104,7 +110,12 @@ def pieces(
     df: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str | None = None, size: int = 1024, end_id: int = 2
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each text's ids and ``end_id``, cut from the
-    end into pieces of ``size``, so that only the first of a longer document may be shorter."""
+    end into pieces of ``size``, so that only the first of a longer document may be shorter.
+
+    Null and empty texts are ``end_id`` alone; null ids stay null; equal texts have equal pieces and
+    repeated rows each give theirs; an empty table gives none. A very long text is cut whole, in
+    one task. Other columns, whatever their names, are not read.
+    """
     path = tokenizer or default_path("byte_bpe_50k.json")
     closing = end_id.to_bytes(4, "little")
 
@@ -148,7 +159,9 @@ def pack(pieces: DataFrame, size: int = 1024, block: int = 20_000) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
     blocks = 16 + sum(histogram.values()) // block
     made = plan(histogram, size)
-    blocked = kept.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    # the salt parts rows of one id, or of none; the rows are checkpointed, so it stays the same
+    salted = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id() % SALT)
+    blocked = kept.withColumn("block", F.pmod(salted, F.lit(blocks)))
     before = (
         blocked.groupBy("length", "block")
         .agg(F.count("*").alias("n"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, narrow, read, text_of
+from .common import durable, narrow, read, text_of, unused
 
 
 @dataclass(frozen=True)
@@ -163,14 +163,6 @@ def redacted(text: Column, cuts: Column, mark: str = "[secret]") -> Column:
     return F.transform(F.array(text.cast("binary")), joined)[0]
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """The name, lengthened until the table has no such column."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def redact(df: DataFrame, ledger: DataFrame, text: str = "text", version: str = RULE_VERSION) -> DataFrame:
     """``df`` with the findings that the ledger has for each text's blob redacted, each run of
     overlapping ones by one mark. Null and empty texts stay as they are, and so do texts that the

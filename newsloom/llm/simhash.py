@@ -122,7 +122,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 
     Equal texts share a fingerprint and so a component. Empty and null texts have fingerprint 0,
     which links like any other. Rows with a null id get the component of their fingerprint, and
-    null where it holds no id at all. Repeated rows each give their row.
+    null where it holds no id at all. Repeated rows each give their row; an empty table gives none.
+    A very long text is one task's, in parts. Other columns, whatever their names, are not read.
     """
     rows = durable(fingerprints(df, id, text))
     vertices = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("label")))

@@ -144,7 +144,9 @@ def edited_likeness(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 
     The edited text ends in the beginning of the next document, by ascending id, null ids first
     and the text deciding between equal ids; after the last comes the first (a single row is its
-    own next). Null texts count as empty.
+    own next). Ids are whole numbers. Null texts count as empty; repeated rows each give their row;
+    an empty table gives none. Rows of one id, or without one, are in one bucket, in one task's
+    window; a very long text is one row's. Other columns, whatever their names, are not read.
     """
     rows = narrow(df, doc_id=id, text=text)
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("at")

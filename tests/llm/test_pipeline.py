@@ -41,6 +41,17 @@ def test_stages_take_odd_rows(spark):
         corpus_pipeline.STAGES[-1][1](spark, docs, DIR).collect()
 
 
+def test_columns_that_clash_with_the_stages_own_come_through(spark):
+    names = ["kept", "blob", "cuts", "findings", "keep0", "removed", "run", "doc", "set", "bits", "score", "passages"]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(k, f"token=abcdefgh{k} some words {k}", "en", "s", 3, *names) for k in range(4)], shape)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DIR)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        assert all(list(r)[5:] == names for r in docs.collect())
+    assert docs.count() == 4
+
+
 def test_run(spark):
     packed = corpus_pipeline.run(spark, DIR).toPandas()
     assert len(packed) and packed.groupby("sequence_id").length.sum().max() <= 1024

@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import zlib
 from collections import Counter
 from hashlib import sha256
 
@@ -238,6 +239,30 @@ def test_long_shared_runs_leave_a_common_hash(spark):
     assert all(first & set(r["hashes"]) for r in found)
 
 
+def test_likeness_is_of_the_fingerprints(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 40, 200])))) for k in range(40)]
+    rows += [(k, rows[k - 40][1]) for k in range(40, 60)]
+    got = {r["doc_id"]: r for r in winnowing.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    edited = {}
+    for k, text in rows:
+        half = len(text) // 2
+        edited[k] = text[: len(text) - half] + texts[(k + 1) % len(rows)][:half]
+    every = [(k, t) for k, t in rows] + [(1000 + k, t) for k, t in edited.items()]
+    found = {r["doc_id"]: set(r["hashes"]) for r in winnowing.fingerprints(spark.createDataFrame(every, "doc_id long, text string")).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, _ in rows:
+        assert got[k]["near_edited"] == pytest.approx(like(found[k], found[1000 + k]))
+        assert got[k]["near_next"] == pytest.approx(like(found[k], found[(k + 1) % len(rows)]))
+    digests = {}
+    for k, _ in rows:
+        digests.setdefault(texts[k], set()).add(got[k]["fingerprint"])
+        digests.setdefault(edited[k], set()).add(got[k]["edited_fingerprint"])
+    assert all(len(d) == 1 for d in digests.values())
+
+
 def test_buckets_hold_far_apart_ids(spark):
     rows = [(i, f"t{i}") for i in [*range(50), 10**15, 10**15 + 1, -(10**12)]]
     got = winnowing.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -285,6 +310,24 @@ def test_shots():
     assert media.cuts(dark) == [] and media.cuts(dark[:1]) == []
 
 
+def test_media_query_by_its_definition(spark, tmp_path):
+    rng = random.Random(5)
+    texts = ["", None, "a", "é😀" * 40, "dark" * 400 + "ÿÿÿÿ" * 300, "".join(rng.choice("ab \n\0z") for _ in range(5000)), "a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in media.op7_media(spark, str(tmp_path)).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes((64 - len(raw) % 64) % 64 or (0 if raw else 64))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        stored = media.encode(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), sha256(stored).hexdigest())
+        # each frame decoded symbol by symbol, apart from the reader in bulk
+        frames = [media.decode(stored[at : at + n]).reshape(8, 8, 8, 8)[:, 0, :, 0].reshape(64) for at, n in media.frame_places(stored).tolist()]
+        assert np.concatenate(frames).astype(np.uint8).tobytes() == payload
+        marks = media.cuts(np.array(frames, np.uint8))
+        assert r["feature"] == f"frames={len(frames)};shots={len(marks) + 1};cuts={','.join(map(str, marks))};level={np.mean(frames):.3f}"
+
+
 def test_media_rows(spark, odd, none):
     df, rows = odd
     stored = media.store(df)

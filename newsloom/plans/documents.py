@@ -293,7 +293,26 @@ def ridge_gram(spark, sf_dir: str) -> DataFrame:
     return found.withColumn("value", F.round("value", 6))
 
 
-@query()
+def _solved(rows: str) -> str:
+    """SQL of the tables ``e`` and ``b``: the ridge's coefficients as a list, by elimination over
+    the sums of products of some rows. The ridge leaves no column without a pivot."""
+    sums = ", ".join(
+        "[" + ", ".join(f"sum({a} * {c})" + (f" + {model.RIDGE}" if a == c and k else "") for c in [*NAMES, "y"]) + "]" for k, a in enumerate(NAMES)
+    )
+    d = len(NAMES)
+    return f"""e AS (SELECT 0 AS k, [{sums}]::DOUBLE[][] AS m FROM {rows}
+  UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / m[k + 1][k + 1])
+    ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM e WHERE k < {d}),
+b AS (SELECT list_transform(m, lambda r: r[{d + 1}]) AS b FROM e WHERE k = {d})"""
+
+
+DOT = "(" + " + ".join(f"{n} * b[{k}]" for k, n in enumerate(NAMES, 1)) + ")"
+
+
+@query(f"""WITH RECURSIVE {FEATURES}, {_solved("x")},
+q AS (SELECT greatest(exp(list_sort(list(y))[least(count(*) - 1, floor(0.9::DOUBLE * count(*)))::INT + 1]) - 1, 1e-6) AS scale FROM x),
+p AS (SELECT doc_id, greatest(0.0::DOUBLE, exp({DOT}) - 1) AS v FROM x, b)
+SELECT doc_id, round(v, 6) AS predicted, round(least(100.0::DOUBLE, 100.0 * v / scale), 1) AS priority FROM p, q""")
 def ridge_scores(spark, sf_dir: str) -> DataFrame:
     """Predictions of the model that is fitted on the labelled documents."""
     rows = labelled(spark, sf_dir)
@@ -322,7 +341,17 @@ def holdout(spark, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {FEATURES}, o AS (SELECT *, doc_id % 2 AS audience, row_number() OVER (ORDER BY doc_id) AS place, count(*) OVER () AS n FROM x),
+s AS (SELECT *, place <= greatest(1, least(n - 1, floor(n * 0.8::DOUBLE))) AS trains FROM o), learned AS (SELECT * FROM s WHERE trains), {_solved("learned")},
+m AS (SELECT list_sort(list(y))[count(*) // 2 + 1] AS median, count(*) AS train_rows FROM learned),
+t AS (SELECT audience, place, y, {DOT} AS predicted, text_length AS score FROM s, b WHERE NOT trains),
+r AS (SELECT *, row_number() OVER (ORDER BY predicted, place)::DOUBLE AS p, row_number() OVER (ORDER BY score, place)::DOUBLE AS h,
+  row_number() OVER (PARTITION BY audience ORDER BY predicted, place)::DOUBLE AS pa, row_number() OVER (PARTITION BY audience ORDER BY score, place)::DOUBLE AS ha FROM t),
+a AS (SELECT *, row_number() OVER (ORDER BY y, place)::DOUBLE AS ry,
+  row_number() OVER (PARTITION BY audience ORDER BY y, place)::DOUBLE AS rya FROM r)
+SELECT NULL::BIGINT AS audience, count(*) AS test_rows, round(corr(p, ry), 4) AS spearman_model, round(corr(h, ry), 4) AS spearman_score, round(avg(abs(y - predicted)), 6) AS mae_model,
+  round(avg(abs(y - median)), 6) AS mae_median, round(100 * (avg(abs(y - median)) - avg(abs(y - predicted))) / nullif(avg(abs(y - median)), 0), 2) AS improvement, any_value(train_rows) AS train_rows FROM a, m
+UNION ALL SELECT audience, count(*), round(corr(pa, rya), 4), round(corr(ha, rya), 4), NULL, NULL, NULL, any_value(train_rows) FROM a, m GROUP BY audience""")
 def ridge_holdout(spark, sf_dir: str) -> DataFrame:
     """The model fitted on the first labelled documents, measured on the rest."""
     rows = labelled(spark, sf_dir).withColumn("audience", F.col("doc_id") % 2)
@@ -351,7 +380,14 @@ def channel_override(spark, sf_dir: str) -> DataFrame:
     return posts.channels(own, configured.withColumn("name", F.lit("set")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {STORIES}, b AS (SELECT id::INT AS rank, 'k' || (id % 8) AS topic_key, t, s, row_number() OVER (ORDER BY id) AS n FROM lt ORDER BY id LIMIT {rank.SHOWN}),
+c AS (SELECT y.n, list(x.n) AS l FROM b x JOIN b y ON x.n < y.n AND (x.topic_key = y.topic_key
+  OR (len(list_intersect(x.t, y.s)) >= 3 AND len(list_intersect(x.t, y.s)) >= 0.4::DOUBLE * greatest(len(x.t), 1))
+  OR (len(list_intersect(y.t, x.s)) >= 3 AND len(list_intersect(y.t, x.s)) >= 0.4::DOUBLE * greatest(len(y.t), 1))) GROUP BY y.n),
+k AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT k.n + 1, CASE WHEN c.l IS NOT NULL AND list_has_any(k.kept, c.l) THEN k.kept ELSE list_append(k.kept, k.n + 1) END
+  FROM k LEFT JOIN c ON c.n = k.n + 1 WHERE k.n < (SELECT count(*) FROM b))
+SELECT rank, topic_key, CASE WHEN row_number() OVER (ORDER BY rank) <= {rank.FIRST} THEN 'send' ELSE 'mark' END AS delivery
+FROM b WHERE list_contains((SELECT kept FROM k ORDER BY n DESC LIMIT 1), n)""")
 def delivery_batch(spark, sf_dir: str) -> DataFrame:
     """Of the first documents in rank order those that repeat no earlier one, and what is sent."""
     left, _ = stories(spark, sf_dir)

@@ -130,9 +130,19 @@ def topic_flags(spark, sf_dir: str) -> DataFrame:
 STOP = ", ".join(f"'{s}'" for s in P.stopwords)
 
 
+def _folded(value: str) -> str:
+    """Case folding in SQL: lower case, and what that leaves."""
+    singles = {c: f for c, f in X.folds().items() if len(f) == 1}
+    out = f"translate(lower({value}), '{''.join(singles)}', '{''.join(singles.values())}')"
+    for c, f in X.folds().items():
+        if len(f) > 1:
+            out = f"replace({out}, '{c}', '{f}')"
+    return out
+
+
 def _terms(value: str) -> str:
     suffixes = "|".join(sorted(P.suffixes, key=len, reverse=True))
-    words = f"list_filter(regexp_extract_all(lower({value}), '{P.story_word}'), lambda x: NOT regexp_full_match(x, '[0-9]+'))"
+    words = f"list_filter(regexp_extract_all({_folded(value)}, '{P.story_word}'), lambda x: NOT regexp_full_match(x, '[0-9]+'))"
     stems = f"list_transform({words}, lambda x: regexp_replace(x, '^(.{{4,}}?)(?:{suffixes})$', '\\1'))"
     return f"list_distinct(list_filter({stems}, lambda x: length(x) >= 4 AND NOT list_contains([{STOP}], x)))"
 
@@ -447,10 +457,10 @@ a AS (SELECT conv_id, array_to_string(list_sort(list_distinct(list(k) FILTER (k
 l AS (SELECT c.*, coalesce(list_extract(list_filter(list_transform(regexp_split_to_array(coalesce(topic_text, ''), '[
 
 ]'), lambda x: trim(x)), lambda x: x <> ''), 1), '') AS line FROM c)
-SELECT l.conv_id, CASE WHEN url <> '' THEN url ELSE substr(lower(line), 1, 240) END AS key, member_keys,
+SELECT l.conv_id, CASE WHEN url <> '' THEN url ELSE substr(FOLDED, 1, 240) END AS key, member_keys,
   CASE WHEN l.conv_id % 2 = 0 THEN 'Г: ' ELSE '' END || trim(regexp_replace(line, '\s+', ' ', 'g')) || chr(10) || chr(10) || 'Источник: ' || url AS message,
   CASE WHEN role IS NULL OR ps <> '' THEN CASE WHEN ps = '' THEN 'Источник' ELSE ps END ELSE 'Источник' END AS name
-FROM l JOIN a USING (conv_id)""")
+FROM l JOIN a USING (conv_id)""".replace("FOLDED", _folded("line")))
 def topic_messages(spark, sf_dir: str) -> DataFrame:
     """Keys, source and message of each conversation as a topic."""
     rows = conversation_topics(spark, sf_dir)

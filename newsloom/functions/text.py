@@ -38,11 +38,18 @@ def folds() -> dict[str, str]:
 
 
 def casefold(text: Column) -> Column:
-    """For comparing without case. Texts that lower case doesn't fold are few, and taken apart."""
-    table, lowered = folds(), F.lower(text)
-    pairs = F.map_from_arrays(F.array(*map(F.lit, table)), F.array(*map(F.lit, table.values())))
-    letters = F.transform(F.regexp_extract_all(lowered, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
-    return F.when(lowered.rlike("[" + "".join(table) + "]"), F.array_join(letters, "")).otherwise(lowered)
+    """For comparing without case: lower case, characters that fold to one other, then those that
+    fold to several, of which all but the commonest make a text be taken apart."""
+    single = {c: f for c, f in folds().items() if len(f) == 1}
+    several = {c: f for c, f in folds().items() if len(f) > 1 and c != "ß"}
+    plain = F.replace(F.translate(F.lower(text), "".join(single), "".join(single.values())), F.lit("ß"), F.lit("ss"))
+    pairs = F.map_from_arrays(F.array(*map(F.lit, several)), F.array(*map(F.lit, several.values())))
+
+    def whole(t: Column) -> Column:
+        letters = F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
+        return F.when(F.length(F.translate(t, "".join(several), "")) == F.length(t), t).otherwise(F.array_join(letters, ""))
+
+    return F.when(text.isNotNull(), let(plain, whole))
 
 
 def normalized_title(text: Column) -> Column:

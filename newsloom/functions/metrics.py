@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Weights of the score's components.
+# The weights of the score's components, the views that count as full reach, and the
+# coefficients and thresholds of the formulas below.
 WEIGHTS = {
     "freshness": 0.20,
     "local_relevance": 0.16,
@@ -17,7 +18,6 @@ WEIGHTS = {
     "velocity": 0.06,
     "cross_source_spread": 0.06,
 }
-#: Views that count as full reach.
 FULL = 50_000.0
 
 

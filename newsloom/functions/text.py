@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 FLAGS = "(?iUd)"
 #: What ends a line of a text.
 LINES = "[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-#: Emoji and their joiners, which editorial texts drop.
+# Emoji and their joiners, which editorial texts drop.
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}\x{FE0E}\x{FE0F}\x{200D}\x{20E3}]+"
 
 

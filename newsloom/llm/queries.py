@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import secrets, suffixes, warc
+from . import merkle, secrets, suffixes, warc
 from .bpe import op4_bpe
 from .media import op7_media
+from .merkle import op13_merkle
 from .packing import op6_packing
 from .secrets import op1_secrets
 from .simhash import op3_simhash
@@ -16,8 +17,8 @@ from .winnowing import op9_winnowing
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_secrets, op2_suffixes, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op7_media, op8_warc, op9_winnowing, op10_token_counts)}
+    return {q.__name__: q for q in (op1_secrets, op2_suffixes, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op7_media, op8_warc, op9_winnowing, op10_token_counts, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.SQL, "op2_suffixes": suffixes.SQL, "op8_warc": warc.SQL}
+    return {"op1_secrets": secrets.SQL, "op2_suffixes": suffixes.SQL, "op8_warc": warc.SQL, "op13_merkle": merkle.SQL}

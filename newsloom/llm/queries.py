@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import merkle, secrets, suffixes, warc
+from . import codes, merkle, secrets, suffixes, warc
 from .bpe import op4_bpe
+from .codes import op11_codes
 from .media import op7_media
 from .merkle import op13_merkle
 from .packing import op6_packing
@@ -17,8 +18,8 @@ from .winnowing import op9_winnowing
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_secrets, op2_suffixes, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op7_media, op8_warc, op9_winnowing, op10_token_counts, op13_merkle)}
+    return {q.__name__: q for q in (op1_secrets, op2_suffixes, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op7_media, op8_warc, op9_winnowing, op10_token_counts, op11_codes, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.SQL, "op2_suffixes": suffixes.SQL, "op8_warc": warc.SQL, "op13_merkle": merkle.SQL}
+    return {"op1_secrets": secrets.SQL, "op2_suffixes": suffixes.SQL, "op8_warc": warc.SQL, "op11_codes": codes.SQL, "op13_merkle": merkle.SQL}

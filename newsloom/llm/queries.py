@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import codes, merkle, secrets, suffixes, warc
 from .bpe import op4_bpe
 from .codes import op11_codes
+from .languages import op12_languages
 from .media import op7_media
 from .merkle import op13_merkle
 from .packing import op6_packing
@@ -18,7 +19,7 @@ from .winnowing import op9_winnowing
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_secrets, op2_suffixes, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op7_media, op8_warc, op9_winnowing, op10_token_counts, op11_codes, op13_merkle)}
+    return {q.__name__: q for q in (op1_secrets, op2_suffixes, op3_simhash, op4_bpe, op5_toxicity, op6_packing, op7_media, op8_warc, op9_winnowing, op10_token_counts, op11_codes, op12_languages, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:

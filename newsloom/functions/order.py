@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,3 +46,52 @@ def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     inner = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
     joined = marked.withColumn("__part", part).join(F.broadcast(starts), "__part")
     return joined.withColumn(name, F.col("__before") + inner + 1).drop("__part", "__before", "__id")
+
+
+def chained(rows: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
+    """``p, q``: each position with the one before it that has the same ``by`` (two numbers), and
+    with a first one: that of its range. Ranges of the order cut groups of any size; a group that
+    goes on in the next range is joined to its last position before, of which each range has one."""
+    own = rows.select(F.col(by[0]).alias("k0"), F.col(by[1]).alias("k1"), F.col(pos).alias("p"))
+    dealt = own.repartitionByRange("k0", "k1", "p").sortWithinPartitions("k0", "k1", "p")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = first = None  # (key, position) of the last row so far, and of the first of its key
+
+        def made(p, q, k0, k1, edge):
+            columns = [pa.array(c, pa.int64()) for c in (p, q, k0, k1)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([edge] * len(p), pa.int32())], names=["p", "q", "k0", "k1", "edge"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k0, k1, p = (batch.column(c).to_numpy() for c in ("k0", "k1", "p"))
+            if last is None:
+                yield made(p[:1], p[:1], k0[:1], k1[:1], 1)
+                last = first = (k0[0], k1[0], p[0])
+                same0 = False
+            else:
+                same0 = (k0[0], k1[0]) == last[:2]
+            same = np.r_[same0, (k0[1:] == k0[:-1]) & (k1[1:] == k1[:-1])]
+            before = np.r_[last[2], p[:-1]]
+            starts = np.where(same, 0, np.arange(len(p)))
+            begin = np.maximum.accumulate(starts)
+            heads = p[begin]
+            if same0:
+                heads = np.where((begin == 0), first[2], heads)
+            x, y = np.r_[p[same], p[same]], np.r_[before[same], heads[same]]
+            if len(x):
+                order = np.lexsort((y, x))
+                x, y = x[order], y[order]
+                new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+                x, y = x[new], y[new]
+                yield made(x, y, np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), 0)
+            first, last = (k0[-1], k1[-1], heads[-1]), (k0[-1], k1[-1], p[-1])
+        if last is not None:
+            yield made([last[2]], [last[2]], [last[0]], [last[1]], 2)
+
+    found = durable(dealt.mapInArrow(run, "p long, q long, k0 long, k1 long, edge int"))
+    ends, begins = (found.where(F.col("edge") == e) for e in (2, 1))
+    ends = ends.select("k0", "k1", F.col("p").alias("end"))
+    over = begins.join(ends, ["k0", "k1"]).where("end < p").groupBy("k0", "k1", "p").agg(F.max("end").alias("q"))
+    return found.where("edge = 0").select("p", "q").union(over.select("p", "q")).where("q < p").distinct()

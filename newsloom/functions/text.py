@@ -89,7 +89,8 @@ def number_set(normed: Column) -> Column:
 
 def stems_in(normed: Column, stems) -> Column:
     """Which of the stems the text contains."""
-    return F.filter(F.array(*[F.lit(s) for s in stems]), lambda s: F.contains(normed, s))
+    found = [F.when(F.contains(normed, F.lit(s)), F.lit(s)) for s in stems]  # in a lambda, Spark would work ``normed`` out for each
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from newsloom.functions import text as X
 from newsloom.functions.packs import CORPUS
 from newsloom.operators import classify as C
 from newsloom.operators import cluster, delivery, lookups, model, posts, rank, registry, topics
-from newsloom.plans.registry import query, read
+from newsloom.plans.registry import query, read, spread
 from newsloom.sources import feeds
 
 P = CORPUS
@@ -108,7 +108,7 @@ t AS (SELECT r.p AS pos, min(r.at) AS root FROM r WHERE NOT EXISTS (SELECT 1 FRO
 @query(f"{CLUSTERS} SELECT pos AS doc_id, root FROM t")
 def doc_clusters(spark, sf_dir: str) -> DataFrame:
     """The topic of each document, named by its first one."""
-    found = cluster.topics(read(spark, sf_dir, "documents").select("doc_id", "text"), P, "doc_id")
+    found = cluster.topics(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), P, "doc_id")
     return found.select(F.col("pos").alias("doc_id"), "root")
 
 
@@ -121,7 +121,7 @@ SELECT topic, official, excluded_only, confidence, source_kind, posts, CASE WHEN
   WHEN opinion_only THEN 'opinion' WHEN ad_only THEN 'advertising' WHEN nonlocal_only THEN 'nonlocal' ELSE first_type END AS content_type FROM a""")
 def topic_flags(spark, sf_dir: str) -> DataFrame:
     """Flags and types of the documents' topics."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     found = cluster.topics(docs, P, "doc_id").select(F.col("pos").alias("doc_id"), F.col("root").alias("topic"))
     rows = topics.flags(C.classify(docs, P).join(found, "doc_id"), "topic", "doc_id")
     return rows.select("topic", "official", "excluded_only", "confidence", "source_kind", "posts", "content_type")

@@ -3,8 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _base(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; where that is unset on a single machine, a place in
+    its temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return base or f"file://{tempfile.gettempdir()}/newsloom-shared"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors share."""
+    return f"{_base(spark)}/newsloom-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -12,7 +28,5 @@ def durable(df: DataFrame) -> DataFrame:
     a single machine, below its temporary folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(f"file://{tempfile.gettempdir()}/newsloom-shared")
+        context.setCheckpointDir(_base(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as X
+from newsloom.functions.durable import durable
 from newsloom.functions.text import normalized_title
 
 
@@ -13,39 +19,104 @@ def decided(records: DataFrame) -> DataFrame:
     return records.where(F.col("status").isin("published", "rejected"))
 
 
+def _parts(keyed: DataFrame) -> DataFrame:
+    """``id, part``: rows (id, keys) that share a key, directly or through others, have one part,
+    the least id. Labels spread by keys, and then each is replaced by its own label."""
+    met = durable(keyed.select("id", F.explode("keys").alias("key")))
+    state = durable(keyed.select("id", F.col("id").alias("part")))
+    while True:
+        least = met.join(state, "id").groupBy("key").agg(F.min("part").alias("least"))
+        near = met.join(least, "key").groupBy("id").agg(F.min("least").alias("least"))
+        spread = durable(state.join(near, "id", "left").select("id", F.coalesce("least", "part").alias("next"), F.col("part").alias("was")))
+        further = spread.select(F.col("id").alias("at"), F.col("next").alias("further"))
+        moved = durable(spread.join(further, spread.next == F.col("at")).select("id", F.least("next", "further").alias("part"), "was"))
+        state = moved.select("id", "part")
+        if not moved.where("part <> was").limit(1).count():
+            return state
+
+
+RECORD = ("title", "status", "category", "url", "story")
+
+
+def _folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts in order, each its records and then its updates: the records as the updates leave them.
+    Only a part's records are held; titles don't change, so the first of a title is known, while
+    the places of an address are kept in order."""
+    here, records, titles, places = None, [], {}, {}
+
+    def made():
+        columns = [pa.array([r[c] for r in records], pa.string()) for c in (*RECORD, "change")]
+        return pa.RecordBatch.from_arrays(columns, names=[*RECORD, "change"])
+
+    def added(row: dict, change: str) -> None:
+        at = len(records)
+        records.append({c: row[c] for c in RECORD} | {"change": change})
+        if row["key"]:
+            titles.setdefault(row["key"], at)
+        if row["url"]:
+            places.setdefault(row["url"], []).append(at)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["part"] != here:
+                if records:
+                    yield made()
+                here, records, titles, places = row["part"], [], {}, {}
+            if not row["new"]:
+                added(row, "kept")
+                continue
+            found = [x for x in (titles.get(row["key"]), next(iter(places.get(row["url"], ())), None)) if x is not None]
+            if not found:
+                added(row, "inserted")
+                continue
+            at = min(found)
+            old = records[at]
+            if row["status"] == "rejected" and old["status"] == "published":
+                old["change"] = "refused" if old["change"] == "kept" else old["change"]
+                continue
+            if row["url"] and row["url"] != old["url"]:
+                if old["url"]:
+                    places[old["url"]].remove(at)
+                insort(places.setdefault(row["url"], []), at)
+                old["url"] = row["url"]
+            old["status"] = row["status"]
+            for c in ("category", "story"):
+                old[c] = row[c] or old[c]
+            old["change"] = "updated" if old["change"] in ("kept", "refused") else old["change"]
+    if records:
+        yield made()
+
+
 def upsert(registry: DataFrame, updates: DataFrame) -> DataFrame:
-    """``registry`` (pos, title, status, category, url, story) after ``updates`` of the same shape,
-    with ``change`` (kept, updated, refused, inserted).
+    """``registry`` (pos, title, status, category, url, story) after ``updates`` of the same shape
+    in the order of their ``pos``, with ``change``: inserted; updated, if any update applied;
+    refused, if there were only such that reject what is published; else kept.
 
-    An update meets the first record with its url or its title (case folded, white space
-    collapsed). A published record isn't rejected any more; empty values don't overwrite. Of
-    several updates of a record the last counts; of several new ones with a title the last too.
+    An update goes to the first record that has its url or its title (case folded, white space
+    collapsed), those that the updates inserted included; without one it is inserted. What is
+    published isn't rejected any more, empty values don't overwrite, a url that is given does. An
+    update without a title is refused and leaves no trace. Updates and records that share a title or
+    a url, also through others, are gone through in one task, in order; records that none meets
+    stay where they are. A null value counts as empty.
     """
-    r = registry.withColumn("key", normalized_title(F.col("title")))
-    u = updates.withColumn("key", normalized_title(F.col("title")))
-    by_url = u.where("url <> ''").join(r.where("url <> ''").select(F.col("pos").alias("at"), "url"), "url").select("pos", "at")
-    by_title = u.join(r.select(F.col("pos").alias("at"), "key"), "key").select("pos", "at")
-    target = by_url.union(by_title).groupBy("pos").agg(F.min("at").alias("at"))
-    met = u.join(target, "pos", "left")
-    record = F.coalesce(F.col("at").cast("string"), F.concat(F.lit("new:"), "key")).alias("record")
-    last = F.max_by(F.struct(*met.columns), "pos").alias("last")  # partly before the shuffle
-    met = met.groupBy(record).agg(last).select("last.*")
-    new = met.where("at is null").select("title", "status", "category", "url", "story", F.lit("inserted").alias("change"))
-    names = ("title", "status", "category", "url", "story")
-    change = met.where("at is not null").select("at", *[F.col(c).alias(f"u_{c}") for c in names])
-    both = registry.join(change, registry.pos == change.at, "left")
-    refused = (F.col("status") == "published") & (F.col("u_status") == "rejected")
-    applies = F.col("at").isNotNull() & ~refused
-    filled = lambda c: F.when(applies, F.coalesce(F.nullif(f"u_{c}", F.lit("")), c)).otherwise(F.col(c)).alias(c)
-    old = both.select(
-        "title",
-        F.when(applies, F.col("u_status")).otherwise(F.col("status")).alias("status"),
-        filled("category"),
-        filled("url"),
-        filled("story"),
-        F.when(F.col("at").isNull(), "kept").when(refused, "refused").otherwise("updated").alias("change"),
-    )
-    return old.unionByName(new)
+    def stated(rows: DataFrame, new: bool) -> DataFrame:
+        value = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in RECORD}
+        if new:
+            value |= {"title": X.collapsed_ends(value["title"]), "url": X.collapsed_ends(value["url"]), "story": X.clean_start(value["story"], 900)}
+        out = rows.select(F.struct(F.lit(new).alias("new"), F.col("pos").cast("long").alias("pos")).alias("id"), *[v.alias(c) for c, v in value.items()])
+        return out.withColumn("key", normalized_title(F.col("title")))
+
+    old, fresh = stated(registry, False), stated(updates, True).where("key <> ''")
+    every = durable(old.union(fresh))
+    named = lambda kind, c: F.when(F.col(c) != "", F.concat(F.lit(kind), c))
+    keyed = every.select("id", F.array_compact(F.array(named("t", "key"), named("u", "url"))).alias("keys"))
+    placed = durable(every.join(_parts(keyed), "id"))
+    met = placed.where("id.new").select("part").distinct()
+    kept = placed.join(met, "part", "left_anti").select(*RECORD, F.lit("kept").alias("change"))
+    order = ["part", "new", "pos"]
+    rows = placed.join(met, "part", "left_semi").select(F.to_json("part").alias("part"), "id.new", "id.pos", *RECORD, "key")
+    dealt = rows.repartition("part").sortWithinPartitions(*order)
+    return kept.union(dealt.mapInArrow(_folded, ", ".join(f"{c} string" for c in (*RECORD, "change"))))
 
 
 def outcomes(updates: DataFrame, delivered: DataFrame, home: str) -> DataFrame:

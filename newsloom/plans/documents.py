@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
+from newsloom.functions.durable import shared_folder
 from newsloom.functions.packs import CORPUS
 from newsloom.operators import classify as C
 from newsloom.operators import cluster, delivery, lookups, model, posts, rank, registry, topics
 from newsloom.plans.registry import query, read, spread
 from newsloom.sources import feeds
+from newsloom.streaming.topics import Index
 
 P = CORPUS
 
@@ -112,6 +114,18 @@ def doc_clusters(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("pos").alias("doc_id"), "root")
 
 
+@query(f"{CLUSTERS} SELECT pos AS doc_id, root FROM t")
+def doc_clusters_by_cycles(spark, sf_dir: str) -> DataFrame:
+    """The same topics, where documents come in three cycles and join what is settled."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    index = Index(spark, shared_folder(spark), P)
+    for k in range(3):
+        cycle = F.floor((F.col("doc_id") - (least or 0)) * 3 / ((most or 0) - (least or 0) + 1)) == k
+        index.cycle(docs.where(cycle), k, pos="doc_id")
+    return index.posts(3).select(F.col("pos").alias("doc_id"), "root")
+
+
 @query(f"""{CLUSTERS}, {RULES.replace("n AS (", "n2 AS (", 1).replace("FROM n)", "FROM n2)")},
 j AS (SELECT t.root AS topic, d.* FROM t JOIN d ON d.doc_id = t.pos),
 a AS (SELECT topic, bool_or(official) AS official, bool_and(help) AS help_only, bool_and(complaint AND NOT official) AS complaint_only,
@@ -207,21 +221,24 @@ def nested_members(spark, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH r AS (SELECT item_id AS pos, 'title ' || item_id AS title, CASE WHEN item_id % 3 = 0 THEN 'published' ELSE 'rejected' END AS status,
+@query("""WITH RECURSIVE r AS (SELECT item_id AS pos, 'title ' || item_id AS title, CASE WHEN item_id % 3 = 0 THEN 'published' ELSE 'rejected' END AS status,
   'u' || item_id AS url FROM benchmark),
-u AS (SELECT doc_id AS pos, 'Title  ' || (doc_id % 70) AS title, CASE WHEN doc_id % 2 = 0 THEN 'rejected' ELSE 'published' END AS status,
-  CASE WHEN doc_id % 7 = 0 THEN 'u' || (doc_id % 50) ELSE '' END AS url FROM documents),
-t AS (SELECT u.pos, min(r.pos) AS tgt FROM u JOIN r ON (u.url <> '' AND u.url = r.url)
-  OR trim(regexp_replace(lower(u.title), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(r.title), '\\s+', ' ', 'g')) GROUP BY u.pos),
-m AS (SELECT u.*, t.tgt, row_number() OVER (PARTITION BY coalesce(t.tgt::VARCHAR, 'new:' || trim(regexp_replace(lower(title), '\\s+', ' ', 'g')))
-  ORDER BY u.pos DESC) AS n FROM u LEFT JOIN t USING (pos)),
-l AS (SELECT * FROM m WHERE n = 1)
-SELECT r.title, CASE WHEN l.tgt IS NULL OR (r.status = 'published' AND l.status = 'rejected') THEN r.status ELSE l.status END AS status,
-  CASE WHEN l.tgt IS NULL OR (r.status = 'published' AND l.status = 'rejected') THEN r.url ELSE coalesce(nullif(l.url, ''), r.url) END AS url,
-  CASE WHEN l.tgt IS NULL THEN 'kept' WHEN r.status = 'published' AND l.status = 'rejected' THEN 'refused' ELSE 'updated' END AS change
-  FROM r LEFT JOIN l ON l.tgt = r.pos UNION ALL SELECT title, status, url, 'inserted' FROM l WHERE tgt IS NULL""")
+u AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, CASE WHEN doc_id % 31 = 0 THEN '' ELSE 'Title  ' || (doc_id % 70) END AS title,
+  CASE WHEN doc_id % 2 = 0 THEN 'rejected' ELSE 'published' END AS status, CASE WHEN doc_id % 7 = 0 THEN 'u' || (doc_id % 50) ELSE '' END AS url FROM documents),
+k AS (SELECT 0::BIGINT AS n, (SELECT list({'title': title, 'key': trim(regexp_replace(lower(title), '\\s+', ' ', 'g')), 'status': status, 'url': url, 'change': 'kept'} ORDER BY pos) FROM r) AS s
+  UNION ALL SELECT n + 1, CASE WHEN key = '' THEN s
+    WHEN hit IS NULL OR hit = 0 THEN list_append(s, {'title': title, 'key': key, 'status': status, 'url': url, 'change': 'inserted'})
+    ELSE list_transform(s, lambda x, i: CASE WHEN i <> hit THEN x
+      WHEN x.status = 'published' AND k2.status = 'rejected' THEN {'title': x.title, 'key': x.key, 'status': x.status, 'url': x.url,
+        'change': CASE WHEN x.change = 'kept' THEN 'refused' ELSE x.change END}
+      ELSE {'title': x.title, 'key': x.key, 'status': k2.status, 'url': coalesce(nullif(k2.url, ''), x.url),
+        'change': CASE WHEN x.change IN ('kept', 'refused') THEN 'updated' ELSE x.change END} END) END
+  FROM (SELECT k.n, k.s, v.title, v.key, v.status, v.url,
+      list_position(list_transform(k.s, lambda x: (v.url <> '' AND x.url = v.url) OR x.key = v.key), true) AS hit
+    FROM k JOIN (SELECT *, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS key FROM u) v ON v.n = k.n + 1) k2)
+SELECT x.title, x.status, x.url, x.change FROM (SELECT unnest(s) AS x FROM k WHERE n = (SELECT max(n) FROM k))""")
 def registry_upsert(spark, sf_dir: str) -> DataFrame:
-    """The registry after updates by address or title."""
+    """The registry after updates by address or title, several of a record among them."""
     i, d = F.col("item_id"), F.col("doc_id")
     empty = [F.lit("").alias("category"), F.lit("").alias("story")]
     old = read(spark, sf_dir, "benchmark").select(
@@ -229,7 +246,7 @@ def registry_upsert(spark, sf_dir: str) -> DataFrame:
         F.when(i % 3 == 0, "published").otherwise("rejected").alias("status"), F.concat(F.lit("u"), i.cast("string")).alias("url"), *empty,
     )
     new = read(spark, sf_dir, "documents").select(
-        d.alias("pos"), F.concat(F.lit("Title  "), (d % 70).cast("string")).alias("title"),
+        d.alias("pos"), F.when(d % 31 == 0, "").otherwise(F.concat(F.lit("Title  "), (d % 70).cast("string"))).alias("title"),
         F.when(d % 2 == 0, "rejected").otherwise("published").alias("status"),
         F.when(d % 7 == 0, F.concat(F.lit("u"), (d % 50).cast("string"))).otherwise("").alias("url"), *empty,
     )

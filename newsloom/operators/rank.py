@@ -134,6 +134,29 @@ def fresh_in_batch(shown: DataFrame) -> DataFrame:
     return bounded.groupBy("one").applyInPandas(keep, "rank int, topic_key string")
 
 
+def postings(stories: DataFrame, pack: Pack) -> DataFrame:
+    """``term, id, of_title, terms`` of stories (id, title, story): a row for each term, whether the
+    title has it and how many the title has. Kept with what is sent, it is what later batches meet."""
+    every = story_terms(F.concat_ws(" ", "title", "story"), pack)
+    rows = stories.select("id", story_terms(F.col("title"), pack).alias("own"), every.alias("all"))
+    each = rows.select("id", "own", F.explode(F.array_union("own", "all")).alias("term"))
+    return each.select("term", "id", F.array_contains("own", F.col("term")).alias("of_title"), F.size("own").alias("terms"))
+
+
+def told_before(shown: DataFrame, sent: DataFrame) -> DataFrame:
+    """``rank`` of the topics (rank, title_terms, story_terms), at most ``SHOWN`` rows, that are the
+    same story as one whose :func:`postings` are in ``sent``. Only postings of the topics' own terms
+    are met; they are counted before the shuffle."""
+    bounded = shown.orderBy("rank").limit(SHOWN)
+    own = bounded.select("rank", F.col("title_terms").alias("title"), F.array_union("title_terms", "story_terms").alias("all"))
+    terms = own.select("rank", F.size("title").alias("n"), "title", F.explode("all").alias("term"))
+    terms = terms.select("rank", "n", "term", F.array_contains("title", F.col("term")).alias("mine"))
+    met = sent.join(F.broadcast(terms), "term")
+    counts = met.groupBy("rank", "id", "n", "terms").agg(F.count_if("mine").alias("mine"), F.count_if("of_title").alias("theirs"))
+    enough = lambda m, n: (F.col(m) >= 3) & (F.col(m) >= 0.4 * F.greatest(F.lit(1), F.col(n)))
+    return counts.where(enough("mine", "n") | enough("theirs", "terms")).select("rank").distinct()
+
+
 def first_delivery(fresh: DataFrame, first: int = FIRST) -> DataFrame:
     """What is sent at the start, and what is only marked as sent."""
     place = F.row_number().over(W.orderBy("rank"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
@@ -223,8 +224,8 @@ def nested_members(spark, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE r AS (SELECT item_id AS pos, 'title ' || item_id AS title, CASE WHEN item_id % 3 = 0 THEN 'published' ELSE 'rejected' END AS status,
   'u' || item_id AS url FROM benchmark),
-u AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, CASE WHEN doc_id % 31 = 0 THEN '' ELSE 'Title  ' || (doc_id % 70) END AS title,
-  CASE WHEN doc_id % 2 = 0 THEN 'rejected' ELSE 'published' END AS status, CASE WHEN doc_id % 7 = 0 THEN 'u' || (doc_id % 50) ELSE '' END AS url FROM documents),
+u AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, CASE WHEN doc_id % 31 = 0 THEN '' ELSE 'Title  ' || (doc_id // 5) END AS title,
+  CASE WHEN doc_id % 2 = 0 THEN 'rejected' ELSE 'published' END AS status, CASE WHEN doc_id % 7 = 0 THEN 'u' || (doc_id // 12) ELSE '' END AS url FROM documents),
 k AS (SELECT 0::BIGINT AS n, (SELECT list({'title': title, 'key': trim(regexp_replace(lower(title), '\\s+', ' ', 'g')), 'status': status, 'url': url, 'change': 'kept'} ORDER BY pos) FROM r) AS s
   UNION ALL SELECT n + 1, CASE WHEN key = '' THEN s
     WHEN hit IS NULL OR hit = 0 THEN list_append(s, {'title': title, 'key': key, 'status': status, 'url': url, 'change': 'inserted'})
@@ -246,9 +247,9 @@ def registry_upsert(spark, sf_dir: str) -> DataFrame:
         F.when(i % 3 == 0, "published").otherwise("rejected").alias("status"), F.concat(F.lit("u"), i.cast("string")).alias("url"), *empty,
     )
     new = read(spark, sf_dir, "documents").select(
-        d.alias("pos"), F.when(d % 31 == 0, "").otherwise(F.concat(F.lit("Title  "), (d % 70).cast("string"))).alias("title"),
+        d.alias("pos"), F.when(d % 31 == 0, "").otherwise(F.concat(F.lit("Title  "), F.floor(d / 5).cast("string"))).alias("title"),
         F.when(d % 2 == 0, "rejected").otherwise("published").alias("status"),
-        F.when(d % 7 == 0, F.concat(F.lit("u"), (d % 50).cast("string"))).otherwise("").alias("url"), *empty,
+        F.when(d % 7 == 0, F.concat(F.lit("u"), F.floor(d / 12).cast("string"))).otherwise("").alias("url"), *empty,
     )
     return registry.upsert(old, new).select("title", "status", "url", "change")
 
@@ -427,6 +428,46 @@ def delivery_batch(spark, sf_dir: str) -> DataFrame:
     return rank.first_delivery(rank.fresh_in_batch(shown))
 
 
+#: The feed whose documents are the ranked topics; what the other feeds had was sent before.
+FEED = "src0"
+
+
+def _same(a: str, b: str) -> str:
+    one = lambda x, y: f"(len(list_intersect({x}.t, {y}.s)) >= 3 AND len(list_intersect({x}.t, {y}.s)) >= 0.4::DOUBLE * greatest(len({x}.t), 1))"
+    return f"({one(a, b)} OR {one(b, a)})"
+
+
+@query(f"""WITH RECURSIVE {STORIES}, d AS (SELECT lt.*, source, lang, row_number() OVER (PARTITION BY source = '{FEED}' ORDER BY id) AS rank FROM lt JOIN documents ON doc_id = id),
+b0 AS (SELECT rank::INT AS rank, 'k' || id AS topic_key, 'm' || id AS member, 'n' || (id % 16) AS other, t, s FROM d WHERE source = '{FEED}' AND rank <= {rank.SHOWN}),
+b AS (SELECT *, row_number() OVER (ORDER BY rank) AS n FROM b0 x WHERE NOT EXISTS (SELECT 1 FROM rt WHERE {_same("x", "rt")})
+  AND NOT EXISTS (SELECT 1 FROM d WHERE d.source <> '{FEED}' AND {_same("x", "d")}) AND x.member NOT IN (SELECT 'm' || (item_id * 11) FROM benchmark)
+  AND x.topic_key NOT IN (SELECT 'k' || (page_id * 7) FROM pages)),
+c AS (SELECT y.n, list(x.n) AS l FROM b x JOIN b y ON x.n < y.n AND (x.other = y.other OR {_same("x", "y")}) GROUP BY y.n),
+k AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT k.n + 1, CASE WHEN c.l IS NOT NULL AND list_has_any(k.kept, c.l) THEN k.kept ELSE list_append(k.kept, k.n + 1) END
+  FROM k LEFT JOIN c ON c.n = k.n + 1 WHERE k.n < (SELECT count(*) FROM b))
+SELECT rank, topic_key, 'send' AS delivery FROM b WHERE list_contains((SELECT kept FROM k ORDER BY n DESC LIMIT 1), n)""")
+def delivery_after_others(spark, sf_dir: str) -> DataFrame:
+    """What is delivered of one feed's documents where the others' stories were sent before, with
+    keys and members that were, and a registry."""
+    left, right = stories(spark, sf_dir)
+    docs = left.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    i = F.col("id").cast("string")
+    own = docs.where(F.col("source") == FEED).orderBy("id").limit(rank.SHOWN)  # the feature: as many are ranked
+    topics_ = own.select(
+        F.row_number().over(W.orderBy("id")).alias("rank"), F.concat(F.lit("k"), i).alias("topic_key"), "title", "story",
+        F.array(F.concat(F.lit("m"), i), F.concat(F.lit("n"), (F.col("id") % 16).cast("string"))).alias("member_keys"), F.lit(True).alias("linked"),
+    )
+    key = lambda word, c: F.concat(F.lit(word), c.cast("string")).alias("key")
+    state = delivery.State(
+        read(spark, sf_dir, "pages").select(key("k", F.col("page_id") * 7)),
+        read(spark, sf_dir, "benchmark").select(key("m", F.col("item_id") * 11)),
+        rank.postings(docs.where(F.col("source") != FEED).select("id", "title", "story"), P),
+        initialized=True,
+    )
+    none = topics_.select("rank", F.lit("").alias("url")).where("url <> ''")
+    return delivery.batch(topics_, none, right.withColumn("url", F.lit("")), state, P)
+
+
 @query("""WITH c AS (SELECT 'src' || (item_id % 30) AS name FROM benchmark GROUP BY ALL), f AS (SELECT source AS name, min(doc_id) AS id FROM documents GROUP BY source)
 SELECT c.name, f.id, f.id IS NULL AS missing FROM c LEFT JOIN f USING (name)""")
 def group_lookup(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ class Index:
 
     def _before(self, table: str, shape: str, number: int) -> DataFrame:
         """The table as the cycles before ``number`` left it: the last whole one, and the rest."""
-        base = number // EVERY * EVERY
+        base = max(number - 1, 0) // EVERY * EVERY
         paths = [self._path(table, "cycle", k) for k in range(base, number)]
         paths += [self._path(table, "base", base)] if base else []
         return self.spark.read.schema(shape).parquet(*paths) if paths else self.spark.createDataFrame([], shape)

@@ -13,18 +13,56 @@ from pyspark.sql import functions as F
 from newsloom.functions.durable import durable
 
 
-def value_at(df: DataFrame, column: str, place: int):
-    """The value at a place (from 1) of a column in order, from the counts of equal values: ties
-    are one row. Only the range that holds the place is gone through in order."""
-    counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    dealt = durable(counts.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
-    for part, n in sorted(dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()):
-        if place <= n:
+#: Buckets that an interval of values is cut into at a pass.
+BUCKETS = 4096
+
+
+def values_at(df: DataFrame, column: str, places: list[int]) -> list[float]:
+    """The values at ``places`` (from 1) of a column in order, nulls left out, NaN last.
+
+    Each pass counts the values of the intervals that hold a wanted place, in buckets of like
+    widths, and keeps of each wanted bucket its least and greatest value as the next interval, until
+    these are one: all places narrow down together, each pass by a factor of 4,096. Counts are
+    summed before the shuffle; no task holds more rows than there are buckets.
+    """
+    rows = durable(df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL"))
+    v, finite = F.col("v"), (F.col("v") > float("-inf")) & (F.col("v") < float("inf"))
+    total = rows.agg(F.count_if(v == float("-inf")), F.count_if(finite), F.min(F.when(finite, v)), F.max(F.when(finite, v)), F.count_if(v == float("inf"))).first()
+    low, n, least, most, high = total
+    found: dict[int, float] = {}
+    for place in places:
+        if place <= low:
+            found[place] = float("-inf")
+        elif place > low + n:
+            found[place] = float("inf") if place <= low + n + high else float("nan")
+    open_ = {(least, most): low}  # an interval of values, and how many are less than all of it
+    while any(p not in found for p in places):
+        for (least, most), before in open_.items():
+            if least == most:
+                found |= {p: least for p in places if p not in found and p > before}
+        open_ = {k: before for k, before in open_.items() if k[0] < k[1]}
+        if not open_:
             break
-        place -= n
-    so_far = F.sum("n").over(W.partitionBy("part").orderBy(column))
-    here = dealt.where(F.col("part") == part).withColumn("so_far", so_far)
-    return here.where(F.col("so_far") >= place).agg(F.min(column)).first()[0]
+        bucket, index = F.lit(None), F.lit(None)
+        for number, (least, most) in enumerate(open_):
+            # a quarter of everything, so that no difference overflows; each step keeps the order
+            part = (v / 4 - F.lit(least) / 4) / (F.lit(most) / 4 - F.lit(least) / 4) * BUCKETS
+            inside = (v >= least) & (v <= most)
+            bucket = F.when(inside, F.least(F.floor(part), F.lit(BUCKETS - 1))).otherwise(bucket)
+            index = F.when(inside, number).otherwise(index)
+        cut = rows.select("v", index.cast("int").alias("i"), bucket.cast("int").alias("b")).where("i IS NOT NULL")
+        counts = cut.groupBy("i", "b").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
+        after: dict[tuple[float, float], int] = {}
+        for number, before in enumerate(open_.values()):
+            for r in sorted((r for r in counts if r["i"] == number), key=lambda r: r["b"]):
+                own = [p for p in places if p not in found and before < p <= before + r["n"]]
+                if own and r["least"] == r["most"]:
+                    found |= {p: r["least"] for p in own}
+                elif own:
+                    after[r["least"], r["most"]] = before
+                before += r["n"]
+        open_ = after
+    return [found.get(p) for p in places]
 
 
 def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:

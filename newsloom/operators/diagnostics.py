@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import metrics as M
+from newsloom.functions.durable import durable
+from newsloom.functions.order import values_at
 from newsloom.functions.packs import Pack
 from newsloom.functions.text import contains_any
 
 
 def distribution(df: DataFrame, score: str) -> DataFrame:
     """One row: mean, median, high percentiles (interpolated), counts near the top of the scale,
-    and how saturated it is."""
-    s = F.col(score)
+    and how saturated it is. The percentiles' values are found together, by their places."""
+    rows = durable(df.select(F.col(score).cast("double").alias("s")))
+    s = F.col("s")
+    n = rows.agg(F.count(s)).first()[0]
+    shares = {"median": 0.5, "p90": 0.90, "p95": 0.95, "p99": 0.99}
+    at = {name: share * (n - 1) for name, share in shares.items()}
+    places = sorted({int(f(x)) + 1 for x in at.values() for f in (math.floor, math.ceil)}) if n else []
+    values = dict(zip(places, values_at(rows, "s", places), strict=True))
+
+    def between(x: float) -> Column:
+        low, high = math.floor(x), math.ceil(x)
+        found = values[low + 1] if low == high else (high - x) * values[low + 1] + (x - low) * values[high + 1]
+        return F.lit(found)
+
     share = F.try_divide(F.count_if(s >= 95), F.count(s))
-    return df.agg(
+    return rows.agg(
         F.count(s).alias("n"),
         F.avg(s).alias("mean"),
-        F.percentile(s, 0.5).alias("median"),
-        F.percentile(s, 0.90).alias("p90"),
-        F.percentile(s, 0.95).alias("p95"),
-        F.percentile(s, 0.99).alias("p99"),
+        *[(between(x) if n else F.lit(None).cast("double")).alias(name) for name, x in at.items()],
         F.max(s).alias("max"),
         *[F.count_if(s >= x).alias(f"n{x}") for x in (90, 95, 99)],
         F.count_if(F.abs(s - 100) < 1e-9).alias("n100"),

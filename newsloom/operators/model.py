@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.order import numbered, value_at
+from newsloom.functions.order import numbered, values_at
 from newsloom.functions.packs import Pack
 from newsloom.functions.text import contains_any
 
@@ -104,7 +104,7 @@ def solved(x: np.ndarray, rhs: np.ndarray, least: float = 1e-12) -> np.ndarray:
 
 def nth(df: DataFrame, column: str, place: int) -> float:
     """The value at a place (from 1) of a column in order."""
-    return value_at(df, column, place)
+    return values_at(df, column, [place])[0]
 
 
 def split(df: DataFrame, order: list[str]) -> DataFrame:

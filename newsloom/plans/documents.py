@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.functions.durable import shared_folder
-from newsloom.functions.packs import CORPUS
+from newsloom.functions.packs import CITY, CORPUS, Pack
 from newsloom.operators import classify as C
 from newsloom.operators import cluster, delivery, lookups, model, posts, rank, registry, topics
 from newsloom.plans.registry import query, read, spread
@@ -32,8 +32,11 @@ def _pattern(patterns) -> str:
 
 
 NORM = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
-#: The signals of the corpus pack.
-RULES = f"""n AS (SELECT doc_id, source, {NORM.format("coalesce(text, '')")} AS t FROM documents),
+
+
+def _rules(P: Pack, texts: str, _pattern=_pattern) -> str:
+    """The signals of a pack over ``texts``, SQL that has doc_id, source and t."""
+    return f"""n AS ({texts}),
 g AS (SELECT *, ((regexp_matches(t, '{P.phone}') AND {_pattern([P.listing])}) OR {_any(P.help)} OR {_pattern([P.help_pattern])})
     AND NOT {_any(P.help_event)} AS help,
   {_any(P.nonlocal_)} AS nh, {_any(P.local)} AS lh, {_any(P.excluded)} AS excluded,
@@ -49,23 +52,19 @@ c AS (SELECT *, CASE WHEN excluded THEN 'excluded_topic' WHEN ad THEN 'advertisi
 d AS (SELECT *, CASE WHEN away THEN least(c0, 10) ELSE c0 END AS confidence FROM c)"""
 
 
-@query(f"WITH {RULES} SELECT doc_id, content_type, source_kind, confidence, explicit_local FROM d")
-def doc_rules(spark, sf_dir: str) -> DataFrame:
-    """Content type, source kind and confidence of each document."""
-    rows = C.classify(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), P)
-    return rows.select("doc_id", "content_type", "source_kind", "confidence", "explicit_local")
-
-
-@query(f"""WITH {RULES}, x AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'not_today_or_missing_timestamp' WHEN excluded THEN 'excluded_topic'
+def _gates(P: Pack, _pattern=_pattern) -> str:
+    """The gates over what :func:`_rules` gives."""
+    return f"""x AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'not_today_or_missing_timestamp' WHEN excluded THEN 'excluded_topic'
   WHEN ad THEN 'promotional' WHEN doc_id % 17 = 0 THEN 'advertising' WHEN away THEN 'nonlocal_topic' WHEN help THEN 'help_request'
   WHEN opinion THEN 'opinion' END AS reason, CASE WHEN {_pattern(P.fatal)} THEN 'fatal_incident' {" ".join(f"WHEN {_any(w)} THEN '{n}'" for n, w, _ in P.events)}
   ELSE 'general' END AS class, CASE WHEN {_pattern(P.fatal)} THEN 100.0 {" ".join(f"WHEN {_any(w)} THEN {i}" for n, w, i in P.events)} ELSE 20.0 END::DOUBLE AS impact,
   CASE WHEN {_pattern([P.interview])} AND {_pattern([P.sport])} THEN 40.0 WHEN {_pattern([P.announcement])} THEN 42.0 ELSE 90.0 END::DOUBLE AS capped,
   ({" + ".join(f"CASE WHEN {_any(w)} THEN {n} ELSE 0 END" for n, w in P.hooks)})::INT AS hook FROM d)
-SELECT doc_id, reason, class, impact, capped, hook FROM x""")
-def doc_gates(spark, sf_dir: str) -> DataFrame:
-    """Why a document isn't eligible, its event class, the score's cap and its hook."""
-    rows = C.signals(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), P)
+SELECT doc_id, reason, class, impact, capped, hook FROM x"""
+
+
+def _gated(docs: DataFrame, P: Pack) -> DataFrame:
+    rows = C.signals(docs, P)
     t = X.norm(F.coalesce("text", F.lit("")))
     away = F.col("nonlocal_hit") & ~F.col("local_hit")
     reason = C.exclusion(
@@ -78,6 +77,79 @@ def doc_gates(spark, sf_dir: str) -> DataFrame:
     )
 
 
+#: The signals of the corpus pack.
+RULES = _rules(P, f"SELECT doc_id, source, {NORM.format("coalesce(text, '')")} AS t FROM documents")
+
+
+@query(f"WITH {RULES} SELECT doc_id, content_type, source_kind, confidence, explicit_local FROM d")
+def doc_rules(spark, sf_dir: str) -> DataFrame:
+    """Content type, source kind and confidence of each document."""
+    rows = C.classify(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source")), P)
+    return rows.select("doc_id", "content_type", "source_kind", "confidence", "explicit_local")
+
+
+@query(f"WITH {RULES}, {_gates(P)}")
+def doc_gates(spark, sf_dir: str) -> DataFrame:
+    """Why a document isn't eligible, its event class, the score's cap and its hook."""
+    return _gated(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source")), P)
+
+
+#: Phrases that the city pack's patterns are about; its literals come with them.
+PHRASES = (
+    "прокуратура сообщила о проверке", "по данным следствия", "мчс предупредило жителей", "суд вынес приговор", "администрация объявила",
+    "официальной информации пока не поступало", "мэрия подтвердила", "руководитель департамента подписал", "угмс", "пристроим кота барсик 8 (913) 123-45-67",
+    "огромная просьба, ищем очевидцев", "это реклама", "промокод на скидку", "купить билет", "при поддержке омского нпз", "? где автобусы", "погибли 2 человека",
+    "водитель автобуса вчера погиб", "смертельное дтп", "скончался в больнице", "умер пациент", "интервью с хоккеистом авангарда", "состоится концерт", "автограф-сессия",
+)
+PIECES = (*dict.fromkeys((
+    *PHRASES, *CITY.help, *CITY.nonlocal_, *CITY.local, *CITY.opinion, *CITY.complaint, *CITY.news, *CITY.excluded, *CITY.promo, *CITY.help_event,
+    *(w for _, words in CITY.hooks for w in words), *(w for _, words, _ in CITY.events for w in words), "тихий вечер", "двор", "новая лавочка у дома",
+)),)
+#: For a regular expression engine whose words are of ASCII: the letters as others, some as two.
+LETTERS = dict(zip("абвгдежзийклмнопрстухчшья", "ABCDEFGHIJKLMNOPQRSTUVWXY", strict=True)) | dict(zip("ёфцщъыэю", ("Za", "Zb", "Zc", "Zd", "Ze", "Zf", "Zg", "Zh"), strict=True))
+
+
+def _ascii(text: str) -> str:
+    return "".join(LETTERS.get(c, c) for c in text.replace("[её]", "(?:е|ё)"))
+
+
+def _city_pattern(patterns) -> str:
+    joined = "|".join(f"(?:{_ascii(p)})" for p in patterns).replace("'", "''")
+    return f"regexp_matches(m, '{joined}')"
+
+
+def _picked(values) -> str:
+    listed = "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+    at = lambda e: f"list_extract({listed}, ({e})::INT + 1)"
+    n = len(values)
+    return f"{at(f'doc_id % {n}')} || ' ' || {at(f'(doc_id * 13 + 5) % {n}')} || ' ' || {at(f'(doc_id // 3) % {n}')}"
+
+
+CITY_RULES = _rules(
+    CITY, f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'ngs55' ELSE 'vk' END AS source, {_picked(PIECES)} AS t, {_picked([_ascii(v) for v in PIECES])} AS m FROM documents", _city_pattern
+)
+
+
+def city_posts(spark, sf_dir: str) -> DataFrame:
+    """Three phrases of the city for each document's id."""
+    d, n = F.col("doc_id"), len(PIECES)
+    at = lambda e: F.element_at(F.array(*map(F.lit, PIECES)), (e + 1).cast("int"))
+    text = F.concat_ws(" ", at(d % n), at((d * 13 + 5) % n), at(F.floor(d / 3) % n))
+    return read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.when(d % 4 == 0, "ngs55").otherwise("vk").alias("source"))
+
+
+@query(f"WITH {CITY_RULES} SELECT doc_id, content_type, source_kind, confidence, explicit_local FROM d")
+def city_rules(spark, sf_dir: str) -> DataFrame:
+    """What the city pack makes of phrases that its rules are about."""
+    return C.classify(city_posts(spark, sf_dir), CITY).select("doc_id", "content_type", "source_kind", "confidence", "explicit_local")
+
+
+@query(f"WITH {CITY_RULES}, {_gates(CITY, _city_pattern)}")
+def city_gates(spark, sf_dir: str) -> DataFrame:
+    """The city pack's gates, event classes, caps and hooks over the same phrases."""
+    return _gated(city_posts(spark, sf_dir), CITY)
+
+
 @query(f"""WITH n AS (SELECT doc_id, {NORM.format("coalesce(text, '')")} AS t FROM documents),
 w AS (SELECT doc_id, list_distinct(regexp_extract_all(t, '{P.word}')) AS w, list_distinct(regexp_extract_all(t, '\\b\\d+(?:[.,]\\d+)?\\b')) AS d,
   list_filter([{", ".join(f"'{a}'" for a in P.anchors)}], lambda a: contains(t, a)) AS a FROM n)
@@ -85,7 +157,7 @@ SELECT doc_id, len(w)::INT AS n_words, md5(array_to_string(list_sort(w), ' ')) A
   array_to_string(a, ',') AS anchors FROM w""")
 def token_sets(spark, sf_dir: str) -> DataFrame:
     """The word, number and anchor sets of each document."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", X.norm(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.norm(F.coalesce("text", F.lit(""))).alias("t"))
     t = F.col("t")
     rows = rows.select("doc_id", X.word_set(t, P.word).alias("w"), X.number_set(t).alias("d"), X.stems_in(t, P.anchors).alias("a"))
     return rows.select(
@@ -186,7 +258,8 @@ def stories(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
         text = F.coalesce("text", F.lit(""))
         story = X.clean_start(text, 900).alias("story")
-        out.append(read(spark, sf_dir, name).select(F.col(key).alias("id"), X.first_line(text).alias("title"), story))
+        rows = spread(read(spark, sf_dir, name).select(key, "text"))
+        out.append(rows.select(F.col(key).alias("id"), X.first_line(text).alias("title"), story))
     return out[0], out[1]
 
 

@@ -12,7 +12,7 @@ from newsloom.functions import text as X
 from newsloom.functions.durable import shared_folder
 from newsloom.functions.packs import CITY, CORPUS, Pack
 from newsloom.operators import classify as C
-from newsloom.operators import cluster, delivery, lookups, model, posts, rank, registry, topics
+from newsloom.operators import cluster, delivery, isolated, lookups, model, posts, rank, registry, topics
 from newsloom.plans.registry import query, read, spread
 from newsloom.sources import feeds
 from newsloom.streaming.topics import Index
@@ -629,3 +629,56 @@ def audience_predictions(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", *[made[n].alias(n) for n in ("intercept", "text_length")])
     found = lookups.audience_scores(docs, models, ["intercept", "text_length"])
     return found.select("doc_id", "audience", "horizon", F.round("predicted", 6).alias("predicted"), "priority", "training_samples")
+
+
+# From posts to a queue
+
+#: The time of the run, the day it is in, and when each document was posted: some on other days.
+RUN, DAY = 1_705_320_000, "2024-01-15"
+
+
+def _isolated() -> str:
+    start = RUN - 18 * 3600  # midnight at six hours from UTC
+    posts = f"SELECT doc_id, text, source, ts FROM (SELECT *, {RUN} - (doc_id * 7919) % 90000 AS ts FROM documents) WHERE ts >= {start} AND ts < {start + 86400}"
+    clusters = CLUSTERS.replace("FROM documents)", "FROM posts)").replace("WITH RECURSIVE ", f"WITH RECURSIVE posts AS ({posts}), ")
+    rules = _rules(P, f"SELECT doc_id, source, {NORM.format("coalesce(text, '')")} AS t FROM posts").replace("n AS (", "n2 AS (", 1).replace("FROM n)", "FROM n2)")
+    hook = " + ".join(f"CASE WHEN {_any(w)} THEN {n} ELSE 0 END" for n, w in P.hooks).replace("contains(t,", "contains(joined,")
+    kinds = " ".join(f"WHEN {_any(w)} THEN '{n}'" for n, w, _ in P.events)
+    impacts = " ".join(f"WHEN {_any(w)} THEN {i}" for _, w, i in P.events)
+    spread = "100.0 * (1.0 - exp(-(sources - 1) / 2.0::DOUBLE))"
+    return f"""{clusters}, {rules},
+j AS (SELECT t.root AS topic, d.*, ts, coalesce(text, '') AS raw FROM t JOIN d ON d.doc_id = t.pos JOIN posts USING (doc_id)),
+a AS (SELECT topic, bool_and(help) AS help_only, bool_and(complaint AND NOT official) AS complaint_only, bool_and(opinion) AS opinion_only, bool_and(ad) AS ad_only,
+  bool_and(away) AS nonlocal_only, bool_and(excluded) AS excluded_only, round(avg(confidence), 1) AS confidence, arg_min(content_type, doc_id) AS first_type,
+  count(*) AS posts, max(ts) AS newest, count(DISTINCT nullif(lower(trim(source)), '')) AS sources, bool_or(contains(t, '{P.local_name}')) AS named,
+  {NORM.format("string_agg(raw, ' ' ORDER BY doc_id)")} AS joined, lower(arg_min(raw, doc_id) || '     ' || string_agg(raw || '   ', ' ' ORDER BY doc_id)) AS t FROM j GROUP BY topic),
+b AS (SELECT *, CASE WHEN help_only THEN 'help_request' WHEN complaint_only THEN 'complaint' WHEN opinion_only THEN 'opinion' WHEN ad_only THEN 'advertising'
+  WHEN nonlocal_only THEN 'nonlocal' ELSE first_type END AS content_type, round(({hook}) * 0.35::DOUBLE, 1) AS viral, greatest(0, ({RUN} - newest) / 60.0::DOUBLE) AS age,
+  CASE WHEN nonlocal_only THEN 0 WHEN named THEN 100 ELSE 30 END AS locality FROM a),
+v AS (SELECT *, round(round(viral * 0.5::DOUBLE + (locality * 0.6::DOUBLE + viral * 0.4::DOUBLE) * 0.5::DOUBLE, 1) * 0.72::DOUBLE
+  + round(greatest(0, 100.0::DOUBLE * (1 - age / 180.0::DOUBLE)), 1) * 0.28::DOUBLE, 1) AS score FROM b),
+w AS (SELECT *, CASE WHEN excluded_only OR ad_only OR help_only THEN 'reject' WHEN complaint_only AND (viral >= 60 OR posts >= 3) THEN 'take_now'
+  WHEN complaint_only OR opinion_only OR nonlocal_only THEN 'reject' WHEN confidence <= 25 AND viral >= 60 THEN 'take_now' WHEN score >= 45 THEN 'take_now' ELSE 'reject' END AS status,
+  CASE WHEN {_any(P.excluded)} OR excluded_only THEN 'excluded_topic' WHEN {_any(P.promo)} OR {_pattern(P.promo_patterns)} THEN 'promotional'
+  WHEN ad_only OR content_type = 'advertising' THEN 'advertising' WHEN nonlocal_only THEN 'nonlocal_topic' WHEN help_only OR content_type = 'help_request' THEN 'help_request'
+  WHEN content_type = 'opinion' OR opinion_only THEN 'opinion' END AS exclusion, CASE WHEN {_pattern(P.fatal)} THEN 'fatal_incident' {kinds} ELSE 'general' END AS class,
+  CASE WHEN {_pattern(P.fatal)} THEN 100.0 {impacts} ELSE 20.0 END::DOUBLE AS impact, greatest(0, 100.0::DOUBLE * (1 - age / 180.0::DOUBLE)) AS fresh,
+  CASE WHEN nonlocal_only THEN 0.0 WHEN {_any(P.local_scoring)} THEN 80.0 ELSE 30.0 END::DOUBLE AS near FROM v),
+y AS (SELECT *, round((fresh * 0.2::DOUBLE + near * 0.16::DOUBLE + impact * 0.16::DOUBLE + CASE WHEN sources > 0 THEN {spread} * 0.06::DOUBLE ELSE 0 END)
+  / (0.52::DOUBLE + CASE WHEN sources > 0 THEN 0.06::DOUBLE ELSE 0 END), 1) AS mean FROM w),
+p AS (SELECT *, CASE WHEN exclusion IS NULL THEN round(least(100, CASE WHEN {_pattern([P.interview])} AND {_pattern([P.sport])} THEN least(mean, 40) WHEN {_pattern([P.announcement])} THEN least(mean, 42) ELSE mean END
+  + CASE WHEN content_type = 'complaint' AND (posts >= 3 OR sources >= 3) THEN 8 ELSE 0 END), 1) END AS priority_score FROM y)
+SELECT topic, posts, content_type, confidence, viral, score, status, exclusion, class, priority_score,
+  CASE WHEN exclusion IS NULL THEN CASE WHEN priority_score >= 70 THEN 'high' WHEN priority_score >= 45 THEN 'medium' ELSE 'low' END END AS label,
+  CASE WHEN exclusion IS NULL THEN CASE WHEN priority_score >= 45 THEN 'take_now' ELSE 'reject' END END AS decision,
+  CASE WHEN exclusion IS NULL THEN row_number() OVER (PARTITION BY exclusion IS NULL ORDER BY priority_score DESC, score DESC, topic) END AS place FROM p"""
+
+
+@query(_isolated())
+def isolated_queue(spark, sf_dir: str) -> DataFrame:
+    """The documents of one day from classification to the ranked queue, at a given time."""
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    at = (F.lit(RUN) - (F.col("doc_id") * 7919) % 90000).cast("long")
+    posts_ = docs.select(F.col("doc_id").alias("pos"), "text", "source", at.alias("timestamp"))
+    names = ["topic", "posts", "content_type", "confidence", "viral", "score", "status", "exclusion", "class", "priority_score", "label", "decision", "place"]
+    return isolated.queue(posts_, RUN, DAY, P).select(*names)

@@ -70,33 +70,38 @@ def ranked(df: DataFrame, tie: str, limit: int = SHOWN) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
+def told_by(titles: DataFrame, stories: DataFrame) -> DataFrame:
+    """``a, b``: titles (id, terms, n) that share three terms, and two fifths of their n, with the
+    terms ``all`` of stories (id, all). ``terms`` may lack some of the n that no story has."""
+    need = F.greatest(F.lit(3), F.ceil(F.col("n") * 0.4).cast("int"))
+    titles = titles.where(F.size("terms") >= need).select(F.col("id").alias("a"), "terms", "n", need.alias("need"))
+    stories = stories.select(F.col("id").alias("b"), "all")
+    told = stories.select("b", F.explode("all").alias("term"))
+    often = told.groupBy("term").agg(F.count("*").alias("df"))
+    # who shares enough terms shares one of the rarest: frequent ones need no join
+    listed = titles.select("a", "need", F.explode("terms").alias("term")).join(often, "term", "left")
+    rare = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("rare")
+    prefix = F.slice("rare", 1, F.size("rare") - F.col("need") + 1)
+    shown = listed.groupBy("a", "need").agg(rare).select("a", F.explode(prefix).alias("r")).select("a", "r.term")
+    candidates = shown.join(told, "term").select("a", "b").distinct()
+    shared = F.size(F.array_intersect("terms", "all"))
+    both = candidates.join(titles, "a").join(stories, "b")
+    return both.where((shared >= 3) & (shared >= 0.4 * F.col("n"))).select("a", "b")
+
+
+def stated(rows: DataFrame, pack: Pack) -> DataFrame:
+    """``id, terms, n, all`` of stories (id, title, story): the title's terms, how many, and all."""
+    every = story_terms(F.concat_ws(" ", "title", "story"), pack)
+    told = rows.select("id", story_terms(F.col("title"), pack).alias("terms"), every.alias("all"))
+    return durable(told.select("id", "terms", F.size("terms").alias("n"), "all"))
+
+
 def story_links(left: DataFrame, right: DataFrame, pack: Pack) -> DataFrame:
     """``left_id, right_id`` of the same story: (id, title, story) rows where one's title shares
     three terms and two fifths of its own with the other's title and story."""
-
-    def stated(rows: DataFrame) -> DataFrame:
-        every = story_terms(F.concat_ws(" ", "title", "story"), pack)
-        return durable(rows.select("id", story_terms(F.col("title"), pack).alias("terms"), every.alias("all")))
-
-    def one_way(a: DataFrame, b: DataFrame) -> DataFrame:
-        titles = a.where(F.size("terms") >= 3).select(F.col("id").alias("a"), "terms")
-        stories = b.select(F.col("id").alias("b"), "all")
-        told = stories.select("b", F.explode("all").alias("term"))
-        often = told.groupBy("term").agg(F.count("*").alias("df"))
-        # who shares enough terms shares one of the rarest: frequent ones need no join
-        listed = titles.select("a", F.explode("terms").alias("term")).join(often, "term", "left")
-        rare = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("rare")
-        n = F.size("rare")
-        prefix = F.slice("rare", 1, n - F.greatest(F.lit(3), F.ceil(n * 0.4).cast("int")) + 1)
-        shown = listed.groupBy("a").agg(rare).select("a", F.explode(prefix).alias("r")).select("a", "r.term")
-        candidates = shown.join(told, "term").select("a", "b").distinct()
-        shared = F.size(F.array_intersect("terms", "all"))
-        both = candidates.join(titles, "a").join(stories, "b")
-        return both.where((shared >= 3) & (shared >= 0.4 * F.size("terms"))).select("a", "b")
-
-    left, right = stated(left), stated(right)
-    there = one_way(left, right).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"))
-    back = one_way(right, left).select(F.col("b").alias("left_id"), F.col("a").alias("right_id"))
+    left, right = stated(left, pack), stated(right, pack)
+    there = told_by(left, right).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"))
+    back = told_by(right, left).select(F.col("b").alias("left_id"), F.col("a").alias("right_id"))
     return there.union(back).distinct()
 
 

@@ -46,11 +46,11 @@ def _folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def made():
         columns = [pa.array([r[c] for r in records], pa.string()) for c in (*RECORD, "change")]
-        return pa.RecordBatch.from_arrays(columns, names=[*RECORD, "change"])
+        return pa.RecordBatch.from_arrays([pa.array([r["pos"] for r in records], pa.int64()), *columns], names=["pos", *RECORD, "change"])
 
     def added(row: dict, change: str) -> None:
         at = len(records)
-        records.append({c: row[c] for c in RECORD} | {"change": change})
+        records.append({c: row[c] for c in ("pos", *RECORD)} | {"change": change})
         if row["key"]:
             titles.setdefault(row["key"], at)
         if row["url"]:
@@ -89,7 +89,7 @@ def _folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def upsert(registry: DataFrame, updates: DataFrame) -> DataFrame:
     """``registry`` (pos, title, status, category, url, story) after ``updates`` of the same shape
-    in the order of their ``pos``, with ``change``: inserted; updated, if any update applied;
+    in the order of their ``pos``, with ``change``: inserted (under the update's ``pos``); updated, if any update applied;
     refused, if there were only such that reject what is published; else kept.
 
     An update goes to the first record that has its url or its title (case folded, white space
@@ -112,11 +112,11 @@ def upsert(registry: DataFrame, updates: DataFrame) -> DataFrame:
     keyed = every.select("id", F.array_compact(F.array(named("t", "key"), named("u", "url"))).alias("keys"))
     placed = durable(every.join(_parts(keyed), "id"))
     met = placed.where("id.new").select("part").distinct()
-    kept = placed.join(met, "part", "left_anti").select(*RECORD, F.lit("kept").alias("change"))
+    kept = placed.join(met, "part", "left_anti").select(F.col("id.pos").alias("pos"), *RECORD, F.lit("kept").alias("change"))
     order = ["part", "new", "pos"]
     rows = placed.join(met, "part", "left_semi").select(F.to_json("part").alias("part"), "id.new", "id.pos", *RECORD, "key")
     dealt = rows.repartition("part").sortWithinPartitions(*order)
-    return kept.union(dealt.mapInArrow(_folded, ", ".join(f"{c} string" for c in (*RECORD, "change"))))
+    return kept.union(dealt.mapInArrow(_folded, "pos long, " + ", ".join(f"{c} string" for c in (*RECORD, "change"))))
 
 
 def outcomes(updates: DataFrame, delivered: DataFrame, home: str) -> DataFrame:

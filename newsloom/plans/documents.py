@@ -13,7 +13,8 @@ from newsloom.functions.durable import shared_folder
 from newsloom.functions.packs import CITY, CORPUS, Pack
 from newsloom.operators import classify as C
 from newsloom.operators import cluster, delivery, isolated, lookups, model, posts, rank, registry, topics
-from newsloom.plans.registry import query, read, spread
+from newsloom.operators.postings import Stored
+from newsloom.plans.registry import SQL, query, read, spread
 from newsloom.sources import feeds
 from newsloom.streaming.topics import Index
 
@@ -276,6 +277,19 @@ def story_antijoin(spark, sf_dir: str) -> DataFrame:
     return rank.not_in_registry(left, urls, records, P).select("id")
 
 
+@query(SQL["story_antijoin"])
+def story_antijoin_stored(spark, sf_dir: str) -> DataFrame:
+    """The same by postings that three changes of the registry have left: its records come without
+    stories, then with other ones, then with their own."""
+    left, right = stories(spark, sf_dir)
+    urls = left.select("id", F.concat(F.lit("u"), (F.col("id") % 300).cast("string")).alias("url"))
+    record = right.select(F.col("id").alias("pos"), "title", F.lit("rejected").alias("status"), F.lit("").alias("category"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), "story")
+    stored = Stored(spark, shared_folder(spark), P)
+    for version, told in enumerate((F.lit(""), F.reverse("story"), F.col("story")), 1):
+        stored.change(record.withColumn("story", told), version)
+    return stored.unknown(left, urls, 3).select("id")
+
+
 @query("""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN length(text) END AS views, role FROM conversations)
 SELECT conv_id, count(*)::INT AS members, coalesce(sum(views), 0)::BIGINT AS views, count(views) > 0 AS measured,
   string_agg(role, ',' ORDER BY turn) AS roles FROM m GROUP BY conv_id""")

@@ -50,3 +50,28 @@ def test_none(spark):
     assert registry.upsert(none, none).count() == 0
     assert [r["change"] for r in registry.upsert(some, none).collect()] == ["kept"]
     assert [r["change"] for r in registry.upsert(none, some).collect()] == ["inserted"]
+
+
+def test_postings_follow_the_records(spark, tmp_path):
+    """A story that an update replaces is no longer met, a version made again replaces itself."""
+    from dataclasses import replace
+
+    from newsloom.functions.packs import CORPUS
+    from newsloom.operators import rank
+    from newsloom.operators.postings import Stored
+
+    pack = replace(CORPUS, stopwords=(), suffixes=("zzz",))
+    stored = Stored(spark, f"file://{tmp_path}/registry", pack)
+    first = [(1, "alpha bravo charlie", "rejected", "", "u1", "delta echoes"), (2, "kilos limas mikes", "published", "", "", "novembers")]
+    second = [(1, "alpha bravo charlie", "rejected", "", "", "other words here"), (2, "quebec romeo sierra", "rejected", "", "u3", "tango")]
+    stored.change(spark.createDataFrame(first, SHAPE), 1)
+    for _ in range(2):
+        stored.change(spark.createDataFrame(second, SHAPE), 2)
+    topics = [(1, "delta echoes zulu", "alpha bravo"), (2, "alpha bravo charlie", ""), (3, "sierra romeo quebec", "x"), (4, "none", "of these"), (5, "any", "thing"), (6, "other words here", "")]
+    frame = spark.createDataFrame(topics, "id long, title string, story string")
+    urls = spark.createDataFrame([(5, "u3"), (4, "u9")], "id long, url string")
+    for version in (0, 1, 2):
+        records = stored.records(version).selectExpr("pos as id", "title", "story", "url")
+        want = {r["id"] for r in rank.not_in_registry(frame, urls, records, pack).collect()}
+        assert {r["id"] for r in stored.unknown(frame, urls, version).collect()} == want
+    assert want == {1, 4} and {r["id"] for r in stored.unknown(frame, urls, 1).collect()} == {3, 4, 5, 6}

@@ -132,4 +132,4 @@ def _against(fresh: DataFrame, stored: DataFrame, event: bool) -> DataFrame:
     new = fresh.select("packed", dealt(groups).alias("g"), every(parts).alias("h")).select("packed", "g", "h", F.lit(0).alias("side"))
     old = stored.select("packed", every(groups).alias("g"), dealt(parts).alias("h")).select("packed", "g", "h", F.lit(1).alias("side"))
     tile = (F.col("g").cast("long") * parts + F.col("h")).alias("tile")
-    return pairs.joined(new.union(old).select(tile, "side", "packed"), event)
+    return pairs.joined(new.union(old).select(tile, "side", "packed"), event, groups * parts)

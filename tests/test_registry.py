@@ -62,12 +62,12 @@ def test_postings_follow_the_records(spark, tmp_path):
 
     pack = replace(CORPUS, stopwords=(), suffixes=("zzz",))
     stored = Stored(spark, f"file://{tmp_path}/registry", pack)
-    first = [(1, "alpha bravo charlie", "rejected", "", "u1", "delta echoes"), (2, "kilos limas mikes", "published", "", "", "novembers")]
+    first = [(1, "alpha bravo charlie", "rejected", "", "u1", "delta echoes zulus"), (2, "kilos limas mikes", "published", "", "", "novembers")]
     second = [(1, "alpha bravo charlie", "rejected", "", "", "other words here"), (2, "quebec romeo sierra", "rejected", "", "u3", "tango")]
     stored.change(spark.createDataFrame(first, SHAPE), 1)
     for _ in range(2):
         stored.change(spark.createDataFrame(second, SHAPE), 2)
-    topics = [(1, "delta echoes zulu", "alpha bravo"), (2, "alpha bravo charlie", ""), (3, "sierra romeo quebec", "x"), (4, "none", "of these"), (5, "any", "thing"), (6, "other words here", "")]
+    topics = [(1, "delta echoes zulus", "alpha bravo"), (2, "alpha bravo charlie", ""), (3, "sierra romeo quebec", "x"), (4, "none", "of these"), (5, "any", "thing"), (6, "other words here", "")]
     frame = spark.createDataFrame(topics, "id long, title string, story string")
     urls = spark.createDataFrame([(5, "u3"), (4, "u9")], "id long, url string")
     for version in (0, 1, 2):

@@ -26,7 +26,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, small: int = 64_000_000) -> DataFrame:
+def spread(df: DataFrame, small: int = 16_000_000) -> DataFrame:
     """A small table dealt to all cores: its one row group would be one task's. Larger tables, which
     come in many row groups, stay as they lie."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -77,13 +77,12 @@ class Index:
         every = durable(pairs.shaped(signed, self.pack.anchors, self.pack.strong_event))
         shaped = every.where(pairs.WORDY)
         found = cluster.links(shaped, self.pack)
-        met = durable(cluster.events(shaped, len(self.pack.strong_event)).join(shaped.select("pos", "words"), "pos"))
+        met = cluster.events(shaped, len(self.pack.strong_event))
         marked = met.select("key", "pos", F.explode("words").alias("word"))
         known, unsure, before = None, found.unsure, None
         if number:
             settled = self._before("posts", POSTS, number)
-            firsts = shaped.join(found.classed.where("pos = rep").select("pos"), "pos")
-            fresh = durable(_blocks(firsts))
+            fresh = durable(_blocks(cluster.first_texts(shaped, found.classed)))
             stored = self._before("blocks", BLOCKS, number)
             alike = _against(fresh, stored, event=False)
             apart = durable(_against(fresh, stored, event=True).where("not shares"))
@@ -99,7 +98,7 @@ class Index:
         roots = durable(cluster.roots(every.select("pos"), found.sure, every.select("pos", "words"), unsure, found.classed, known, before))
         whole = every.join(roots, "pos").join(found.classed, "pos", "left")
         self._write(whole.select("pos", F.coalesce("rep", "pos").alias("rep"), "root", "anchors", "strong", *pairs.CODES), "posts", "cycle", number)
-        self._write(_blocks(shaped.join(found.classed.where("pos = rep").select("pos"), "pos")), "blocks", "cycle", number)
+        self._write(_blocks(cluster.first_texts(shaped, found.classed)), "blocks", "cycle", number)
         self._write(marked.join(roots, "pos").groupBy("key", "word").agg(F.min("root").alias("root")), "marks", "cycle", number)
         return roots
 

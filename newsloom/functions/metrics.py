@@ -111,6 +111,13 @@ def viral_complaint(complaint, views, reposts, members, sources) -> Column:
 # The analyser's own formulas, whose constants differ from those above.
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to ``digits`` decimals as SQL engines round it: the scaled value to the nearest whole
+    number, halves away from zero. ``F.round`` goes by the shortest decimal form instead, which says
+    43.85 where the scaled value is 438.49999999999994, or the other way round."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def early_signal(views, likes, comments, reposts, hours) -> Column:
     base = F.greatest(views, F.lit(1.0))
     cap = lambda x: F.least(F.lit(100.0), x)
@@ -121,12 +128,13 @@ def early_signal(views, likes, comments, reposts, hours) -> Column:
 
 
 def viral(early: Column, hook: Column) -> Column:
-    return F.round(F.least(F.lit(100.0), early * 0.65 + hook * 0.35), 1)
+    """``hook`` is a whole number, whose share is the double next to the exact product."""
+    return rounded(F.least(F.lit(100.0), early * 0.65 + hook * 35 / 100.0), 1)
 
 
 def analyser_score(viral_score, locality, age_minutes) -> tuple[Column, Column, Column, Column]:
     """(editorial, base, recency, score) of the first stage."""
     editorial = locality * 0.60 + viral_score * 0.40
-    base = F.round(viral_score * 0.5 + editorial * 0.5, 1)
-    recency = F.coalesce(F.round(F.greatest(F.lit(0.0), 100.0 * (1.0 - age_minutes / 180.0)), 1), F.lit(0.0))
-    return editorial, base, recency, F.round(base * 0.72 + recency * 0.28, 1)
+    base = rounded(viral_score * 0.5 + editorial * 0.5, 1)
+    recency = F.coalesce(rounded(F.greatest(F.lit(0.0), 100.0 * (1.0 - age_minutes / 180.0)), 1), F.lit(0.0))
+    return editorial, base, recency, rounded(base * 0.72 + recency * 0.28, 1)

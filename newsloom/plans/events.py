@@ -272,7 +272,7 @@ def analyser_scores(spark, sf_dir: str) -> DataFrame:
     rows = stats.withColumn("viral", M.viral(early, t % 41))
     editorial, base, recency, score = M.analyser_score(F.col("viral"), locality, topics.age_minutes(F.lit(NOW)))
     counters = ["views", "reposts", "posts"]
-    rows = rows.select("topic", "viral", *counters, F.round(editorial, 6).alias("editorial"), base.alias("base"), recency.alias("recency"), score.alias("score"))
+    rows = rows.select("topic", "viral", *counters, M.rounded(editorial, 6).alias("editorial"), base.alias("base"), recency.alias("recency"), score.alias("score"))
     confidence = F.when(t % 7 == 0, 20).otherwise(90)
     signal = complaint_signal(t % 3 == 0, F.col("viral"), F.col("views"), F.col("reposts"), F.col("posts"))
     rows = rows.withColumn("signal", signal)

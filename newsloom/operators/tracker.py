@@ -49,22 +49,29 @@ def checkpoints(observations: DataFrame, snapshots: DataFrame, now: Column) -> D
 
     ``observations`` has observation_id, audience, member_ids, predicted_at; ``snapshots`` has
     audience, post_id, snap_ts and the counters; a snapshot is complete if it has exactly the
-    observation's posts. The interval join meets on audience, post and a bucket of time as long as
-    a window, which touches two, so a post with a long history stays cheap.
+    observation's posts. A post is one row for all hours; it meets its own snapshots within the span
+    of the windows, in buckets as long as that span, of which it touches two at most, so a post with a long history stays cheap. Its posts are
+    collected as a set, no longer than the observation's own array: distinct counts cost an exchange.
     """
     due = observations.select(
-        "observation_id", "audience", "predicted_at", F.size("member_ids").alias("expected"), "member_ids",
-        F.explode(F.array(*[F.lit(h) for h in HOURS])).alias("hours"),
+        "observation_id", "audience", "predicted_at", F.explode(F.array(*[F.lit(h) for h in HOURS])).alias("hours")
     ).withColumn("due", F.col("predicted_at") + F.col("hours") * 3600)
-    posts = due.select("observation_id", "audience", "hours", "due", "expected", F.explode("member_ids").alias("post_id"))
-    first = F.floor(F.col("due") / TOLERANCE)
-    posts = posts.withColumn("bucket", F.explode(F.array(first, first + 1)))
-    snapshots = snapshots.withColumn("bucket", F.floor(F.col("snap_ts") / TOLERANCE))
-    within = (F.col("snap_ts") >= F.col("due")) & (F.col("snap_ts") <= F.col("due") + TOLERANCE)
-    seen = posts.join(snapshots, ["audience", "post_id", "bucket"]).where(within & (F.col("snap_ts") <= now))
+    begin, end = F.col("predicted_at") + min(HOURS) * 3600, F.col("predicted_at") + max(HOURS) * 3600 + TOLERANCE
+    span = (max(HOURS) - min(HOURS)) * 3600 + TOLERANCE
+    posts = observations.select(
+        "observation_id", "audience", "predicted_at", F.size("member_ids").alias("expected"), F.explode("member_ids").alias("post_id")
+    )
+    posts = posts.withColumn("bucket", F.explode(F.array_distinct(F.array(F.floor(begin / span), F.floor(end / span)))))
+    snapshots = snapshots.where(F.col("snap_ts") <= now).withColumn("bucket", F.floor(F.col("snap_ts") / span))
+    hour = None
+    for h in HOURS:  # windows of different hours don't overlap
+        at = F.col("predicted_at") + h * 3600
+        within = (F.col("snap_ts") >= at) & (F.col("snap_ts") <= at + TOLERANCE)
+        hour = F.when(within, h) if hour is None else hour.when(within, h)
+    seen = posts.join(snapshots, ["audience", "post_id", "bucket"]).withColumn("hours", hour).where("hours IS NOT NULL")
     whole = (
         seen.groupBy("observation_id", "hours", "snap_ts", "expected")
-        .agg(F.count_distinct("post_id").alias("found"), *[F.sum(c).alias(c) for c in COUNTERS])
+        .agg(F.size(F.collect_set("post_id")).alias("found"), *[F.sum(c).alias(c) for c in COUNTERS])
         .where("found = expected")
     )
     first = whole.groupBy("observation_id", "hours").agg(

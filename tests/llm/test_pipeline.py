@@ -55,3 +55,13 @@ def test_columns_that_clash_with_the_stages_own_come_through(spark):
 def test_run(spark):
     packed = corpus_pipeline.run(spark, DIR).toPandas()
     assert len(packed) and packed.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_near_duplicates_by_fingerprints_and_by_shingles(spark):
+    line = "alpha beta gamma " * 100
+    texts = [line + " ".join(f"{k}word{i}" for i in range(30)) for k in "ab"]  # one fingerprint, few shingles in common
+    long = [f"term{i}" for i in range(200)]
+    texts += [" ".join(long), " ".join([*long[:100], "other", *long[101:]]), "nothing like the rest"]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], shape)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()) == [0, 2, 4]

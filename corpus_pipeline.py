@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import packing, resemblance, secrets, simhash, suffixes, toxicity
-from newsloom.llm.common import durable, read, shared_dir, unused
-from newsloom.llm.components import components
+from newsloom.llm import packing, resemblance, secrets, suffixes, toxicity
+from newsloom.llm.common import read, shared_dir, unused
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +23,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the document with the smallest id stays. Linked are texts
     whose SimHash fingerprints differ in at most two bits, found by pigeonring filtering, and those
     whose 5-word shingles are alike by 0.8 or more; a group is what both kinds of links reach. Rows of
-    one id count as one document; rows without an id stay if some group of each kind has none."""
-    found = [durable(f(docs).select("doc_id", "component_id")) for f in (simhash.near_duplicates, resemblance.near_duplicates)]
-    named = found[0].where("doc_id IS NOT NULL").select(F.col("doc_id").alias("vertex")).distinct()
-    edges = found[0].union(found[1]).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    least = components(durable(named.withColumn("label", F.col("vertex"))), edges).where("vertex = label").select("vertex")
-    bare = [df.where("doc_id IS NULL AND component_id IS NULL").select("doc_id").distinct() for df in found]
+    one id count as one document; rows without an id stay if some whole group has none."""
+    found = resemblance.near_duplicates(docs, also=resemblance.by_fingerprints)
     own = unused(docs, "kept")
-    kept = least.union(bare[0].intersect(bare[1])).toDF(own)
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 

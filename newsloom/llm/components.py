@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,5 +37,6 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         state = moved.select("vertex", "label")
         if not moved.where("not label <=> was").limit(1).count():
             break
+        discard(vertices.sparkSession)
     rest = vertices.select("vertex", "label").join(linked, "vertex", "left_anti")
     return state.union(rest)

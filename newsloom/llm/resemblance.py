@@ -18,18 +18,18 @@ the sets sort out most of what is left: what hundreds of unlike texts quote does
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, narrow, release, text_of
+from .common import arrow_map, discard, durable, narrow, release, text_of
 from .components import components
-from .simhash import shingles
+from .simhash import fingerprint, links, shingles
 
 #: Words of a shingle; the least similarity, as a fraction.
 SIZE, ALIKE = 5, (4, 5)
@@ -89,15 +89,16 @@ def common(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in counts.orderBy(F.desc("n"), "gram").limit(LAST).collect()], np.int64))
 
 
-def prefixes(rows: DataFrame, last: np.ndarray) -> DataFrame:
-    """``doc_id, mark, set (long), n, bits, keys`` of each row: a name of the set of shingles, its
-    size, its sketch, and its prefix in the order; ``mark`` is a digest of the text."""
+def prefixes(rows: DataFrame, last: np.ndarray, fps: bool = False) -> DataFrame:
+    """``doc_id, mark, set (long), n, bits, keys, fp`` of each row: a name of the set of shingles, its
+    size, its sketch, and its prefix in the order; ``mark`` is a digest of the text, ``fp`` its SimHash
+    if ``fps``, else 0."""
 
     def make():
         release()
 
         def step(batch: pa.RecordBatch):
-            names, sizes, bits, keys = [], [], [], []
+            names, sizes, bits, keys, prints = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = grams(text)
                 names.append(name(own))
@@ -105,14 +106,16 @@ def prefixes(rows: DataFrame, last: np.ndarray) -> DataFrame:
                 bits.append(sketch(own))
                 late = np.isin(own, last, assume_unique=True)
                 keys.append(np.r_[own[~late], own[late]][: prefix_size(len(own))])
+                prints.append(fingerprint(shingles(text or "")) if fps else 0)
             columns = [batch.column("doc_id"), batch.column("mark"), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists(bits), lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "set", "n", "bits", "keys"])
+            columns.append(pa.array(prints, pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "set", "n", "bits", "keys", "fp"])
 
         return step
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     marked = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return arrow_map(marked, make, f"doc_id {kind}, mark long, set long, n int, bits array<long>, keys array<long>")
+    return arrow_map(marked, make, f"doc_id {kind}, mark long, set long, n int, bits array<long>, keys array<long>, fp long")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -346,9 +349,25 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.where((over + under) * F.col("both") >= over * F.col("sum")).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def by_fingerprints(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of sets of the rows (doc_id, set, fp): of those whose fingerprints
+    :func:`simhash.links` links, of one fingerprint, and of one id, each to the least."""
+    once = durable(rows.select("fp", "set").distinct())
+    hubs = durable(once.groupBy("fp").agg(F.min("set").alias("hub"), F.max("set").alias("last")))
+    ends = [hubs.select(F.col("fp").alias(x), F.col("hub").alias(f"hub_{x}")) for x in "ab"]
+    near = links(hubs.select("fp")).join(ends[0], "a").join(ends[1], "b").select("hub_a", "hub_b")
+    same = once.join(hubs.where("hub <> last"), "fp").select("set", "hub")
+    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set").alias("hub"), F.max("set").alias("last"))
+    own = rows.select("doc_id", "set").join(ids.where("hub <> last"), "doc_id").select("set", "hub")
+    return near.union(same).union(own).toDF("a", "b").where("a <> b").distinct()
+
+
+def near_duplicates(
+    df: DataFrame, id: str = "doc_id", text: str = "text", also: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """``doc_id, component_id``: the smallest id that links of a similarity of ALIKE or more
-    reach, by the sets of SIZE-word shingles.
+    reach, by the sets of SIZE-word shingles, and the links of sets that ``also`` gives besides
+    (:func:`by_fingerprints`).
 
     Texts of fewer words are one shingle; empty and null texts have none and are alike to each
     other alone. Rows with a null id get the component of their set, and null where it holds no
@@ -356,7 +375,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     one set, held whole by one task. Other columns, whatever their names, are not read.
     """
     texts = narrow(df, doc_id=id, text=text).select("doc_id", text_of("text").alias("text"))
-    rows = durable(prefixes(texts, common(texts)))
+    rows = durable(prefixes(texts, common(texts), also is not None))
+    discard(texts.sparkSession)
+    told = durable(also(rows)) if also else None
     discard(texts.sparkSession)
     named = rows.select("doc_id", "set")
     vertices = durable(named.groupBy(F.col("set").alias("vertex")).agg(F.min("doc_id").alias("label")))
@@ -377,10 +398,12 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     sketches = durable(rows.groupBy("set").agg(F.any_value("bits").alias("bits")))
     near = durable(promising(star, member, sketches))
     sets = whole(texts, rows, ends_of(near))
-    edges = durable(alike(near, sets))
+    edges = alike(near, sets)
+    edges = durable(edges.union(told) if also else edges)
     discard(texts.sparkSession)
 
-    parts = components(vertices.select("vertex", F.col("vertex").alias("label")), edges)
+    parts = durable(components(vertices.select("vertex", F.col("vertex").alias("label")), edges))
+    discard(texts.sparkSession)
     placed = member.join(parts.select(F.col("vertex").alias("set"), F.col("label").alias("part")), "set")
     mixed = placed.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count("*").alias("of"))
     placed = durable(placed.join(mixed.where("p0 <> p1 and of > 2").select("key"), "key"))
@@ -393,17 +416,15 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     rest = pairs.union(crowded(many)).distinct().join(star, ["a", "b"], "left_anti")
     rest = durable(promising(rest, member, sketches))
     more = whole(texts, rows, ends_of(rest).join(sets, "set", "left_anti"))
-    edges = durable(edges.union(alike(rest, sets.union(more))))
+    late = durable(alike(rest, sets.union(more)))
     discard(texts.sparkSession)
-    found = components(vertices, edges).select(F.col("vertex").alias("set"), F.col("label").alias("component_id"))
-    return named.join(found, "set").select("doc_id", "component_id")
-
-
-def discard(spark: SparkSession) -> None:
-    """Has the shuffle files that nothing refers to any more removed now: Spark waits for the
-    driver's garbage collection, which a driver with room seldom sees."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    # what is in one part stays so: the late links are between parts
+    of = parts.select("vertex", F.col("label").alias("part"))
+    heads = durable(vertices.join(of, "vertex").groupBy(F.col("part").alias("vertex")).agg(F.min("label").alias("label")))
+    ends = [of.select(F.col("vertex").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab"]
+    between = late.join(ends[0], "a").join(ends[1], "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+    found = components(heads, between).select(F.col("vertex").alias("part"), F.col("label").alias("component_id"))
+    return named.join(of.withColumnRenamed("vertex", "set"), "set").join(found, "part").select("doc_id", "component_id")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:

@@ -65,3 +65,13 @@ def test_near_duplicates_by_fingerprints_and_by_shingles(spark):
     shape = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], shape)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()) == [0, 2, 4]
+
+
+def test_near_duplicates_reach_through_rows_without_id(spark):
+    words = [" ".join(f"{k}word{i}" for i in range(30)) for k in "ab"]
+    spread = ["alpha beta gamma " * 100 + w for w in words]  # one fingerprint, few shingles in common
+    near = "alpha beta gamma " * 3 + words[1]  # the shingles of the second, another fingerprint
+    texts = [(1, spread[0]), (None, spread[1]), (2, near), (3, "nothing like the rest"), (4, "quite apart"), (4, "nothing like the rest")]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts], shape)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()) == [1, 3]

@@ -75,3 +75,17 @@ def test_postings_follow_the_records(spark, tmp_path):
         want = {r["id"] for r in rank.not_in_registry(frame, urls, records, pack).collect()}
         assert {r["id"] for r in stored.unknown(frame, urls, version).collect()} == want
     assert want == {1, 4} and {r["id"] for r in stored.unknown(frame, urls, 1).collect()} == {3, 4, 5, 6}
+
+
+def test_stories_are_compared_only_where_no_address_tells(spark, monkeypatch):
+    from newsloom.functions.packs import CORPUS
+    from newsloom.operators import rank
+
+    met, own = [], rank.story_links
+    monkeypatch.setattr(rank, "story_links", lambda left, *a: met.append(sorted(r["id"] for r in left.collect())) or own(left, *a))
+    shape = "id long, title string, story string"
+    topics = spark.createDataFrame([(1, "delta echo golf", ""), (2, "hotel india juliet", ""), (3, "kilo lima mike", "")], shape)
+    urls = spark.createDataFrame([(1, "u1"), (1, "u2"), (3, "u9")], "id long, url string")
+    records = spark.createDataFrame([(7, "hotel juliet india", "", ""), (8, "x", "", "u1"), (9, "y", "", "u2")], shape + ", url string")
+    assert [r["id"] for r in rank.not_in_registry(topics, urls, records, CORPUS).collect()] == [3]
+    assert met == [[2, 3]]
